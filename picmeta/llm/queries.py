@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from picmeta.llm import quality_rules
+from picmeta.llm import line_dedup, quality_rules
 from picmeta.llm.shared import table
 
 
@@ -14,9 +14,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_rules, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE}
