@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from picmeta.llm import line_dedup, quality_rules, source_mix
+from picmeta.llm import language_id, line_dedup, lm_score, pieces, quality_rules, source_mix
 from picmeta.llm.shared import table
 
 
@@ -14,6 +14,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
@@ -23,7 +35,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_source_mix, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op7_source_mix, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,23 @@ def raw(col: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text; bytes.split() and bytes.lower() then act on ASCII only."""
     large = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     return col.cast(pa.large_binary() if large else pa.binary()).to_pylist()
+
+
+def slices(b: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """b in pieces whose texts, in column `at`, hold about limit bytes; a longer text is a piece of its own."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(b.column(at)).to_pylist()):
+        if held and held + (n or 0) > limit:
+            yield b.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n or 0
+    if begin < b.num_rows:
+        yield b.slice(begin)
+
+
+def numbered(words: list) -> tuple[np.ndarray, list]:
+    """The number of each word among the distinct words, and those."""
+    if not words:
+        return np.empty(0, np.int64), []
+    d = pa.array(words).dictionary_encode()
+    return d.indices.to_numpy().astype(np.int64), d.dictionary.to_pylist()
