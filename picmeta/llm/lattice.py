@@ -20,6 +20,7 @@ MARK = "▁"  # stands for a space in pieces
 MARK_BYTES = MARK.encode()
 UNKNOWN_PENALTY = 10.0
 OFFSET = 2.7
+WINDOW = 512  # places that the trie's builder tries at once
 
 
 def default_path() -> str:
@@ -33,7 +34,7 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     size = 1 << 16
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     check[0] = 0
-    todo, first = [(0, 0, len(keys), 0)], 1
+    todo, first, wide = [(0, 0, len(keys), 0)], 258, 258  # so that no base is below 1
     for state, lo, hi, depth in todo:  # grows as it goes: breadth first
         if lo < hi and len(keys[lo]) == depth:
             value[state] = lo
@@ -50,14 +51,17 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         while check[first] >= 0:
             first += 1
         codes = np.array([c for c, _, _ in spans])
-        b = max(1, first - int(codes[0]))
+        b = max(1, (first if len(codes) == 1 else wide) - int(codes[0]))
         while True:
-            if b + 600 > len(check):
-                grow = len(check)
-                base, check, value = np.concatenate([base, np.zeros(grow, np.int32)]), np.concatenate([check, np.full(grow, -1, np.int32)]), np.concatenate([value, np.full(grow, -1, np.int32)])
-            if (check[b + codes] < 0).all():
+            if b + 2 * WINDOW > len(check):
+                base, check, value = (np.concatenate([x, np.full(len(x), fill, np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
+            fits = np.flatnonzero((check[b + np.arange(WINDOW)[:, None] + codes] < 0).all(axis=1))
+            if len(fits):
+                b += int(fits[0])
                 break
-            b += 1
+            b += WINDOW
+        if len(codes) > 1:  # states of one child fill what the others leave
+            wide = b + int(codes[0])
         base[state] = b
         for c, start, end in spans:
             check[b + c] = state
