@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from picmeta.llm import language_id, line_dedup, lm_score, pieces, quality_rules, source_mix
+from picmeta.llm import language_id, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix
 from picmeta.llm.shared import table
 
 
@@ -34,8 +34,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op7_source_mix, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op7_source_mix, op9_line_dedup, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
