@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from picmeta.llm import language_id, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix
-from picmeta.llm.shared import table
+from picmeta.llm import language_id, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix, token_rollup
+from picmeta.llm.shared import cut, shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in under an old version; all are then revised to the present one; the revision is committed twice."""
+    new = cut(token_rollup.counted(table(spark, sf_dir, "documents")))
+    old = new.withColumns({"version": F.lit("words-0"), "n_tokens": F.col("n_tokens") + 1})
+    root = f"{shared_dir(spark)}/picmeta/rollup-{uuid.uuid4().hex}"
+    token_rollup.commit(token_rollup.changes(None, old), root, "1")
+    for _ in range(2):
+        token_rollup.commit(token_rollup.changes(old, new), root, "2")
+    return token_rollup.totals(spark, root)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
@@ -39,7 +52,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op7_source_mix, op9_line_dedup, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op6_token_rollup, op7_source_mix, op9_line_dedup, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
