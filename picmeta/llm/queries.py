@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from picmeta.llm import language_id, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix, token_rollup
+from picmeta.llm import language_id, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix, token_rollup, topk_search
 from picmeta.llm.shared import cut, shared_dir, table
 
 
@@ -43,6 +43,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose id is divisible by 100 are the queries, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return topk_search.top_k(docs, docs.filter("doc_id % 100 = 0"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -52,7 +58,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op6_token_rollup, op7_source_mix, op9_line_dedup, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lost executors cost no recomputation."""
+def cut(df: DataFrame, per_file: int = 0) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lost executors cost no recomputation. per_file: rows in a file, for large rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/picmeta/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
