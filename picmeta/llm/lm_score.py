@@ -1,18 +1,26 @@
 """Language-model scores: the marginal probability of a text over a subword lattice.
 
-The existing scores of a public unigram vocabulary weigh every segmentation of
-every word; the log-space forward recursion sums them, and a text's log10
-probability is the sum over its words. Beside it stands the base: add-one word
-unigrams of the training rows. Text is lower-cased (A-Z) and cut at ASCII white
-space; an end follows each text and counts as a token of the base.
+The scores of a public unigram vocabulary weigh every segmentation of every
+word; the log-space forward recursion sums them. A training word as a whole is
+one more arc of its lattice, beside the pieces:
+
+    P(word) = lam * c / words + (1 - lam) * sum over segmentations of prod P(piece)
+
+with lam = words / (words + distinct words). P(piece) starts from the
+vocabulary's own scores and is fitted to the training words in STEPS expectation
+steps. A text's log10 probability is the sum over its words and its end; P(end)
+is the share of ends among all tokens, and what is left goes to the words.
+Beside it stands the base: add-one word unigrams of the training rows. Text is
+lower-cased (A-Z) and cut at ASCII white space; an end follows each text.
 
 1. `word_counts`: tasks count their training words, Spark sums by word.
-2. Words with at least 1 / HEAVY of all training tokens are at most HEAVY in
+2. `fitted`: expected piece counts of the distinct words, summed by piece.
+3. Words with at least 1 / HEAVY of all training tokens are at most HEAVY in
    number; they are broadcast and scored where the text is read.
-3. The other words of each text are joined with the counts, one row per text and
+4. The other words of each text are joined with the counts, one row per text and
    distinct word, and summed by text.
 
-Null text counts as empty: one token, score 0. A null doc_id hashes as the empty
+Null text counts as empty: one token, its end. A null doc_id hashes as the empty
 text. Repeated rows are texts of their own. Without training rows N and V are 0.
 An empty table gives an empty result. The input must be re-readable.
 """
@@ -27,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from picmeta.llm.lattice import MARK_BYTES, Lattice, Vocabulary
+from picmeta.llm.lattice import MARK_BYTES, UNKNOWN_PENALTY, Lattice, Vocabulary
 from picmeta.llm.shared import cut, numbered, raw, remainder, slices
 
 HEAVY = 20_000
 CHUNK = 20_000
 HELD = 200_000
+STEPS = 3
+UNIT = 1_000_000
+SMOOTHING = 0.01
 LN10 = math.log(10)
 
 
@@ -58,6 +69,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def fitted(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """The log probability of each piece (a row; the last for unknown) after one expectation step from vocab's scores, in whole millionths so that the order of additions doesn't matter."""
+    shared = counts.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        prior = np.append(v.scores, v.unknown_score)[:, None]
+        total = np.zeros(len(prior))
+        for b in batches:
+            for part in slices(b, 0, 1 << 17):
+                total += Lattice(v, [MARK_BYTES + w for w in raw(part.column(0))]).expected(prior, part.column(1).to_numpy().astype(float)[:, None])[:, 0]
+        whole = np.rint(total * UNIT).astype(np.int64)
+        at = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(at.astype(np.int32)), "n": pa.array(whole[at])})
+
+    p = np.zeros(len(vocab.scores) + 1)
+    for r in counts.select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():  # as many as pieces
+        p[r.piece] = r.n / UNIT
+    p += SMOOTHING
+    return np.log(p / p.sum())
+
+
 def lm_score(docs: DataFrame, path: str | None = None, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
@@ -67,6 +100,13 @@ def lm_score(docs: DataFrame, path: str | None = None, heavy: int = HEAVY) -> Da
     tokens, v = words + ends, distinct + (ends > 0)
     frequent = counts.filter(F.col("c") * heavy >= tokens)
     vocab = Vocabulary.load(path)
+    for _ in range(STEPS if words else 0):
+        logp = fitted(counts, vocab)
+        vocab.scores, vocab.unknown_score = logp[:-1], float(logp[-1]) - UNKNOWN_PENALTY
+    whole = math.log(words / (words + distinct) / words) if words else 0.0  # of one count
+    rest = math.log(distinct / (words + distinct)) if words else 0.0
+    inside = math.log10((words + 1) / (tokens + 2))
+    ending = math.log10((ends + 1) / (tokens + 2))
     shared = spark.sparkContext.broadcast((vocab, {bytes(r.word): r.c for r in frequent.toLocalIterator()}))
     less = math.log10(tokens + v + 1)
     ended = math.log10(ends + 1) - less
@@ -92,27 +132,36 @@ def lm_score(docs: DataFrame, path: str | None = None, heavy: int = HEAVY) -> Da
                     place.update(zip(part, range(len(place), len(place) + len(part)), strict=True))
                 doc = np.repeat(np.arange(len(own)), n)
                 rows = np.array([place[w] for w in distinct], np.int64)[at]
-                score = np.bincount(doc, known[rows], len(own)) / LN10
                 c = np.array([common.get(w, 0) for w in distinct], np.int64)[at] if len(at) else at
+                with np.errstate(divide="ignore"):
+                    arc = np.where(c > 0, np.logaddexp(whole + np.log(c), rest + known[rows]), 0.0)
+                score = np.bincount(doc, arc, len(own)) / LN10
                 sums = np.bincount(doc, np.log10(c + 1.0), len(own))
                 hits = np.bincount(doc, c > 0, len(own)).astype(np.int64)
                 rare = np.flatnonzero(c == 0)
                 pair, k = np.unique(doc[rare] * max(len(distinct), 1) + at[rare], return_counts=True)
                 d, w = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
                 off = np.searchsorted(d, np.arange(len(own) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(distinct, pa.binary()).take(pa.array(w)), pa.array(k, pa.int64())], names=["word", "k"]))
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(distinct, pa.binary()).take(pa.array(w)), pa.array(k, pa.int64()), pa.array(known[np.array([place[x] for x in distinct], np.int64)[w]] + rest)], names=["word", "k", "sub"]))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n + 1), pa.array(hits), pa.array(sums), pa.array(score), lists], names=NAMES)
 
     NAMES = ["uid", "doc_id", "held_out", "n_tokens", "hits", "sums", "score", "rare"]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), (remainder("doc_id", 7) == 2).alias("held_out"), F.col("text").cast("string"))
-    scored = cut(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, hits long, sums double, score double, rare array<struct<word:binary,k:long>>"))
-    asked = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
-    found = asked.join(counts, "word").groupBy("uid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"))
+    scored = cut(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, hits long, sums double, score double, rare array<struct<word:binary,k:long,sub:double>>"))
+    asked = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k", "r.sub")
+    own = F.log("c") + whole
+    high, low = F.greatest(own, "sub"), F.least(own, "sub")
+    arc = F.when(F.col("c").isNull(), F.col("sub")).otherwise(high + F.log1p(F.exp(low - high)))
+    found = asked.join(counts, "word", "left").groupBy("uid").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("more"),
+        F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"),
+        F.sum(F.col("k") * arc / LN10).alias("sub"),
+    )
     both = scored.drop("rare").join(found, "uid", "left")
     return both.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hits") + F.coalesce("more", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("add", F.lit(0.0)) - (F.col("n_tokens") - 1) * less + ended).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("sub", F.lit(0.0)) + (F.col("n_tokens") - 1) * inside + ending).alias("score"),
     )
