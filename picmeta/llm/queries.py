@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from picmeta.llm import language_id, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix, token_rollup, topk_search
+from picmeta.llm import language_id, license_scan, line_dedup, lm_score, lsh_forest, pieces, quality_rules, source_mix, token_rollup, topk_search
 from picmeta.llm.shared import cut, shared_dir, table
 
 
@@ -28,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in under an old version; all are then revised to the present one; the revision is committed twice."""
     new = cut(token_rollup.counted(table(spark, sf_dir, "documents")))
@@ -58,7 +62,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
