@@ -14,12 +14,15 @@
 4. Each set first confirms the pair that most trees propose; linked sets form
    components; then the other candidates that cross components are confirmed,
    with all crossing pairs of regions of up to REGION sets.
+5. `hot_links`: the sets of larger regions that still hold several components
+   are joined exactly. Sets that are similar enough share one of their rarest
+   shingles (prefix filter); up to REGION sets with such a shingle are compared
+   in pairs, more of them as blocks of about BLOCK sets, block against block,
+   where only links between components are kept. Nothing is capped: a group of
+   n sets that the trees don't link costs (n / BLOCK)^2 block pairs.
 
-In regions larger than REGION at full depth (near copies in great numbers), only
-neighbours in each of the TREES orders are compared, not all pairs.
-
-A set's chance to miss a partner at similarity 0.85 is below 1e-5 with SHALLOW
-minima, and 0.2 % in deep regions.
+A set's chance to miss a partner at similarity 0.85 is below 1e-5: that they
+share no SHALLOW minima in any tree.
 
 Null text and text without words: n_shingles 0, linked with nothing, kept.
 Repeated rows are linked like copies, and all rows with the kept doc_id are kept.
@@ -46,6 +49,7 @@ TREES = 20
 SHALLOW = 5
 DEEP = 8
 REGION = 48
+BLOCK = 256
 SEED = 20260101
 
 
@@ -104,8 +108,8 @@ def shingled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingles array<long>")
 
 
-def regions(sets: DataFrame) -> DataFrame:
-    """(digest, tree, region, salt, rest): the sets' places in the trees. sets: (digest, shingles), distinct."""
+def regions(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, tree, region, salt, rest): the sets' places in the trees, and those (digest, tree, region, n) in regions that were cut at DEEP. sets: (digest, shingles), distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = constants(TREES * DEEP)
@@ -125,11 +129,13 @@ def regions(sets: DataFrame) -> DataFrame:
     large = cut(large)
     first = placed.join(large, ["tree", "shallow"])  # a set alone in its region has no neighbours there
     fine = first.filter(F.col("n") <= REGION).select("digest", "tree", F.col("shallow").alias("region"), "rest", "n")
-    hot = first.filter(F.col("n") > REGION).drop("n")
+    over = first.filter(F.col("n") > REGION)
+    hot = over.drop("n")
     counts = cut(hot.groupBy("tree", "deep").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
     cutting = hot.join(counts, ["tree", "deep"]).select("digest", "tree", F.col("deep").alias("region"), "rest", "n")
     both = fine.unionByName(cutting)
-    return both.withColumn("salt", F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("n") / REGION)).cast("int"))
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("n") / REGION)).cast("int"))
+    return salted, over.select("digest", "tree", F.col("shallow").alias("region"), "n")
 
 
 def neighbours(placed: DataFrame) -> DataFrame:
@@ -169,16 +175,85 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
+def joining(sets: pa.Table, percent: int) -> pa.Table:
+    """(a, b): links between components, as a forest, of the sets of block x with those of block y. sets: (x, y, block, digest, comp, shingles)."""
+    t = sets.combine_chunks()
+    lists, digests = t["shingles"].combine_chunks(), t["digest"].to_pylist()
+    n, blocks, (comp, _) = lists.value_lengths().to_numpy().astype(np.int64), t["block"].to_numpy(), numbered(t["comp"].to_pylist())
+    left, right = (np.flatnonzero(blocks == t[c][0].as_py()) for c in ("x", "y"))
+    _, at, times = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(n)), n), times > 1  # what one set has alone is in no intersection
+    number = np.cumsum(shared) - 1
+    row, at = row[shared[at]], number[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24
+    for k in range(0, int(shared.sum()), 2048):
+        part = slice(*np.searchsorted(at, (k, k + 2048)))
+        has = np.zeros((len(n), 2048), np.float32)
+        has[row[part], at[part] - k] = 1
+        common += has[left] @ has[right].T
+    both = common.astype(np.int64)
+    near = (both * 100 >= (n[left][:, None] + n[right][None] - both) * percent) & (comp[left][:, None] != comp[right][None])
+    root, links = list(range(len(n))), []
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for i, j in np.argwhere(near):
+        a, b = top(int(comp[left[i]])), top(int(comp[right[j]]))
+        if a != b:
+            root[a] = b
+            links.append(sorted((digests[left[i]], digests[right[j]])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+
+def hot_links(hot: DataFrame, sets: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(a, b): links between the components of the sets in hot regions that hold several; None if there are no such regions. hot: (digest, tree, region, n)."""
+    member = cut(hot.join(label, "digest"))
+    split = cut(member.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region"))
+    if split.isEmpty():
+        return None
+    own = cut(member.join(split, ["tree", "region"]).groupBy("digest").agg(F.first("comp").alias("comp"), F.max_by(F.xxhash64("tree", "region"), F.struct("n", "tree")).alias("place")))
+    tokens = own.select("digest").join(sets, "digest").select("digest", F.explode("shingles").alias("s"))
+    times = cut(tokens.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1"))
+    shared = tokens.join(times, "s").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("m"))  # as long as the set at most
+    alone = F.col("n_shingles") - F.size("m")  # shingles of no other set come first in the prefix
+    length = F.col("n_shingles") - F.expr(f"(n_shingles * {percent} + 99) div 100") + 1 - alone
+    rarest = shared.join(sets.select("digest", "n_shingles"), "digest").select("digest", F.explode(F.slice("m", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("p")).select("digest", F.col("p.s").alias("s"))
+    prefix = cut(rarest.join(own, "digest"))
+    groups = cut(prefix.groupBy("s").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s", "g"))
+    prefix = cut(prefix.join(groups, "s"))
+    few, many = prefix.filter(F.col("g") <= REGION), prefix.filter(F.col("g") > REGION)
+    pairs = few.select("s", F.col("digest").alias("a"), F.col("comp").alias("ca")).join(few.select("s", F.col("digest").alias("b"), F.col("comp").alias("cb")), "s").filter("a < b AND ca <> cb").select("a", "b").distinct()
+    one_by_one = confirmed(pairs, sets, percent)
+    large = cut(many.select("digest", "comp", "place").distinct())
+    counted = large.groupBy("place", "comp").agg(F.count("*").alias("c"))
+    rest = counted.groupBy("place").agg(F.sum(F.when(F.col("c") < BLOCK, F.col("c"))).alias("r"))
+    sizes = cut(counted.join(rest, "place"))
+    block = F.when(F.col("c") >= BLOCK, F.xxhash64("place", "comp", F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / BLOCK)))).otherwise(F.xxhash64("place", F.pmod(F.xxhash64("comp"), F.ceil(F.col("r") / BLOCK))))
+    dealt = cut(large.join(sizes, ["place", "comp"]).select("digest", "comp", block.alias("block")))
+    touch = cut(many.select("digest", "s").join(dealt, "digest").groupBy("s", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    x, y = touch.select("s", F.col("block").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx")), touch.select("s", F.col("block").alias("y"), F.col("lo").alias("ly"), F.col("hi").alias("hy"))
+    facing = cut(x.join(y, "s").filter("x <= y AND least(lx, ly) <> greatest(hx, hy)").select("x", "y").distinct())
+    sides = facing.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(dealt, "block").join(sets.select("digest", "shingles"), "digest")
+    in_blocks = sides.select("x", "y", "block", "digest", "comp", "shingles").groupBy("x", "y").applyInArrow(lambda t: joining(t, percent), "a binary, b binary")
+    return cut(one_by_one.unionByName(in_blocks))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
     rows = cut(shingled(docs, words))
     sets = cut(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")))
-    placed = cut(regions(sets))
+    placed, hot = regions(sets)
+    placed = cut(placed)
     pairs = cut(neighbours(placed))
     by_node = pairs.select(F.col("a").alias("digest"), "a", "b", "trees").unionByName(pairs.select(F.col("b").alias("digest"), "a", "b", "trees"))
     best = by_node.groupBy("digest").agg(F.max_by(F.struct("a", "b"), F.struct("trees", "a", "b")).alias("p")).select("p.*").distinct()
     sure = cut(confirmed(best, sets, percent))
-    nodes = cut(by_node.select("digest").distinct())
+    nodes = cut(by_node.select("digest").unionByName(hot.select("digest")).distinct())
     label = components(sure, nodes)
     member = cut(placed.filter(F.col("n") <= REGION).select("tree", "region", "digest").join(label, "digest"))
     mixed_regions = member.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region")
@@ -188,6 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     others = pairs.join(label.select(F.col("digest").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("digest").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb").select("a", "b")
     more = cut(confirmed(crossing.unionByName(others).distinct().join(best, ["a", "b"], "left_anti"), sets, percent))
     final = components(sure.unionByName(more), nodes)
+    links = hot_links(hot, sets, final, percent)
+    if links is not None:
+        final = components(sure.unionByName(more).unionByName(links), nodes)
     named = sets.select("digest", "rep", "nameless").join(final, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component"), F.max("nameless").alias("nameless"))
     ids = named.select("digest", "comp").join(least, "comp").select("digest", F.when(~F.col("nameless"), F.col("component")).alias("component"), F.lit(True).alias("found"))
