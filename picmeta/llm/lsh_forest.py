@@ -245,8 +245,8 @@ def hot_links(hot: DataFrame, sets: DataFrame, label: DataFrame, percent: int =
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
-    rows = cut(shingled(docs, words))
-    sets = cut(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")))
+    rows = cut(shingled(docs, words).drop("shingles"))  # the sets are computed again, as they are larger than the texts
+    sets = cut(shingled(docs, words).filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")))
     placed, hot = regions(sets)
     placed = cut(placed)
     pairs = cut(neighbours(placed))
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     named = sets.select("digest", "rep", "nameless").join(final, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component"), F.max("nameless").alias("nameless"))
     ids = named.select("digest", "comp").join(least, "comp").select("digest", F.when(~F.col("nameless"), F.col("component")).alias("component"), F.lit(True).alias("found"))
-    own = rows.drop("shingles").join(ids, "digest", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
+    own = rows.join(ids, "digest", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
     return own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
