@@ -11,6 +11,10 @@ from picmeta.llm import language_id, line_dedup, lsh_forest, pieces, source_mix
 from picmeta.llm.shared import cut, table
 
 
+#: Percent of common shingles from which documents are near-duplicates. op10's 85 is that query's own.
+NEAR = 80
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told."""
     return language_id.accepted(docs)
@@ -24,7 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return lsh_forest.deduplicated(docs)
+    return lsh_forest.deduplicated(docs, NEAR)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

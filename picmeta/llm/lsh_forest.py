@@ -21,8 +21,9 @@
    where only links between components are kept. Nothing is capped: a group of
    n sets that the trees don't link costs (n / BLOCK)^2 block pairs.
 
-A set's chance to miss a partner at similarity 0.85 is below 1e-5: that they
-share no SHALLOW minima in any tree.
+SHALLOW is for a similarity of 0.85 and more; below, `shallow` takes as many
+minima as keep the chance that two sets share no region in any tree under MISS
+(at 0.85 it is 8e-6, at 0.80, with four minima, 3e-5).
 
 Null text and text without words: n_shingles 0, linked with nothing, kept.
 Repeated rows are linked like copies, and all rows with the kept doc_id are kept.
@@ -48,6 +49,7 @@ PERCENT = 85
 TREES = 20
 SHALLOW = 5
 DEEP = 8
+MISS = 5e-5
 REGION = 48
 BLOCK = 256
 SEED = 20260101
@@ -108,7 +110,12 @@ def shingled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingles array<long>")
 
 
-def regions(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shallow(percent: int) -> int:
+    """The minima of a region's key: SHALLOW, or fewer where sets of that similarity would be missed too often."""
+    return max(k for k in range(1, SHALLOW + 1) if k == 1 or (1 - (percent / 100) ** k) ** TREES < MISS)
+
+
+def regions(sets: DataFrame, depth: int = SHALLOW) -> tuple[DataFrame, DataFrame]:
     """(digest, tree, region, salt, rest): the sets' places in the trees, and those (digest, tree, region, n) in regions that were cut at DEEP. sets: (digest, shingles), distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +127,9 @@ def regions(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ends = np.cumsum(off)
                 sig = np.stack([signature(values[e - n : e], a) for e, n in zip(ends, off, strict=True)]).reshape(-1, DEEP)
                 spread = mixed(sig * constants(DEEP, SEED + 2))
-                shallow, deep = spread[:, :SHALLOW].sum(axis=1), spread.sum(axis=1)
-                order = pa.array([x.tobytes() for x in sig[:, SHALLOW:].astype(">u8")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist() and np.repeat(np.array(part.column(0).to_pylist(), object), TREES), pa.binary()), pa.array(np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)), pa.array(shallow.view(np.int64)), pa.array(deep.view(np.int64)), order], names=["digest", "tree", "shallow", "deep", "rest"])
+                first, deep = spread[:, :depth].sum(axis=1), spread.sum(axis=1)
+                order = pa.array([x.tobytes() for x in sig[:, depth:].astype(">u8")], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist() and np.repeat(np.array(part.column(0).to_pylist(), object), TREES), pa.binary()), pa.array(np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)), pa.array(first.view(np.int64)), pa.array(deep.view(np.int64)), order], names=["digest", "tree", "shallow", "deep", "rest"])
 
     placed = cut(sets.select("digest", "shingles").mapInArrow(run, "digest binary, tree int, shallow long, deep long, rest binary"))
     large = placed.groupBy("tree", "shallow").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -247,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
     rows = cut(shingled(docs, words).drop("shingles"))  # the sets are computed again, as they are larger than the texts
     sets = cut(shingled(docs, words).filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")))
-    placed, hot = regions(sets)
+    placed, hot = regions(sets, shallow(percent))
     placed = cut(placed)
     pairs = cut(neighbours(placed))
     by_node = pairs.select(F.col("a").alias("digest"), "a", "b", "trees").unionByName(pairs.select(F.col("b").alias("digest"), "a", "b", "trees"))

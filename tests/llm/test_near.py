@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 from picmeta.llm import lsh_forest
 
 
@@ -32,3 +33,19 @@ def test_blocks_of_a_star(spark, monkeypatch):
     rows = starred(200, 6) + [(300 + i, starred(1, 6)[1][1] + f" z{i}") for i in range(100)]
     got = Counter(r.component_id for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {0: 301}
+
+
+def test_near_stage_at_0_80(spark):
+    """Against brute force: pairs at 0.82, which stay at 0.85, and pairs at 0.75."""
+    rows = []
+    for i in range(60):
+        own = [f"v{i}_{k}" for k in range(104)]
+        rows.append((2 * i, " ".join(own)))
+        for at in (10, 40, 70)[: 2 + i % 2]:
+            own[at] = "new"
+        rows.append((2 * i + 1, " ".join(own)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    near = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert len(near) == 30 and sorted(r.doc_id for r in got.collect()) == sorted(set(sets) - near)
+    assert lsh_forest.shallow(85) == lsh_forest.SHALLOW and (1 - 0.8 ** lsh_forest.shallow(80)) ** lsh_forest.TREES < lsh_forest.MISS
