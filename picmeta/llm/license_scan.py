@@ -14,7 +14,14 @@
    anchors; paragraphs without an anchor are unknown and aren't scored further.
    This drops no paragraph that the model would accept.
 4. A predicted family is confirmed by a template: CONFIRM of a template's bigrams
-   stand in the paragraph.
+   stand in the paragraph. Every other family is found too if its odds against
+   unknown pass the threshold and a whole template stands there.
+5. Wrapped notices: the last SPAN words up to a line's end and the first SPAN words
+   after it are judged like a line (`wrapped`), where no line without words lies
+   between. SPAN is the longest template's length, so a template lies whole in one
+   of these pieces, however short the lines are. A family found there counts for
+   the line before the break, once for each run of breaks, and only if no line in
+   reach has it by itself.
 
 Null and empty texts have no paragraphs. Lines without a word aren't paragraphs.
 Repeated rows are scanned each. An empty table gives an empty result; the model
@@ -107,6 +114,9 @@ def template_bigrams() -> dict[str, list[list[str]]]:
     return out
 
 
+SPAN = max(len(re.findall("[a-z0-9]+", t.lower())) for texts in templates().values() for t in texts)
+
+
 def likeness(family: str) -> Column:
     """The largest share of a template's n-grams (bigrams, or its only word) that stand in grams."""
     return F.greatest(F.lit(0.0), *(F.size(F.array_intersect(F.col("grams"), fixed(t))) / len(set(t)) for t in template_bigrams()[family]))
@@ -119,6 +129,22 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, line, text, words) of every line that another follows: the words around the break. uid and line are those of `paragraphs`."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(F.col("text").cast("string"), "\n"), words).alias("w"))
+    ends = rows.filter(F.size("w") > 1).select(
+        "uid", "doc_id", F.transform("w", lambda w: F.slice(w, F.greatest(F.size(w) - SPAN + 1, F.lit(1)), F.lit(SPAN))).alias("tails"), F.transform("w", lambda w: F.slice(w, 1, SPAN)).alias("heads")
+    )
+    broken = ends.select("uid", "doc_id", "tails", "heads", F.explode(F.sequence(F.lit(1), F.size("tails") - 1)).alias("n")).filter((F.size(F.element_at("tails", F.col("n"))) > 0) & (F.size(F.element_at("heads", F.col("n") + 1)) > 0))
+    none = F.array().cast("array<string>")
+    first = F.greatest(F.col("n") - SPAN + 1, F.lit(1))
+    before = F.aggregate(F.slice("tails", first, F.col("n") - first + 1), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(acc, w)))
+    after = F.aggregate(F.reverse(F.slice("heads", F.col("n") + 1, F.lit(SPAN))), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(w, acc)))
+    both = broken.select("uid", "doc_id", (F.col("n") - 1).alias("line"), before.alias("b"), F.slice(after, 1, SPAN).alias("a"))
+    own = F.concat(F.slice("b", F.greatest(F.size("b") - SPAN + 1, F.lit(1)), F.lit(SPAN)), F.col("a"))
+    return both.select("uid", "doc_id", "line", own.alias("words")).withColumn("text", F.array_join("words", " "))
+
+
 @dataclass
 class Model:
     counts: CountVectorizerModel
@@ -159,19 +185,28 @@ def train(docs: DataFrame) -> Model:
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(uid, doc_id, line, text, family, probability, likeness) of the paragraphs whose family is predicted and confirmed."""
     model = model or train(docs)
-    rows = paragraphs(docs).withColumn("words", words(F.col("text")))
+    lines = paragraphs(docs).withColumn("words", words(F.col("text"))).withColumn("wrapped", F.lit(False))
+    rows = lines.unionByName(wrapped(docs).withColumn("wrapped", F.lit(True)))
     if model.anchors is not None:
         rows = rows.filter(F.arrays_overlap("words", fixed(model.anchors) if model.anchors else F.array().cast("array<string>")))
     judged = model.weights.transform(model.counts.transform(featured(rows))).withColumn("p", vector_to_array("probability")).filter(1 - F.col("p")[0] >= model.threshold)
-    family = F.element_at(fixed(model.classes), F.array_position(F.slice("p", 2, len(model.classes) - 1), F.array_max(F.slice("p", 2, len(model.classes) - 1))).cast("int") + 1)
-    like = F.coalesce(*(F.when(F.col("family") == f, likeness(f)) for f in NAMES))
-    found = judged.withColumn("family", family).withColumn("probability", 1 - F.col("p")[0]).withColumn("likeness", like)
-    return found.filter(F.col("likeness") >= CONFIRM).select("uid", "doc_id", "line", "text", "family", "probability", "likeness")
+    likely = F.element_at(fixed(model.classes), F.array_position(F.slice("p", 2, len(model.classes) - 1), F.array_max(F.slice("p", 2, len(model.classes) - 1))).cast("int") + 1)
+
+    def passes(f: str, like: Column) -> Column:
+        p = F.col("p")[model.classes.index(f)]
+        return F.when(likely == f, like >= CONFIRM).otherwise((p >= model.threshold * (p + F.col("p")[0])) & (like >= 1))
+
+    each = F.array(*(F.struct(F.lit(f).alias("family"), likeness(f).alias("likeness"), passes(f, likeness(f)).alias("passes")) for f in NAMES))
+    found = judged.withColumn("probability", 1 - F.col("p")[0]).withColumn("found", F.explode(F.filter(each, lambda x: x["passes"])))
+    found = found.select("uid", "doc_id", "line", "text", "found.family", "probability", "found.likeness", "wrapped")
+    hits = found.groupBy("uid", "family").agg(F.collect_list(F.struct("doc_id", "line", "text", "probability", "likeness", "wrapped")).alias("h"))  # a document's hits of a family
+    new = F.filter("h", lambda x: ~x["wrapped"] | ~F.exists("h", lambda y: F.when(y["wrapped"], y["line"] == x["line"] - 1).otherwise((y["line"] > x["line"] - SPAN) & (y["line"] <= x["line"] + SPAN))))
+    return hits.select("uid", "family", F.explode(new).alias("x")).select("uid", "x.doc_id", "x.line", "x.text", "family", "x.probability", "x.likeness")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, families (in order, with commas; empty if none) and the least probability, one row for each row of docs."""
-    found = scan(docs).groupBy("uid").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
+    found = scan(docs).groupBy("uid").agg(F.count_distinct("line").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
     lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_paragraphs"))
     return rows.join(found, "uid", "left").select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")

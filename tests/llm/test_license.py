@@ -40,3 +40,21 @@ def test_all_statements_of_the_documents(spark):
     assert model.anchors
     model.anchors = None
     assert {(r.uid, r.line): r.family for r in license_scan.scan(docs, model).collect()} == found
+
+
+WRAPPED = [
+    (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal", "mit"),
+    (2, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "bsd"),
+    (3, "Some text.\n\nPermission is hereby\ngranted, free of charge,\nto any person obtaining\na copy of this software\nand associated\ndocumentation files", "mit"),
+    (4, "Licensed under the MIT License or the Apache License.", "apache,mit"),
+    (5, "Licensed under the GNU Lesser General Public License, version 3.", "lgpl"),
+    (6, "Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    (7, "Permission is hereby granted, free of charge, to any person obtaining a\n\nfishing rod.\nThe officer showed a copy", ""),
+    (8, "Released under the MIT License.\nThe end of it.\nLicensed under the Apache License, Version 2.0.", "apache,mit"),
+]
+
+
+def test_wrapped_notices_and_several_families(spark):
+    spark.createDataFrame([(i, t) for i, t, _ in WRAPPED], "doc_id long, text string").write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/license_wrapped")
+    got = {r.doc_id: (r.families, r.n_licensed) for r in license_scan.digest(spark.read.parquet(path)).collect()}
+    assert got == {i: (f, 2 if i == 8 else bool(f)) for i, _, f in WRAPPED}
