@@ -1,25 +1,28 @@
 """Near-duplicates by MinHash and an LSH forest, confirmed on full sets.
 
-1. `shingled`: every text becomes its set of 5-word shingles, as sorted 64-bit
-   hashes (with fewer words, one hash of the sequence). Texts with equal sets
-   are one class from here on, represented by its smallest doc_id.
-2. `regions`: the set's minima under TREES x DEEP hash functions are the
-   signature orders of TREES sorted trees. A region of a tree holds the sets
-   with a common prefix of SHALLOW minima; where more than REGION sets share it,
-   the region is cut at DEEP minima instead (adaptive depth).
-3. `neighbours`: in each region, in the order of the rest of the signature, a
-   set and the next one (longest common prefix) are a candidate pair. A region
-   that is large even at full depth is sorted in salted parts, which are then
-   chained by their first sets, so that no task gets all of a hot region.
-4. Each set first confirms the pair that most trees propose; linked sets form
-   components; then the other candidates that cross components are confirmed,
-   with all crossing pairs of regions of up to REGION sets.
-5. `hot_links`: the sets of larger regions that still hold several components
-   are joined exactly. Sets that are similar enough share one of their rarest
-   shingles (prefix filter); up to REGION sets with such a shingle are compared
-   in pairs, more of them as blocks of about BLOCK sets, block against block,
-   where only links between components are kept. Nothing is capped: a group of
-   n sets that the trees don't link costs (n / BLOCK)^2 block pairs.
+1. `signed`: every text becomes its set of 5-word shingles (with fewer words, the
+   sequence as one). What is kept is the set's size, a digest, and the minima
+   under TREES x DEEP hash functions, 16 bits each: the signature orders of TREES
+   sorted trees. Texts with equal sets are one class from here on, represented by
+   its smallest doc_id. The shingles themselves are not stored.
+2. `placed`: a region of a tree holds the sets with a common prefix of SHALLOW
+   minima. Regions of more than REGION sets are cut at DEEP minima instead
+   (adaptive depth); one that is large even there is dealt in salted parts.
+3. `neighbours`: in each part, in the order of the rest of the signature, a set
+   and the next one (longest common prefix) are a candidate pair. In a region of
+   more than REGION sets, each set is also paired with the one that has the most
+   company in all trees: the original of a star of copies.
+4. Each set confirms its best pair of either kind on full sets, shingled again
+   from the texts concerned; linked sets form components.
+5. `crossing`: what still crosses components inside a region is looked at in
+   full, whatever the region's size. Regions of up to REGION sets are compared
+   in pairs. Larger ones are dealt into blocks of about BLOCK sets by component,
+   and block meets block where components differ. Pairs whose signatures agree
+   in fewer places than all but FALSE of the linked pairs do are left out; the
+   others are confirmed on full sets.
+
+Nothing is capped. A group of n sets that share regions but aren't linked costs
+(n / BLOCK)^2 block pairs, each a comparison of signatures.
 
 SHALLOW is for a similarity of 0.85 and more; below, `shallow` takes as many
 minima as keep the chance that two sets share no region in any tree under MISS
@@ -29,27 +32,30 @@ Null text and text without words: n_shingles 0, linked with nothing, kept.
 Repeated rows are linked like copies, and all rows with the kept doc_id are kept.
 A null doc_id sorts before all and stays null. An empty table gives an empty
 result. Other columns are ignored by `near_duplicates` and pass through
-`deduplicated`.
+`deduplicated`. The input must be re-readable.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from picmeta.llm.shared import cut, numbered, raw, slices
+from picmeta.llm.shared import cut, discard, hinted, numbered, raw, slices
 
 WORDS = 5
 PERCENT = 85
 TREES = 20
 SHALLOW = 5
 DEEP = 8
+REST = 12  # minima that order a region
 MISS = 5e-5
+FALSE = 1e-7
 REGION = 48
 BLOCK = 256
 SEED = 20260101
@@ -94,20 +100,45 @@ def signature(s: np.ndarray, a: np.ndarray) -> np.ndarray:
     return best
 
 
+def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, mark, n_shingles, digest, orders) of each row; mark tells texts of one doc_id apart, the last two are null for empty sets. orders: TREES x DEEP minima of 16 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, spread = constants(TREES * DEEP), constants(TREES * DEEP, SEED + 2)
+        for batch in batches:
+            for b in slices(batch, 2, 1 << 20):
+                sets = shingle_sets(raw(b.column(2)), words)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                orders = [mixed(signature(s, a) * spread).astype(">u2").tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(orders, pa.binary())], names=["doc_id", "mark", "n_shingles", "digest", "orders"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked("text").alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, orders binary")
+
+
+def marked(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def shingled(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, digest, shingles) of each row; the last two are null for empty sets."""
+    """(digest, shingles) of each row of docs with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 1, 1 << 20):
-                sets = shingle_sets(raw(b.column(1)), words)
-                none = pa.array([len(s) == 0 for s in sets])
+            for b in slices(batch, 0, 1 << 20):
+                sets = [s for s in shingle_sets(raw(b.column(0)), words) if len(s)]
                 off = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets).view(np.int64)), mask=none)
-                digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), digests, lists], names=["doc_id", "n_shingles", "digest", "shingles"])
+                lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists], names=["digest", "shingles"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "digest binary, shingles array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, shingles array<long>")
+def fetched(docs: DataFrame, sets: DataFrame, digests: DataFrame, words: int = WORDS) -> DataFrame:
+    """(digest, shingles) of the digests asked for, from the texts of their representatives. The table is small where few texts have near-duplicates."""
+    asked = cut(sets.join(digests.distinct(), "digest", "left_semi").select("digest", "rep"))
+    ids = hinted(cut(asked.select(F.col("rep").alias("__rep")).distinct()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
+    return cut(shingled(texts, words).join(asked.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")))
 
 
 def shallow(percent: int) -> int:
@@ -115,78 +146,152 @@ def shallow(percent: int) -> int:
     return max(k for k in range(1, SHALLOW + 1) if k == 1 or (1 - (percent / 100) ** k) ** TREES < MISS)
 
 
-def regions(sets: DataFrame, depth: int = SHALLOW) -> tuple[DataFrame, DataFrame]:
-    """(digest, tree, region, salt, rest): the sets' places in the trees, and those (digest, tree, region, n) in regions that were cut at DEEP. sets: (digest, shingles), distinct."""
+def agreeing(percent: int, n: int = TREES * DEEP) -> int:
+    """The places of n in which two signatures agree at least; sets of that similarity agree in fewer with a chance below FALSE."""
+    p, below, k = percent / 100, 0.0, 0
+    while (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) < FALSE:
+        k += 1
+    return k
+
+
+def placed(sets: DataFrame, depth: int = SHALLOW) -> DataFrame:
+    """(digest, company, places: array of (tree, region, deep, rest, n)) of the sets that share a region with others; n: the region's sets, company: their sum."""
+    order = F.expr(f"substring(orders, tree * {2 * DEEP} + 1, {2 * DEEP})")
+    rest = F.expr(f"substring(concat(orders, orders), tree * {2 * DEEP} + {2 * depth + 1}, {2 * REST})")  # goes on in the next tree's minima
+    each = sets.select("digest", "orders", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("digest", "tree", order.alias("order"), rest.alias("rest"))
+    each = each.select("digest", "tree", F.xxhash64("tree", F.substring("order", 1, 2 * depth)).alias("region"), F.xxhash64("tree", "order").alias("deep"), F.col("rest"))
+    shared = cut(each.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"))
+    own = each.join(shared, "region").groupBy("digest").agg(F.sum("n").alias("company"), F.collect_list(F.struct("tree", "region", "deep", "rest", "n")).alias("places"))  # TREES at most
+    return cut(own)
+
+
+def neighbours(member: DataFrame) -> DataFrame:
+    """(x, y): for each set the neighbour that most trees propose, and, from regions of more than REGION sets, the one with the most company. member: `placed`."""
+    each = member.select("digest", "company", F.explode("places").alias("p")).select("digest", "company", "p.*")
+    hot = each.filter(F.col("n") > REGION)
+    counts = cut(hot.groupBy("deep").agg(F.count("*").alias("m")).filter("m > 1"))
+    cutting = hot.join(counts, "deep").select("digest", F.col("deep").alias("part"), "rest", F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("m") / REGION)).alias("salt"))
+    parts = each.filter(F.col("n") <= REGION).select("digest", F.col("region").alias("part"), "rest", F.lit(0).cast("long").alias("salt")).unionByName(cutting)
+    ordered = parts.groupBy("part", "salt").agg(F.sort_array(F.collect_list(F.struct("rest", "digest"))).alias("m")).filter(F.size("m") > 1)  # about REGION sets in each
+    both = F.transform(F.sequence(F.lit(2), F.size("m")), lambda i: F.struct(F.element_at("m", i - 1)["digest"].alias("a"), F.element_at("m", i)["digest"].alias("b")))
+    pairs = ordered.select(F.explode(both).alias("p")).select("p.*")
+    sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    best = sides.groupBy("x", "y").agg(F.count("*").alias("trees")).groupBy("x").agg(F.max_by("y", F.struct("trees", "y")).alias("y"))
+    centre = hot.groupBy("region").agg(F.max(F.struct("company", "digest")).alias("c")).select("region", F.col("c.digest").alias("y"))
+    stars = hot.join(centre, "region").filter(F.col("digest") != F.col("y")).groupBy(F.col("digest").alias("x"), "y").agg(F.count("*").alias("trees")).groupBy("x").agg(F.max_by("y", F.struct("trees", "y")).alias("y"))
+    return best.unionByName(stars).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.first("x").alias("x")).select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y"))
+
+
+def screened(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) whose sizes and signatures don't rule a link out."""
+    least = agreeing(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, TREES * DEEP) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array((one == two).sum(axis=1) >= least))
+
+    one = sets.select(F.col("digest").alias("x"), F.col("orders").alias("ox"), F.col("n_shingles").alias("nx"))
+    two = sets.select(F.col("digest").alias("y"), F.col("orders").alias("oy"), F.col("n_shingles").alias("ny"))
+    both = pairs.join(one, "x").join(two, "y").filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    return both.select("x", "y", "ox", "oy").mapInArrow(run, "x binary, y binary")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, counted on the whole sets. pairs: (x, y), x in few pairs; full: (digest, shingles)."""
+    one = full.select(F.col("digest").alias("x"), F.col("shingles").alias("sx"))
+    two = full.select(F.col("digest").alias("y"), F.col("shingles").alias("sy"))
+    common = F.size(F.array_intersect("sx", "sy")).cast("long")
+    near = pairs.join(one, "x").join(two, "y").filter(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(digest, comp): for each end of an edge (a, b), a digest that stands for all it reaches. In each round nodes go to their least neighbour, the rest of the graph contracts."""
+    label, edges = None, cut(edges.select("a", "b").distinct())
+    while label is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = cut(both.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("b")).select("digest", F.least("digest", "b").alias("comp")))
+        next_ = least.select(F.col("digest").alias("comp"), F.col("comp").alias("to"))
+        to = cut(least.join(next_, "comp").select("digest", F.col("to").alias("comp")))
+        into = to.select(F.col("digest").alias("comp"), F.col("comp").alias("to"))
+        label = to if label is None else cut(label.join(into, "comp", "left").select("digest", F.coalesce("to", "comp").alias("comp")))
+        ends = [to.select(F.col("digest").alias(x), F.col("comp").alias(f"to_{x}")) for x in "ab"]
+        edges = cut(edges.join(ends[0], "a").join(ends[1], "b").filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    return label
+
+
+def forest(links: Iterator[tuple[int, int]], n: int) -> list[int]:
+    """The places of those links that join what earlier ones have not joined."""
+    root, kept = list(range(n)), []
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for i, (a, b) in enumerate(links):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return kept
+
+
+def alike(orders: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets left x right may be linked, by their signatures (rows of orders) and sizes n."""
+    same = np.zeros((len(left), len(right)), np.int16)
+    for k in range(orders.shape[1]):
+        same += orders[left, k][:, None] == orders[right, k][None]
+    few, many = np.minimum(n[left][:, None], n[right][None]), np.maximum(n[left][:, None], n[right][None])
+    return (same >= agreeing(percent, orders.shape[1])) & (few * 100 >= many * percent)
+
+
+def crossing(own: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x, y): the pairs of different components in regions of up to REGION sets that signatures don't rule out. own: (region, digest, comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = constants(TREES * DEEP)
         for b in batches:
-            for r in range(0, b.num_rows, 500):
-                part = b.slice(r, 500)
-                values, off = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), part.column(1).value_lengths().to_numpy()
-                ends = np.cumsum(off)
-                sig = np.stack([signature(values[e - n : e], a) for e, n in zip(ends, off, strict=True)]).reshape(-1, DEEP)
-                spread = mixed(sig * constants(DEEP, SEED + 2))
-                first, deep = spread[:, :depth].sum(axis=1), spread.sum(axis=1)
-                order = pa.array([x.tobytes() for x in sig[:, depth:].astype(">u8")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist() and np.repeat(np.array(part.column(0).to_pylist(), object), TREES), pa.binary()), pa.array(np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)), pa.array(first.view(np.int64)), pa.array(deep.view(np.int64)), order], names=["digest", "tree", "shallow", "deep", "rest"])
-
-    placed = cut(sets.select("digest", "shingles").mapInArrow(run, "digest binary, tree int, shallow long, deep long, rest binary"))
-    large = placed.groupBy("tree", "shallow").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    large = cut(large)
-    first = placed.join(large, ["tree", "shallow"])  # a set alone in its region has no neighbours there
-    fine = first.filter(F.col("n") <= REGION).select("digest", "tree", F.col("shallow").alias("region"), "rest", "n")
-    over = first.filter(F.col("n") > REGION)
-    hot = over.drop("n")
-    counts = cut(hot.groupBy("tree", "deep").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
-    cutting = hot.join(counts, ["tree", "deep"]).select("digest", "tree", F.col("deep").alias("region"), "rest", "n")
-    both = fine.unionByName(cutting)
-    salted = both.withColumn("salt", F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("n") / REGION)).cast("int"))
-    return salted, over.select("digest", "tree", F.col("shallow").alias("region"), "n")
-
-
-def neighbours(placed: DataFrame) -> DataFrame:
-    """(a, b, trees), a < b: pairs next to each other, and the number of trees that propose them."""
-    sorted_parts = placed.groupBy("tree", "region", "salt").agg(F.sort_array(F.collect_list(F.struct("rest", "digest"))).alias("m"))  # about REGION sets in each
-    pair = F.transform(F.sequence(F.lit(2), F.size("m")), lambda i: F.struct(F.element_at("m", i - 1)["digest"].alias("x"), F.element_at("m", i)["digest"].alias("y")))
-    inside = sorted_parts.filter(F.size("m") > 1).select(F.explode(pair).alias("p")).select("p.*")
-    heads = placed.filter(F.col("n") > REGION).groupBy("tree", "region", "salt").agg(F.min(F.struct("rest", "digest")).alias("h"))
-    chain = heads.groupBy("tree", "region").agg(F.sort_array(F.collect_list("h")).alias("m")).filter(F.size("m") > 1)
-    across = chain.select(F.explode(pair).alias("p")).select("p.*")
-    return inside.unionByName(across).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("trees"))
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, counted on the whole sets."""
-    one = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"), F.col("n_shingles").alias("na"))
-    two = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"), F.col("n_shingles").alias("nb"))
-    small = sets.select("digest", "n_shingles")
-    near = pairs.select("a", "b").join(small.select(F.col("digest").alias("a"), F.col("n_shingles").alias("n1")), "a").join(small.select(F.col("digest").alias("b"), F.col("n_shingles").alias("n2")), "b")
-    near = near.filter(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent).select("a", "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return near.join(one, "a").join(two, "b").filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
-
-
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(digest, comp): the least digest that each node reaches. Minimum labels spread along edges, and labels of labels are followed."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(nodes.select("digest", F.col("digest").alias("comp")))
-    while True:
-        seen = both.join(label.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("comp").alias("near"))
-        spread = label.join(seen, "digest", "left").select("digest", "comp", F.least("comp", "near").alias("new"))
-        spread = cut(spread)
-        root = spread.select(F.col("digest").alias("new"), F.col("new").alias("root"))
-        after = cut(spread.join(root, "new").select("digest", F.col("root").alias("comp"), (F.col("root") != F.col("comp")).alias("moved")))
-        label = after.select("digest", "comp")
-        if after.filter("moved").isEmpty():
-            return label
-
-
-def joining(sets: pa.Table, percent: int) -> pa.Table:
-    """(a, b): links between components, as a forest, of the sets of block x with those of block y. sets: (x, y, block, digest, comp, shingles)."""
-    t = sets.combine_chunks()
+            found: tuple[list, list] = ([], [])
+            for group in b.column(0).to_pylist():
+                orders = np.frombuffer(b"".join(g["orders"] for g in group), np.uint16).reshape(len(group), -1)
+                comp, every = numbered([g["comp"] for g in group])[0], np.arange(len(group))
+                near = alike(orders, np.array([g["n_shingles"] for g in group]), every, every, percent) & (comp[:, None] < comp[None])
+                for i, j in np.argwhere(near):
+                    found[0].append(group[i]["digest"])
+                    found[1].append(group[j]["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()) for f in found], names=["x", "y"])
+
+    groups = own.join(sets.select("digest", "orders", "n_shingles"), "digest").groupBy("region").agg(F.collect_list(F.struct("digest", "comp", "orders", "n_shingles")).alias("m"))
+    return groups.select("m").mapInArrow(run, "x binary, y binary").distinct()
+
+
+def dealt(own: DataFrame) -> DataFrame:
+    """(digest, comp, block): blocks of about BLOCK sets, of one component or of several small ones. own: (region, n, digest, comp)."""
+    one = cut(own.groupBy("digest").agg(F.first("comp").alias("comp"), F.max_by("region", F.struct("n", "region")).alias("place")))
+    counted = one.groupBy("place", "comp").agg(F.count("*").alias("c"))
+    rest = counted.groupBy("place").agg(F.sum(F.when(F.col("c") < BLOCK, F.col("c"))).alias("r"))
+    sizes = cut(counted.join(rest, "place"))
+    block = F.when(F.col("c") >= BLOCK, F.xxhash64("place", "comp", F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / BLOCK)))).otherwise(F.xxhash64("place", F.pmod(F.xxhash64("comp"), F.ceil(F.col("r") / BLOCK))))
+    return cut(one.join(sizes, ["place", "comp"]).select("digest", "comp", block.alias("block")))
+
+
+def facing(t: pa.Table, percent: int) -> pa.Table:
+    """(x, y, digest): the sets of block x and block y that signatures don't rule out as linked across components. t: (x, y, block, digest, comp, orders, n_shingles)."""
+    digests, blocks, comp = t["digest"].to_pylist(), t["block"].to_numpy(), numbered(t["comp"].to_pylist())[0]
+    x, y = t["x"][0].as_py(), t["y"][0].as_py()
+    left, right = np.flatnonzero(blocks == x), np.flatnonzero(blocks == y)
+    orders = np.frombuffer(b"".join(t["orders"].to_pylist()), np.uint16).reshape(len(digests), -1)
+    near = alike(orders, t["n_shingles"].to_numpy(), left, right, percent) & (comp[left][:, None] != comp[right][None])
+    own = np.unique(np.concatenate([left[near.any(axis=1)], right[near.any(axis=0)]]))
+    return pa.table({"x": pa.array([x] * len(own), pa.int64()), "y": pa.array([y] * len(own), pa.int64()), "digest": pa.array([digests[i] for i in own], pa.binary())})
+
+
+def joining(t: pa.Table, percent: int) -> pa.Table:
+    """(a, b): links between components, as a forest, of the sets of block x with those of block y, on full sets. t: (x, y, block, digest, comp, shingles)."""
+    t = t.combine_chunks()
     lists, digests = t["shingles"].combine_chunks(), t["digest"].to_pylist()
-    n, blocks, (comp, _) = lists.value_lengths().to_numpy().astype(np.int64), t["block"].to_numpy(), numbered(t["comp"].to_pylist())
+    n, blocks, (comp, names) = lists.value_lengths().to_numpy().astype(np.int64), t["block"].to_numpy(), numbered(t["comp"].to_pylist())
     left, right = (np.flatnonzero(blocks == t[c][0].as_py()) for c in ("x", "y"))
     _, at, times = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
     row, shared = np.repeat(np.arange(len(n)), n), times > 1  # what one set has alone is in no intersection
@@ -201,86 +306,69 @@ def joining(sets: pa.Table, percent: int) -> pa.Table:
         has[row[part], at[part] - k] = 1
         common += has[left] @ has[right].T
     both = common.astype(np.int64)
-    near = (both * 100 >= (n[left][:, None] + n[right][None] - both) * percent) & (comp[left][:, None] != comp[right][None])
-    root, links = list(range(len(n))), []
-
-    def top(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    for i, j in np.argwhere(near):
-        a, b = top(int(comp[left[i]])), top(int(comp[right[j]]))
-        if a != b:
-            root[a] = b
-            links.append(sorted((digests[left[i]], digests[right[j]])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
-
-
-def hot_links(hot: DataFrame, sets: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(a, b): links between the components of the sets in hot regions that hold several; None if there are no such regions. hot: (digest, tree, region, n)."""
-    member = cut(hot.join(label, "digest"))
-    split = cut(member.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region"))
-    if split.isEmpty():
-        return None
-    own = cut(member.join(split, ["tree", "region"]).groupBy("digest").agg(F.first("comp").alias("comp"), F.max_by(F.xxhash64("tree", "region"), F.struct("n", "tree")).alias("place")))
-    tokens = own.select("digest").join(sets, "digest").select("digest", F.explode("shingles").alias("s"))
-    times = cut(tokens.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1"))
-    shared = tokens.join(times, "s").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("m"))  # as long as the set at most
-    alone = F.col("n_shingles") - F.size("m")  # shingles of no other set come first in the prefix
-    length = F.col("n_shingles") - F.expr(f"(n_shingles * {percent} + 99) div 100") + 1 - alone
-    rarest = shared.join(sets.select("digest", "n_shingles"), "digest").select("digest", F.explode(F.slice("m", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("p")).select("digest", F.col("p.s").alias("s"))
-    prefix = cut(rarest.join(own, "digest"))
-    groups = cut(prefix.groupBy("s").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s", "g"))
-    prefix = cut(prefix.join(groups, "s"))
-    few, many = prefix.filter(F.col("g") <= REGION), prefix.filter(F.col("g") > REGION)
-    pairs = few.select("s", F.col("digest").alias("a"), F.col("comp").alias("ca")).join(few.select("s", F.col("digest").alias("b"), F.col("comp").alias("cb")), "s").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    one_by_one = confirmed(pairs, sets, percent)
-    large = cut(many.select("digest", "comp", "place").distinct())
-    counted = large.groupBy("place", "comp").agg(F.count("*").alias("c"))
-    rest = counted.groupBy("place").agg(F.sum(F.when(F.col("c") < BLOCK, F.col("c"))).alias("r"))
-    sizes = cut(counted.join(rest, "place"))
-    block = F.when(F.col("c") >= BLOCK, F.xxhash64("place", "comp", F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / BLOCK)))).otherwise(F.xxhash64("place", F.pmod(F.xxhash64("comp"), F.ceil(F.col("r") / BLOCK))))
-    dealt = cut(large.join(sizes, ["place", "comp"]).select("digest", "comp", block.alias("block")))
-    touch = cut(many.select("digest", "s").join(dealt, "digest").groupBy("s", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
-    x, y = touch.select("s", F.col("block").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx")), touch.select("s", F.col("block").alias("y"), F.col("lo").alias("ly"), F.col("hi").alias("hy"))
-    facing = cut(x.join(y, "s").filter("x <= y AND least(lx, ly) <> greatest(hx, hy)").select("x", "y").distinct())
-    sides = facing.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(dealt, "block").join(sets.select("digest", "shingles"), "digest")
-    in_blocks = sides.select("x", "y", "block", "digest", "comp", "shingles").groupBy("x", "y").applyInArrow(lambda t: joining(t, percent), "a binary, b binary")
-    return cut(one_by_one.unionByName(in_blocks))
+    near = np.argwhere((both * 100 >= (n[left][:, None] + n[right][None] - both) * percent) & (comp[left][:, None] != comp[right][None]))
+    links = [sorted((digests[left[near[i, 0]]], digests[right[near[i, 1]]])) for i in forest(((int(comp[left[i]]), int(comp[right[j]])) for i, j in near), len(names))]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def hot_links(own: DataFrame, docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(a, b): links between components in regions of more than REGION sets. own: (region, n, digest, comp)."""
+    seats = dealt(own)
+    touch = cut(own.select("region", "digest").join(seats, "digest").groupBy("region", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    x, y = touch.select("region", F.col("block").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx")), touch.select("region", F.col("block").alias("y"), F.col("lo").alias("ly"), F.col("hi").alias("hy"))
+    meeting = cut(x.join(y, "region").filter("x <= y AND least(lx, ly) <> greatest(hx, hy)").select("x", "y").distinct())
+    sides = meeting.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(seats, "block").join(sets.select("digest", "orders", "n_shingles"), "digest")
+    maybe = cut(sides.select("x", "y", "block", "digest", "comp", "orders", "n_shingles").groupBy("x", "y").applyInArrow(lambda t: facing(t, percent), "x long, y long, digest binary"))
+    full = fetched(docs, sets, maybe.select("digest"), words)
+    return maybe.join(seats, "digest").join(full, "digest").select("x", "y", "block", "digest", "comp", "shingles").groupBy("x", "y").applyInArrow(lambda t: joining(t, percent), "a binary, b binary")
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, kept), one row per row of docs."""
+    rows = cut(signed(docs, words))
+    sets = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.first("orders").alias("orders"), F.first("n_shingles").alias("n_shingles"))
+    sets = cut(sets)
+    member = placed(sets, shallow(percent))
+    pairs = cut(screened(cut(neighbours(member)), sets, percent))
+    sure = cut(confirmed(pairs, fetched(docs, sets, pairs.select(F.explode(F.array("x", "y")).alias("digest")), words), percent))
+    label = components(sure)
+    each = member.select("digest", F.explode("places").alias("p")).select("digest", "p.region", "p.n").join(label, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    each = cut(each)
+    split = cut(each.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("region"))
+    own = cut(each.join(split, "region"))
+    discard(each, split, member)
+    few = cut(crossing(own.filter(F.col("n") <= REGION), sets, percent))
+    more = cut(confirmed(few, fetched(docs, sets, few.select(F.explode(F.array("x", "y")).alias("digest")), words), percent))
+    hot = own.filter(F.col("n") > REGION)
+    links = sure.unionByName(more)
+    if not hot.isEmpty():
+        links = links.unionByName(cut(hot_links(hot, docs, sets, percent, words)))
+    final = components(links)
+    named = sets.select("digest", "rep", "nameless").join(final, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("component"), F.max("nameless").alias("nameless"))
+    ids = named.select("digest", "comp").join(least, "comp").select("digest", F.when(~F.col("nameless"), F.col("component")).alias("component"), F.lit(True).alias("found"))
+    all_rows = rows.select("doc_id", "mark", "n_shingles", "digest").join(ids, "digest", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
+    return all_rows.select("doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
-    rows = cut(shingled(docs, words).drop("shingles"))  # the sets are computed again, as they are larger than the texts
-    sets = cut(shingled(docs, words).filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")))
-    placed, hot = regions(sets, shallow(percent))
-    placed = cut(placed)
-    pairs = cut(neighbours(placed))
-    by_node = pairs.select(F.col("a").alias("digest"), "a", "b", "trees").unionByName(pairs.select(F.col("b").alias("digest"), "a", "b", "trees"))
-    best = by_node.groupBy("digest").agg(F.max_by(F.struct("a", "b"), F.struct("trees", "a", "b")).alias("p")).select("p.*").distinct()
-    sure = cut(confirmed(best, sets, percent))
-    nodes = cut(by_node.select("digest").unionByName(hot.select("digest")).distinct())
-    label = components(sure, nodes)
-    member = cut(placed.filter(F.col("n") <= REGION).select("tree", "region", "digest").join(label, "digest"))
-    mixed_regions = member.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tree", "region")
-    split = cut(member.join(mixed_regions, ["tree", "region"]))
-    left, right = split.select("tree", "region", F.col("digest").alias("a"), F.col("comp").alias("ca")), split.select("tree", "region", F.col("digest").alias("b"), F.col("comp").alias("cb"))
-    crossing = left.join(right, ["tree", "region"]).filter("a < b AND ca <> cb").select("a", "b")
-    others = pairs.join(label.select(F.col("digest").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("digest").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb").select("a", "b")
-    more = cut(confirmed(crossing.unionByName(others).distinct().join(best, ["a", "b"], "left_anti"), sets, percent))
-    final = components(sure.unionByName(more), nodes)
-    links = hot_links(hot, sets, final, percent)
-    if links is not None:
-        final = components(sure.unionByName(more).unionByName(links), nodes)
-    named = sets.select("digest", "rep", "nameless").join(final, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component"), F.max("nameless").alias("nameless"))
-    ids = named.select("digest", "comp").join(least, "comp").select("digest", F.when(~F.col("nameless"), F.col("component")).alias("component"), F.lit(True).alias("found"))
-    own = rows.join(ids, "digest", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
-    return own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return classes(docs, percent, words).drop("mark")
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, without those that a document with a smaller doc_id stands for."""
-    lost = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__lost")), "left_anti")
+    """The rows of docs, all columns, without those that a document with a smaller doc_id stands for. Rows of one doc_id with different texts are judged each."""
+    lost = cut(classes(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__lost"), F.col("mark").alias("__mark")).distinct())
+    return docs.join(hinted(lost), F.col("doc_id").cast("long").eqNullSafe(F.col("__lost")) & (marked("text") == F.col("__mark")), "left_anti")
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) >= {WORDS} THEN list_transform(range(1, len(ws) - {WORDS} + 2), lambda i: array_to_string(ws[i:i + {WORDS} - 1], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= {PERCENT} * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.y FROM r JOIN e ON r.other = e.x),
+c AS (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = r.other GROUP BY r.rid)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN c ON c.rid = d.rid LEFT JOIN n ON n.rid = d.rid"""

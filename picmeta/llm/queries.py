@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     kept = spark.conf.get("picmeta.checkpoint.dir", None)
     if not kept:
         kept = "file://" + tempfile.mkdtemp(prefix="picmeta-checkpoint-")
@@ -33,17 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/picmeta/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, per_file: int = 0) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lost executors cost no recomputation. per_file: rows in a file, for large rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/picmeta/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/picmeta/{spark.sparkContext.applicationId}/" in path:
+                delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has cut; for when results that read it are stored elsewhere."""
+    delete(spark, scratch(spark))
+
+
+def hinted(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """df (a few fixed-width columns) with a broadcast hint if it has at most so many rows; else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def remainder(doc_id: str | Column, m: int) -> Column:
