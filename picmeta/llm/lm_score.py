@@ -1,28 +1,24 @@
 """Language-model scores: the marginal probability of a text over a subword lattice.
 
 The scores of a public unigram vocabulary weigh every segmentation of every
-word; the log-space forward recursion sums them. A training word as a whole is
-one more arc of its lattice, beside the pieces:
-
-    P(word) = lam * c / words + (1 - lam) * sum over segmentations of prod P(piece)
-
-with lam = words / (words + distinct words). P(piece) starts from the
-vocabulary's own scores and is fitted to the training words in STEPS expectation
-steps. A text's log10 probability is the sum over its words and its end; P(end)
-is the share of ends among all tokens, and what is left goes to the words.
-Beside it stands the base: add-one word unigrams of the training rows. Text is
-lower-cased (A-Z) and cut at ASCII white space; an end follows each text.
-
-1. `word_counts`: tasks count their training words, Spark sums by word.
-2. `fitted`: expected piece counts of the distinct words, summed by piece.
-3. Words with at least 1 / HEAVY of all training tokens are at most HEAVY in
-   number; they are broadcast and scored where the text is read.
-4. The other words of each text are joined with the counts, one row per text and
-   distinct word, and summed by text.
-
-Null text counts as empty: one token, its end. A null doc_id hashes as the empty
-text. Repeated rows are texts of their own. Without training rows N and V are 0.
-An empty table gives an empty result. The input must be re-readable.
+word; the log-space forward recursion sums them. A text's log10 probability is
+the sum over its words (no piece spans two). Beside it stands the base: add-one
+word unigrams of the training rows. Text is lower-cased (A-Z) and cut at ASCII
+white space; for the base, an end follows each text.
+
+1. `word_counts`: tasks count their words, in training rows and in all, and Spark
+   sums by word. So each distinct word is segmented once, by `scored`.
+2. Words with at least 1 / HEAVY of all tokens are at most HEAVY in number; they
+   are broadcast, with count and score, and looked up where the text is read.
+3. The other words go out as one row per text and distinct word, are joined with
+   the words' table and summed by text. Each text also sends one row of its own
+   sums; its key begins with a space, as no word does, so it matches nothing and
+   such rows are dealt evenly.
+
+Null text counts as empty: one token, its end; its score is 0. A null doc_id
+hashes as the empty text. Repeated rows are texts of their own. Without training
+rows N and V are 0. An empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,133 +31,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from picmeta.llm.lattice import MARK_BYTES, UNKNOWN_PENALTY, Lattice, Vocabulary
+from picmeta.llm.lattice import MARK_BYTES, Lattice, Vocabulary
 from picmeta.llm.shared import cut, numbered, raw, remainder, slices
 
-HEAVY = 20_000
-CHUNK = 20_000
-HELD = 200_000
-STEPS = 3
-UNIT = 1_000_000
-SMOOTHING = 0.01
+HEAVY = 100_000
+HELD = 100_000
+CHUNK = 1 << 17  # bytes in a lattice
+SLICE = 1 << 20
 LN10 = math.log(10)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) of the column text."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, c, n): the count of each word of docs (train, text) in training rows and in all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: dict[bytes, int] = {}  # n, and c above the 32nd bit
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+            both = np.array(list(counts.values()), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(both >> 32), pa.array(both & 0xFFFFFFFF)], names=["word", "c", "n"])
 
         for batch in batches:
-            for b in slices(batch, 0):
-                at, distinct = numbered([w for t in raw(b.column(0)) for w in (t or b"").lower().split()])
-                for w, n in zip(distinct, np.bincount(at, minlength=len(distinct)).tolist(), strict=True):
+            for b in slices(batch, 1, SLICE):
+                own = [(t or b"").lower().split() for t in raw(b.column(1))]
+                at, distinct = numbered([w for x in own for w in x])
+                train = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(bool), [len(x) for x in own])
+                both = np.bincount(at, minlength=len(distinct)) + (np.bincount(at[train], minlength=len(distinct)) << 32)
+                for w, n in zip(distinct, both.tolist(), strict=True):
                     counts[w] = counts.get(w, 0) + n
                 if len(counts) > HELD:
                     yield out()
                     counts.clear()
         yield out()
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("train", F.col("text").cast("string")).mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fitted(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """The log probability of each piece (a row; the last for unknown) after one expectation step from vocab's scores, in whole millionths so that the order of additions doesn't matter."""
+def scored(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """counts (word, c, n) with sub: the log10 of the summed probability of the word's segmentations."""
     shared = counts.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        prior = np.append(v.scores, v.unknown_score)[:, None]
-        total = np.zeros(len(prior))
+        logp = np.append(v.scores, v.unknown_score)[:, None]
         for b in batches:
-            for part in slices(b, 0, 1 << 17):
-                total += Lattice(v, [MARK_BYTES + w for w in raw(part.column(0))]).expected(prior, part.column(1).to_numpy().astype(float)[:, None])[:, 0]
-        whole = np.rint(total * UNIT).astype(np.int64)
-        at = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(at.astype(np.int32)), "n": pa.array(whole[at])})
+            for part in slices(b, 0, CHUNK):
+                sub = Lattice(v, [MARK_BYTES + w for w in raw(part.column(0))]).forward(logp)[:, 0] / LN10
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sub)], names=["word", "c", "n", "sub"])
 
-    p = np.zeros(len(vocab.scores) + 1)
-    for r in counts.select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():  # as many as pieces
-        p[r.piece] = r.n / UNIT
-    p += SMOOTHING
-    return np.log(p / p.sum())
+    return counts.mapInArrow(run, "word binary, c long, n long, sub double")
 
 
 def lm_score(docs: DataFrame, path: str | None = None, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
-    train = docs.filter(remainder("doc_id", 7) != 2)
-    counts = cut(word_counts(train))
-    words, distinct, ends = *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first(), train.count()
+    flagged = docs.select((remainder("doc_id", 7) != 2).alias("train"), "text")
+    table = cut(scored(cut(word_counts(flagged)), Vocabulary.load(path)))
+    words, every, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    ends = flagged.filter("train").count()
     tokens, v = words + ends, distinct + (ends > 0)
-    frequent = counts.filter(F.col("c") * heavy >= tokens)
-    vocab = Vocabulary.load(path)
-    for _ in range(STEPS if words else 0):
-        logp = fitted(counts, vocab)
-        vocab.scores, vocab.unknown_score = logp[:-1], float(logp[-1]) - UNKNOWN_PENALTY
-    whole = math.log(words / (words + distinct) / words) if words else 0.0  # of one count
-    rest = math.log(distinct / (words + distinct)) if words else 0.0
-    inside = math.log10((words + 1) / (tokens + 2))
-    ending = math.log10((ends + 1) / (tokens + 2))
-    shared = spark.sparkContext.broadcast((vocab, {bytes(r.word): r.c for r in frequent.toLocalIterator()}))
+    frequent = F.col("n") * heavy >= every
+    common_words = spark.sparkContext.broadcast({bytes(r.word): (r.c, r.sub) for r in table.filter(frequent).toLocalIterator()})  # HEAVY at most
     less = math.log10(tokens + v + 1)
     ended = math.log10(ends + 1) - less
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, common = shared.value
-        logp = np.append(vocab.scores, vocab.unknown_score)[:, None]
-        place: dict[bytes, int] = {}
-        known = np.zeros(1024)
+        common, none = common_words.value, (-1, 0.0)
         for batch in batches:
-            for b in slices(batch, 3):
+            for b in slices(batch, 3, SLICE):
                 own = [(t or b"").lower().split() for t in raw(b.column(3))]
-                n = np.array([len(x) for x in own], np.int64)
+                m, n = len(own), np.array([len(x) for x in own], np.int64)
                 at, distinct = numbered([w for x in own for w in x])
-                if len(place) > HELD:
-                    place.clear()
-                new = [w for w in distinct if w not in place]
-                while len(place) + len(new) > len(known):
-                    known = np.concatenate([known, np.zeros_like(known)])
-                for i in range(0, len(new), CHUNK):
-                    part = new[i : i + CHUNK]
-                    known[len(place) : len(place) + len(part)] = Lattice(vocab, [MARK_BYTES + w for w in part]).forward(logp)[:, 0]
-                    place.update(zip(part, range(len(place), len(place) + len(part)), strict=True))
-                doc = np.repeat(np.arange(len(own)), n)
-                rows = np.array([place[w] for w in distinct], np.int64)[at]
-                c = np.array([common.get(w, 0) for w in distinct], np.int64)[at] if len(at) else at
-                with np.errstate(divide="ignore"):
-                    arc = np.where(c > 0, np.logaddexp(whole + np.log(c), rest + known[rows]), 0.0)
-                score = np.bincount(doc, arc, len(own)) / LN10
-                sums = np.bincount(doc, np.log10(c + 1.0), len(own))
-                hits = np.bincount(doc, c > 0, len(own)).astype(np.int64)
-                rare = np.flatnonzero(c == 0)
-                pair, k = np.unique(doc[rare] * max(len(distinct), 1) + at[rare], return_counts=True)
-                d, w = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
-                off = np.searchsorted(d, np.arange(len(own) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(distinct, pa.binary()).take(pa.array(w)), pa.array(k, pa.int64()), pa.array(known[np.array([place[x] for x in distinct], np.int64)[w]] + rest)], names=["word", "k", "sub"]))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n + 1), pa.array(hits), pa.array(sums), pa.array(score), lists], names=NAMES)
-
-    NAMES = ["uid", "doc_id", "held_out", "n_tokens", "hits", "sums", "score", "rare"]
+                c, sub = (np.array(x) for x in zip(*[common.get(w, none) for w in distinct] or [none]))
+                doc, c, sub = np.repeat(np.arange(m), n), c[at] if len(at) else at, sub[at] if len(at) else at
+                sums, score = np.bincount(doc, np.log10(np.maximum(c, 0) + 1.0), m), np.bincount(doc, sub, m)
+                hits = np.bincount(doc, c > 0, m).astype(np.int64)
+                rare, size = np.flatnonzero(c < 0), max(len(distinct), 1)
+                pair, k = np.unique(doc[rare] * size + at[rare], return_counts=True)
+                head = pa.StructArray.from_arrays([b.column(1), b.column(2), pa.array(n + 1), pa.array(hits), pa.array(sums), pa.array(score)], names=HEAD)
+                uid = b.column(0)
+                keys = pa.array([b" %d" % u for u in uid.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([uid, keys, pa.array(np.zeros(m, np.int64)), head], names=["uid", "word", "k", "head"])
+                yield pa.RecordBatch.from_arrays([uid.take(pa.array(pair // size)), pa.array(distinct, pa.binary()).take(pa.array(pair % size)), pa.array(k.astype(np.int64)), pa.nulls(len(pair), head.type)], names=["uid", "word", "k", "head"])
+
+    HEAD = ["doc_id", "held_out", "n_tokens", "hits", "sums", "score"]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), (remainder("doc_id", 7) == 2).alias("held_out"), F.col("text").cast("string"))
-    scored = cut(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, hits long, sums double, score double, rare array<struct<word:binary,k:long,sub:double>>"))
-    asked = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k", "r.sub")
-    own = F.log("c") + whole
-    high, low = F.greatest(own, "sub"), F.least(own, "sub")
-    arc = F.when(F.col("c").isNull(), F.col("sub")).otherwise(high + F.log1p(F.exp(low - high)))
-    found = asked.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("more"),
-        F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"),
-        F.sum(F.col("k") * arc / LN10).alias("sub"),
+    sent = rows.mapInArrow(run, "uid long, word binary, k long, head struct<doc_id:long,held_out:boolean,n_tokens:long,hits:long,sums:double,score:double>")
+    found = sent.join(table.filter(~frequent).select("word", "c", "sub"), "word", "left").groupBy("uid").agg(
+        *(F.max(f"head.{x}").alias(x) for x in HEAD),
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"),
+        F.sum(F.coalesce(F.col("k") * F.log10(F.col("c") + 1), F.lit(0.0))).alias("add"),
+        F.sum(F.coalesce(F.col("k") * F.col("sub"), F.lit(0.0))).alias("sub"),
     )
-    both = scored.drop("rare").join(found, "uid", "left")
-    return both.select(
+    return found.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("hits") + F.coalesce("more", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
+        (F.col("hits") + F.col("more") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.coalesce("add", F.lit(0.0)) - (F.col("n_tokens") - 1) * less + ended).alias("base_score"),
-        (F.col("score") + F.coalesce("sub", F.lit(0.0)) + (F.col("n_tokens") - 1) * inside + ending).alias("score"),
+        F.round(F.col("sums") + F.col("add") - (F.col("n_tokens") - 1) * less + ended, 9).alias("base_score"),  # sums add in any order
+        F.round(F.col("score") + F.col("sub"), 9).alias("score"),
     )
+
+
+def base(scores: DataFrame) -> DataFrame:
+    """What SQL can express of the scores; base_score in whole thousandths."""
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round(F.col("base_score") * 1000).cast("long").alias("base_thousandths"))
+
+
+#: held_out needs crc32, which DuckDB lacks; it is made here from a table of bytes by bitwise steps.
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1), lambda i: ascii(substr(coalesce(doc_id::VARCHAR, ''), i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))"
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws, xor({_CRC}, 4294967295) % 7 = 2 AS held_out FROM documents),
+w AS (SELECT rid, held_out, unnest(list_append(ws, ' ')) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w),
+t AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT any_value(doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(t.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (t.n + t.v + 1))) * 1000)::BIGINT AS base_thousandths
+FROM d JOIN w USING (rid) LEFT JOIN c USING (w) CROSS JOIN t GROUP BY rid"""

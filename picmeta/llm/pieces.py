@@ -11,7 +11,8 @@ No piece of the vocabulary has a marker behind another character, or a line
 end, so the text is cut there and each distinct part is segmented once.
 
 Null text: null ids. Empty text: no ids. Repeated rows are encoded each; an
-empty table gives an empty result. Other columns pass through.
+empty table gives an empty result. Other columns pass through, but for one named
+ids (or decoded), which the result replaces.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from picmeta.llm.lattice import MARK, MARK_BYTES, Lattice, Vocabulary
 from picmeta.llm.shared import numbered, raw, slices
 
 PARTS = re.compile(rf" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
-CHUNK = 20_000
-HELD = 200_000
+CHUNK = 10_000  # parts in a lattice
+HELD = 50_000  # parts that a task remembers
+SLICE = 1 << 20  # bytes of text at once
 
 
 class Encoder:
@@ -96,7 +98,7 @@ def encode(docs: DataFrame, path: str | None = None, scores: str = "zipf") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for b in slices(batch, at):
+            for b in slices(batch, at, SLICE):
                 texts = raw(b.column(at))
                 ids, off = encoder(texts)
                 mask = pa.array([t is None for t in texts])
@@ -106,6 +108,28 @@ def encode(docs: DataFrame, path: str | None = None, scores: str = "zipf") -> Da
     return docs.mapInArrow(run, schema)
 
 
+def decoded(said: list[bytes], ids: list[int]) -> bytes:
+    return b"".join([said[k] for k in ids]).removeprefix(b" ")
+
+
+def round_trips(docs: DataFrame, path: str | None = None, scores: str = "zipf") -> DataFrame:
+    """(doc_id, ids, n_pieces, round_trip) of each row of docs: encoded, decoded and compared with the text in one pass. For null text: null ids, -1 pieces, true."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, scores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, said = Encoder(shared.value), written(shared.value)
+        for batch in batches:
+            for b in slices(batch, 1, SLICE):
+                texts = raw(b.column(1))
+                ids, off = encoder(texts)
+                same = [t is None or decoded(said, ids[i:j].tolist()) == t for t, i, j in zip(texts, off[:-1], off[1:], strict=True)]
+                none = pa.array([t is None for t in texts])
+                n = np.where(none.to_numpy(zero_copy_only=False), -1, np.diff(off))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=none), pa.array(n.astype(np.int64)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of encoded, then decoded: the text of ids (null for null; ids outside the vocabulary are an error)."""
     encoded = encoded.drop("decoded")
@@ -118,12 +142,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = [None if x is None else b"".join([said[k] for k in x]).removeprefix(b" ").decode("utf-8", "replace") for x in part.column(at).to_pylist()]
+                texts = [None if x is None else decoded(said, x).decode("utf-8", "replace") for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
-
-
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, ids, n_pieces and whether the decoded text is the text."""
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -17,13 +17,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3."""
+    return lm_score.base(op3_lm_score(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -62,8 +67,8 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest, lm_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE, "lm_base": lm_score.ORACLE}
