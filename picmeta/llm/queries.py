@@ -52,6 +52,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def mix_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7."""
+    return source_mix.goals(op7_source_mix(spark, sf_dir))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose id is divisible by 100 are the queries, against all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -67,8 +72,8 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest, lm_base)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest, lm_base, mix_goals)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE, "lm_base": lm_score.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE, "lm_base": lm_score.ORACLE, "mix_goals": source_mix.ORACLE}

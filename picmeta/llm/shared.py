@@ -41,11 +41,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/picmeta/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, per_file: int = 0) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lost executors cost no recomputation. per_file: rows in a file, for large rows."""
+def cut(df: DataFrame, per_file: int = 0, by: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lost executors cost no recomputation. per_file: rows in a file, for large rows; by: a last column whose values are folders."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", per_file).parquet(path)
+    writer = df.write.option("maxRecordsPerFile", per_file)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,12 +19,15 @@ Nothing but one error figure per iteration reaches the driver.
 chunks of about CHUNK documents, and in each chunk, from the longest text to the
 shortest, copies are chosen between floor(r) and ceil(r) so that the words taken
 follow the words wanted. The rest of a chunk is less than one of its short
-texts. No group is larger than a chunk, whatever a source holds.
+texts. Rows with the same doc_id and text are numbered, and CHUNK of them at a
+time are dealt like one document, so no group is much larger than a chunk,
+whatever a source holds. All of this hangs on contents only: the same rows in
+other files or another order give the same copies.
 
 Null text has size 0. A null source is a source, the last one. Texts of size 0
-take part with 0 words. Repeated rows are documents of their own. An empty table
-gives an empty result. The input must be re-readable (a table), since rows are
-identified by their place in it. Other columns pass through.
+take part with 0 words. Repeated rows are documents of their own; which of them
+are taken is not defined, how many is. An empty table gives an empty result.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from picmeta.llm.shared import cut
+from picmeta.llm.shared import cut, hinted
 
 SHARE = 1.5
 CAP = 2.0
@@ -48,9 +51,18 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, source, size)."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
+def sized(docs: DataFrame, uid: str = "__uid") -> DataFrame:
+    """(uid, doc_id, source, size, mark, nth): mark is a hash of the text; nth counts the rows of one doc_id and mark from 0. docs has a column uid."""
+    rows = cut(docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.spark_partition_id().alias("part")))
+    key = ["source", "doc_id", "mark"]
+    counts = rows.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each task that has the key
+    repeated = before.filter("n > 1 OR before > 0").select(*(F.col(k).alias(f"r_{k}") for k in key), F.col("part").alias("r_part"), "before")
+    same = F.col("part") == F.col("r_part")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    nth = F.when(F.col("r_part").isNull(), 0).otherwise(F.col("before") + F.row_number().over(Window.partitionBy(*key, "part").orderBy("uid")) - 1)
+    return rows.join(repeated, same, "left").select("uid", "doc_id", "source", "size", "mark", nth.cast("long").alias("nth"))
 
 
 def weighted(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -79,7 +91,7 @@ def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP) -> DataF
 def balance(hist: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     """sources with lam and scale. hist: (source, size, n)."""
     shape = hist.filter("size > 0").groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
-    ratio = F.log(F.col("target") / F.col("source_size"))
+    ratio = F.log(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")))
     s = sources.join(shape.withColumnRenamed("source", "s0"), F.col("source").eqNullSafe(F.col("s0")), "left").drop("s0")
     wide = F.col("scale") / F.col("least")
     s = s.withColumn("low", F.least(F.lit(0.0), ratio * wide)).withColumn("high", math.log(cap) * wide)
@@ -101,14 +113,17 @@ def balance(hist: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
         state = cut(new)
         if (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the dual is not solved to {TOLERANCE} after {MAX_STEPS} steps")
     return state.select("source", "source_size", "weight", "target", F.round("lam", 10).alias("lam"), "scale", "docs")  # reruns add in another order
 
 
 def rounded(rated: DataFrame, cap: float = CAP) -> DataFrame:
-    """rated (uid, doc_id, source, size, docs, rate, ...) with copies."""
-    others = [c for c in rated.columns if c not in ("source", "docs")]
-    chunk = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.ceil(F.col("docs") / CHUNK), F.lit(1)))
-    row = F.struct((-F.col("size")).alias("order"), *others)
+    """rated (uid, doc_id, source, size, mark, nth, docs, rate, ...) with copies."""
+    others = [c for c in rated.columns if c not in ("source", "docs", "mark", "nth", "doc_id", "uid")]
+    chunk = F.pmod(F.xxhash64("doc_id", "size", "mark", F.floor(F.col("nth") / CHUNK)), F.greatest(F.ceil(F.col("docs") / CHUNK), F.lit(1)))
+    row = F.struct((-F.col("size")).alias("order"), "doc_id", "mark", "nth", "uid", *others)
+    others = ["doc_id", "uid", *others]
     groups = rated.groupBy("source", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -124,18 +139,42 @@ def rounded(rated: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def mixture(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(uid, doc_id, size, source_size, target, rate, copies, taken), one row per row of docs."""
+    """(doc_id, size, source_size, target, rate, copies, taken), one row per row of docs."""
+    return copied(docs.withColumn("__uid", F.monotonically_increasing_id()), share, cap, weights).drop("uid")
+
+
+def copied(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """`mixture` with the uid of each row; docs has it as __uid."""
     rows = cut(sized(docs))
     hist = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     solved = balance(hist, cut(targets(weighted(sources, weights), share, cap)), cap)
-    tilt = F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("scale")))
-    rated = rows.join(solved.withColumnRenamed("source", "s0"), F.col("source").eqNullSafe(F.col("s0"))).select("uid", "doc_id", "source", "size", "source_size", "target", "docs", F.coalesce(tilt, F.lit(1.0)).alias("rate"))
+    tilt = F.when(F.col("lam").isNotNull(), F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))  # null in sources without words
+    solved = hinted(cut(solved.withColumnRenamed("source", "s0")))
+    rated = rows.join(solved, F.col("source").eqNullSafe(F.col("s0"))).select("uid", "doc_id", "source", "size", "mark", "nth", "source_size", "target", "docs", F.coalesce(tilt, F.lit(1.0)).alias("rate"))
     return rounded(rated, cap).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it."""
-    copies = mixture(docs, **options).filter("copies > 0").select(F.col("uid").alias("__uid0"), F.col("copies").alias("__copies"))
-    own = docs.withColumn("__uid", F.monotonically_increasing_id())
+    """The rows of docs, each as often as the mixture takes it. Rows are numbered once, in a table of their own."""
+    own = cut(docs.withColumn("__uid", F.monotonically_increasing_id()))
+    copies = copied(own, **options).filter("copies > 0").select(F.col("uid").alias("__uid0"), F.col("copies").alias("__copies"))
     return own.join(copies, F.col("__uid") == F.col("__uid0")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def goals(mixed: DataFrame) -> DataFrame:
+    """What SQL can express of a mixture; targets in whole words."""
+    return mixed.select("doc_id", "size", "source_size", F.round("target").cast("long").alias("target_words"), (F.col("taken") <= 2 * F.col("size")).alias("within_cap"))
+
+
+#: Water-filling in one pass: sources by cap per weight; a source is full if all before it and itself are full at its own level.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [{", ".join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)})::INTEGER + 1]::DOUBLE AS weight FROM d GROUP BY source),
+o AS (SELECT *, {CAP} * source_size / weight AS level, {SHARE} * sum(source_size) OVER () AS total,
+  coalesce(sum({CAP} * source_size) OVER (ORDER BY {CAP} * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+  sum(weight) OVER (ORDER BY {CAP} * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM s),
+l AS (SELECT arg_min((total - full_before) / open_weight, level) FILTER (WHERE (total - full_before) / open_weight < level) AS water FROM o)
+SELECT doc_id, size, o.source_size, round(least({CAP} * o.source_size, coalesce(l.water * o.weight, {CAP} * o.source_size)))::BIGINT AS target_words, TRUE AS within_cap
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source CROSS JOIN l"""

@@ -8,42 +8,56 @@
    holds similar ones and its bounds are tight.
 2. `statistics`: document frequencies, number of documents and mean length of all
    shards; scores of different shards are comparable and merge exactly.
-3. `search`: for each query and shard, the sum of the weighted block maxima of
-   the query's terms bounds each block. Blocks are opened from the highest bound
-   on, in waves; once k documents are held, a block (WAND's pivot test, made for
-   all blocks at once) is skipped if its bound is below the k-th score.
-4. The k best of each shard are merged by query.
+3. Shards are searched in waves, each about WAVE times as large as all before it.
+   The k-th score that a query has so far is its floor in the next wave, so a
+   wave returns about WAVE * k hits a query however many shards there are.
+4. `searched`, for each query and shard, against the threshold (the floor, or the
+   k-th score that the task has found since):
+   a. the lists' maxima in the shard: if their sum stays below the threshold, the
+      shard is skipped. The pivot is the term at which the maxima, added up from
+      the least, reach the threshold; documents without a term from the pivot on
+      can't reach it, so blocks without such a term are skipped;
+   b. the block maxima: blocks whose sum stays below are skipped. The others are
+      opened from the highest sum on, and the threshold rises on the way;
+   c. an opened block first reads the postings from the pivot on; the other
+      postings are read only where a document can still reach the threshold.
+   Cursors move by blocks, and a test is made for all blocks of a list at once:
+   that is how WAND's steps become array operations.
+5. The k best of each task are merged by query.
 
 Queries go out in blocks of about QUERIES queries and QUERY_TERMS terms, each
 broadcast on its own, so that what is sent doesn't grow with the number of
-queries. Documents are never shuffled; only k hits per query and shard are.
+queries. Documents are never shuffled; only hits are.
 
 A query's term counts as often as it stands in the query. Words are lower-cased
 (A-Z) runs of anything but ASCII white space. Documents without a common word
 are no hits. Ties go to the smaller doc_id, null first. Null and empty texts
 have no words: as queries they find nothing. Repeated rows are documents, and
 queries, of their own. An empty table gives an empty result. Other columns are
-ignored. The input must be re-readable.
+ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from picmeta.llm.shared import cut, numbered, raw, slices
+from picmeta.llm.shared import cut, numbered, raw, scratch, slices
 
 K, K1, B = 10, 1.2, 0.75
 SHARD, POSTINGS, BLOCK = 2048, 1_000_000, 64
 QUERIES, QUERY_TERMS = 4096, 2_000_000
 PER_FILE = 8  # shards in a file
+WAVE = 8
 SLACK = 1 - 1e-9  # bounds and scores are sums in different orders
+NONE = np.iinfo(np.int64).min  # stands for a null id
 SHARDS = "terms array<binary>, df array<int>, at array<int>, tf array<int>, ids array<long>, lens array<int>"
 
 
@@ -84,6 +98,12 @@ def inverted(parts: list[tuple]) -> dict:
     return {"terms": [names[i] for i in by_name], "df": np.bincount(term, minlength=len(names)), "at": at[order], "tf": tf[order], "ids": [ids[i] for i in seats], "lens": lens[seats]}
 
 
+def wave() -> Column:
+    """How often WAVE divides a random number: 0 for most shards, each further number for one in WAVE of those before."""
+    h = F.abs(F.xxhash64(F.array_join(F.slice("ids", 1, 8), ",", "-"), F.size("ids"), F.spark_partition_id()) % WAVE**12)
+    return F.size(F.filter(F.sequence(F.lit(1), F.lit(11)), lambda i: h % F.pow(F.lit(WAVE), i).cast("long") == 0))
+
+
 def index(docs: DataFrame) -> DataFrame:
     """The shards of docs (doc_id, text), written to the shared folder."""
 
@@ -107,7 +127,7 @@ def index(docs: DataFrame) -> DataFrame:
         if parts:
             yield row(parts)
 
-    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SHARDS), per_file=PER_FILE)
+    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SHARDS).withColumn("wave", wave()), per_file=PER_FILE, by="wave")
 
 
 def statistics(shards: DataFrame) -> tuple[DataFrame, int, float]:
@@ -142,91 +162,135 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))
 
 
-def searched(s: dict, words: pa.Array, codes: np.ndarray, weights: np.ndarray, off: np.ndarray, mean: float, k: int) -> tuple[list[int], list[int], list[float]]:
-    """Query numbers, places in the shard and scores of the hits of one shard."""
-    at, lens = s["at"], s["lens"]
-    n, blocks = len(lens), -(-len(lens) // BLOCK)
-    imp = s["tf"] * (K1 + 1) / (s["tf"] + K1 * (1 - B + B * lens[at] / mean))
-    ends = np.concatenate([[0], np.cumsum(s["df"])])
-    local = pc.fill_null(pc.index_in(words, s["terms"]), -1).to_numpy().astype(np.int64)
-    used = np.flatnonzero(np.isin(np.arange(len(s["terms"])), local))
-    row = np.full(len(s["terms"]) + 1, -1, np.int64)
-    row[used] = np.arange(len(used))
-    local = row[local]  # -1 stays: the last place holds -1
-    key = np.repeat(np.arange(len(s["df"])), s["df"]) * blocks + at // BLOCK
-    begin = np.searchsorted(key, used[:, None] * blocks + np.arange(blocks + 1))
-    heads = np.flatnonzero(np.diff(key, prepend=-1))
-    tops = np.maximum.reduceat(imp, heads) if len(heads) else imp
-    high = np.zeros((len(used), blocks))
-    where = row[key[heads] // blocks]
-    high[where[where >= 0], (key[heads] % blocks)[where >= 0]] = tops[where >= 0]
-    ids = s["ids"]
-    out: tuple[list[int], list[int], list[float]] = ([], [], [])
-    for q in range(len(off) - 1):
-        t, w = local[codes[off[q] : off[q + 1]]], weights[off[q] : off[q + 1]]
+class Shard:
+    """One shard with the impacts of its postings and the block maxima of the terms that queries use."""
+
+    def __init__(self, s: dict, words: pa.Array, mean: float):
+        self.at, lens, n_terms = s["at"], s["lens"], len(s["terms"])
+        self.n, blocks = len(lens), -(-len(lens) // BLOCK)
+        self.imp = s["tf"] * (K1 + 1) / (s["tf"] + K1 * (1 - B + B * lens[self.at] / mean))
+        local = pc.fill_null(pc.index_in(words, s["terms"]), -1).to_numpy().astype(np.int64)
+        used = np.flatnonzero(np.isin(np.arange(n_terms), local))
+        row = np.full(n_terms + 1, -1, np.int64)
+        row[used] = np.arange(len(used))
+        self.local = row[local]  # by word of the queries; -1 stays: the last place holds -1
+        key = np.repeat(np.arange(n_terms), s["df"]) * blocks + self.at // BLOCK
+        self.begin = np.searchsorted(key, used[:, None] * blocks + np.arange(blocks + 1))
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        tops = np.maximum.reduceat(self.imp, heads) if len(heads) else self.imp
+        self.high = np.zeros((len(used), blocks))
+        where = row[key[heads] // blocks]
+        self.high[where[where >= 0], (key[heads] % blocks)[where >= 0]] = tops[where >= 0]
+        self.highest, self.ids = self.high.max(axis=1, initial=0.0), s["ids"]
+        self.read = self.held = 0  # postings that were read, and that the queries' lists hold
+
+    def added(self, score: np.ndarray, t: np.ndarray, w: np.ndarray, blk: np.ndarray) -> None:
+        """Adds the weighed postings of terms t in blocks blk to the scores of the shard's documents."""
+        starts = self.begin[t[:, None], blk]
+        size = (self.begin[t[:, None], blk + 1] - starts).ravel()
+        post = np.repeat(starts.ravel() - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score += np.bincount(self.at[post], self.imp[post] * np.repeat(np.repeat(w, len(blk)), size), self.n)
+        self.read += len(post)
+
+    def search(self, t: np.ndarray, w: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the shard's k best documents for a query, without those that stay below floor. t: places of its words in the queries' words."""
+        t = self.local[t]
         t, w = t[t >= 0], w[t >= 0]
+        held, value = np.empty(0, np.int64), np.empty(0)
         if not len(t):
-            continue
-        bound = w @ high[t]
+            return held, value
+        self.held += int((self.begin[t, -1] - self.begin[t, 0]).sum())
+        order = np.argsort(w * self.highest[t], kind="stable")
+        t, w = t[order], w[order]
+        sums = np.cumsum(w * self.highest[t])
+        if sums[-1] < floor * SLACK - 1e-9:
+            return held, value
+        bound, wave = w @ self.high[t], 1
         todo = np.argsort(-bound, kind="stable")
         todo = todo[bound[todo] > 0]
-        held, value, wave = np.empty(0, np.int64), np.empty(0), 1
-        while len(todo):
-            if len(held) == k:
-                todo = todo[bound[todo] >= value[-1] * SLACK]
+        while True:
+            least = max(0.0, max(floor, value[-1] if len(value) == k else 0.0) * SLACK - 1e-9)
+            pivot = int(np.searchsorted(sums, least)) if least > 0 else 0  # terms before it can't reach the threshold together
+            todo = todo[bound[todo] >= least]
+            if pivot:
+                todo = todo[(self.high[t[pivot:, None], todo] > 0).any(axis=0)]
             blk, todo = np.sort(todo[:wave]), todo[wave:]
             if not len(blk):
-                break
+                return held, value
             wave *= 2
-            starts = begin[t[:, None], blk]
-            size = (begin[t[:, None], blk + 1] - starts).ravel()
-            post = np.repeat(starts.ravel() - np.cumsum(size) + size, size) + np.arange(size.sum())
-            score = np.bincount(at[post], imp[post] * np.repeat(np.repeat(w, len(blk)), size), n)
-            new = np.flatnonzero(score > (0 if len(held) < k else np.nextafter(value[-1], 0)))
-            held, value = np.concatenate([held, new]), np.concatenate([value, score[new]])
-            kept = best(value, ids[held], k)
+            score = np.zeros(self.n)
+            self.added(score, t[pivot:], w[pivot:], blk)
+            if pivot:
+                places = blk[:, None] * BLOCK + np.arange(BLOCK)
+                rest = (w[:pivot] @ self.high[t[:pivot][:, None], blk])[:, None]
+                alive = np.where(places < self.n, score[np.minimum(places, self.n - 1)], 0)
+                alive = (alive > 0) & (alive + rest >= least)
+                full = np.zeros(self.n, bool)
+                full[places[alive]] = True
+                if full.any():
+                    self.added(score, t[:pivot], w[:pivot], blk[alive.any(axis=1)])
+                score[~full] = 0
+            new = np.flatnonzero(score >= least if least > 0 else score > 0)
+            held, value = np.concatenate([held, new]), np.concatenate([value, np.round(score[new], 9)])  # equal texts score alike in all shards
+            kept = best(value, self.ids[held], k)
             held, value = held[kept], value[kept]
-        out[0].extend([q] * len(held))
-        out[1].extend(held.tolist())
-        out[2].extend(value.tolist())
-    return out
 
 
-def hits(shards: DataFrame, block: pa.Table, mean: float, k: int) -> DataFrame:
-    """(uid, query_id, doc_id, score): the k best of each shard for each query of block."""
+def hits(shards: DataFrame, block: pa.Table, floors: dict[int, float], mean: float, k: int) -> DataFrame:
+    """(uid, query_id, doc_id, score): the k best of each task's shards for each query of block, without those below their floor (by uid)."""
     block = block.combine_chunks()
     lists = block.column("terms").combine_chunks() if block.num_rows else pa.array([], block.schema.field("terms").type)
     flat = lists.flatten()
     coded = pa.array(flat.field("term").cast(pa.binary())).dictionary_encode()
-    sent = (coded.dictionary, coded.indices.to_numpy().astype(np.int64), flat.field("weight").to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))]), block.column("uid").to_numpy(), block.column("query_id").to_pylist())
+    uids = block.column("uid").to_numpy()
+    sent = (coded.dictionary, coded.indices.to_numpy().astype(np.int64), flat.field("weight").to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))]), uids, block.column("query_id").to_pylist(), np.array([floors.get(u, 0.0) for u in uids.tolist()]))
     shared = shards.sparkSession.sparkContext.broadcast(sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, codes, weights, off, uid, query = shared.value
+        words, codes, weights, off, uid, query, least = shared.value
+        least = least.copy()
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for i in range(b.num_rows):
-                r = b.slice(i, 1)
-                own = {c: r.column(j).flatten() for j, c in enumerate(r.schema.names)}
-                ids = own["ids"]
-                s = {c: own[c].to_numpy().astype(np.int64) for c in ("df", "at", "tf", "lens")} | {"terms": own["terms"].cast(pa.binary()), "ids": pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy()}
-                q, place, score = searched(s, words, codes, weights, off, mean, k)
-                at = np.array(q, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array([query[x] for x in q], pa.int64()), ids.take(pa.array(place, pa.int64())), pa.array(score, pa.float64())], names=["uid", "query_id", "doc_id", "score"])
-
-    return shards.mapInArrow(run, "uid long, query_id long, doc_id long, score double")
+                own = {c: b.slice(i, 1).column(j).flatten() for j, c in enumerate(b.schema.names) if c != "wave"}
+                s = {c: own[c].to_numpy().astype(np.int64) for c in ("df", "at", "tf", "lens")} | {"terms": own["terms"].cast(pa.binary()), "ids": pc.fill_null(own["ids"], NONE).to_numpy()}
+                shard = Shard(s, words, mean)
+                for q in range(len(uid)):
+                    place, score = shard.search(codes[off[q] : off[q + 1]], weights[off[q] : off[q + 1]], least[q], k)
+                    if len(place):
+                        before = found.get(q, (np.empty(0), np.empty(0, np.int64)))
+                        both, ids = np.concatenate([before[0], score]), np.concatenate([before[1], s["ids"][place]])
+                        kept = best(both, ids, k)
+                        found[q] = both[kept], ids[kept]
+                        if len(kept) == k:
+                            least[q] = max(least[q], both[kept[-1]])
+        at = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x, _ in found.values()])
+        score, ids = (np.concatenate([x[j] for x in found.values()]) if found else np.empty(0) for j in (0, 1))
+        ids = ids.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array([query[x] for x in at], pa.int64()), pa.array(ids, mask=ids == NONE), pa.array(score, pa.float64())], names=["uid", "query_id", "doc_id", "score"])
+
+    return shards.select(*(c.split()[0] for c in SHARDS.split(", "))).mapInArrow(run, "uid long, query_id long, doc_id long, score double")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, queries_at_once: int = QUERIES) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents with the highest BM25 score for each row of queries (doc_id, text)."""
+    spark = docs.sparkSession
     shards = index(docs)
     df, n, mean = statistics(shards)
     asked = cut(weighed(queries, df, n))
     count, terms = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     blocks = max(1, math.ceil(count / queries_at_once), math.ceil(terms / QUERY_TERMS))
+    waves = sorted((r.wave for r in shards.select("wave").distinct().collect()), reverse=True) or [0]  # twelve at most
     order = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-    found = None
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     for i in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == i).toArrow()
-        part = cut(hits(shards, block, mean, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"))
-        found = part if found is None else found.unionByName(part)
-    return found
+        floors: dict[int, float] = {}
+        so_far = None
+        for w in waves:
+            part = hits(shards.filter(F.col("wave") == w), block, floors, mean, k)
+            part = part if so_far is None else part.unionByName(so_far)
+            so_far = cut(part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
+            floors = {r.uid: r.score for r in so_far.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).collect()}  # a block's queries
+        so_far.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
+    return spark.read.schema("query_id long, rank int, doc_id long, score double").parquet(path)
