@@ -277,14 +277,17 @@ def dealt(own: DataFrame) -> DataFrame:
 
 
 def facing(t: pa.Table, percent: int) -> pa.Table:
-    """(x, y, digest): the sets of block x and block y that signatures don't rule out as linked across components. t: (x, y, block, digest, comp, orders, n_shingles)."""
-    digests, blocks, comp = t["digest"].to_pylist(), t["block"].to_numpy(), numbered(t["comp"].to_pylist())[0]
-    x, y = t["x"][0].as_py(), t["y"][0].as_py()
-    left, right = np.flatnonzero(blocks == x), np.flatnonzero(blocks == y)
-    orders = np.frombuffer(b"".join(t["orders"].to_pylist()), np.uint16).reshape(len(digests), -1)
-    near = alike(orders, t["n_shingles"].to_numpy(), left, right, percent) & (comp[left][:, None] != comp[right][None])
+    """(x, y, block, digest, comp): the sets of block x and block y that signatures don't rule out as linked across components. t: (x, y, block, members), one or two rows."""
+    rows = t.to_pylist()
+    one, two = rows[0], rows[-1]
+    members = one["members"] if one is two else one["members"] + two["members"]
+    blocks = np.array([one["block"]] * len(one["members"]) + [two["block"]] * (len(members) - len(one["members"])))
+    comp = numbered([m["comp"] for m in members])[0]
+    left, right = np.flatnonzero(blocks == one["x"]), np.flatnonzero(blocks == one["y"])
+    orders = np.frombuffer(b"".join(m["orders"] for m in members), np.uint16).reshape(len(members), -1)
+    near = alike(orders, np.array([m["n_shingles"] for m in members]), left, right, percent) & (comp[left][:, None] != comp[right][None])
     own = np.unique(np.concatenate([left[near.any(axis=1)], right[near.any(axis=0)]]))
-    return pa.table({"x": pa.array([x] * len(own), pa.int64()), "y": pa.array([y] * len(own), pa.int64()), "digest": pa.array([digests[i] for i in own], pa.binary())})
+    return pa.table({"x": pa.array([one["x"]] * len(own), pa.int64()), "y": pa.array([one["y"]] * len(own), pa.int64()), "block": pa.array(blocks[own]), **{c: pa.array([members[i][c] for i in own], pa.binary()) for c in ("digest", "comp")}})
 
 
 def joining(t: pa.Table, percent: int) -> pa.Table:
@@ -317,10 +320,11 @@ def hot_links(own: DataFrame, docs: DataFrame, sets: DataFrame, percent: int = P
     touch = cut(own.select("region", "digest").join(seats, "digest").groupBy("region", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
     x, y = touch.select("region", F.col("block").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx")), touch.select("region", F.col("block").alias("y"), F.col("lo").alias("ly"), F.col("hi").alias("hy"))
     meeting = cut(x.join(y, "region").filter("x <= y AND least(lx, ly) <> greatest(hx, hy)").select("x", "y").distinct())
-    sides = meeting.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(seats, "block").join(sets.select("digest", "orders", "n_shingles"), "digest")
-    maybe = cut(sides.select("x", "y", "block", "digest", "comp", "orders", "n_shingles").groupBy("x", "y").applyInArrow(lambda t: facing(t, percent), "x long, y long, digest binary"))
+    blocks = cut(seats.join(sets.select("digest", "orders", "n_shingles"), "digest").groupBy("block").agg(F.collect_list(F.struct("digest", "comp", "orders", "n_shingles")).alias("members")))
+    sides = meeting.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(blocks, "block")
+    maybe = cut(sides.select("x", "y", "block", "members").groupBy("x", "y").applyInArrow(lambda t: facing(t, percent), "x long, y long, block long, digest binary, comp binary"))
     full = fetched(docs, sets, maybe.select("digest"), words)
-    return maybe.join(seats, "digest").join(full, "digest").select("x", "y", "block", "digest", "comp", "shingles").groupBy("x", "y").applyInArrow(lambda t: joining(t, percent), "a binary, b binary")
+    return maybe.join(full, "digest").select("x", "y", "block", "digest", "comp", "shingles").groupBy("x", "y").applyInArrow(lambda t: joining(t, percent), "a binary, b binary")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:

@@ -112,22 +112,24 @@ def decoded(said: list[bytes], ids: list[int]) -> bytes:
     return b"".join([said[k] for k in ids]).removeprefix(b" ")
 
 
-def round_trips(docs: DataFrame, path: str | None = None, scores: str = "zipf") -> DataFrame:
-    """(doc_id, ids, n_pieces, round_trip) of each row of docs: encoded, decoded and compared with the text in one pass. For null text: null ids, -1 pieces, true."""
+def round_trips(docs: DataFrame, path: str | None = None, scores: str = "zipf", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(the columns keep, ids, n_pieces, round_trip) of each row of docs: encoded, decoded and compared with the text in one pass. For null text: null ids, -1 pieces, true."""
+    own = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    schema = StructType(list(own.schema.fields)[:-1]).add("ids", ArrayType(IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, said = Encoder(shared.value), written(shared.value)
         for batch in batches:
-            for b in slices(batch, 1, SLICE):
-                texts = raw(b.column(1))
+            for b in slices(batch, len(keep), SLICE):
+                texts = raw(b.column(len(keep)))
                 ids, off = encoder(texts)
                 same = [t is None or decoded(said, ids[i:j].tolist()) == t for t, i, j in zip(texts, off[:-1], off[1:], strict=True)]
                 none = pa.array([t is None for t in texts])
                 n = np.where(none.to_numpy(zero_copy_only=False), -1, np.diff(off))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=none), pa.array(n.astype(np.int64)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=none), pa.array(n.astype(np.int64)), pa.array(same, pa.bool_())], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    return own.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
