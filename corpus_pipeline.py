@@ -1,4 +1,17 @@
-"""A corpus pipeline: language, repeated lines, near-duplicates, mixture, tokens."""
+"""A corpus pipeline: language, repeated lines, near-duplicates, mixture, tokens.
+
+All stages take an empty table, nulls in any column, empty and very long texts,
+repeated rows and further columns, which pass through but for the last stage:
+
+* language_id drops null texts and texts without a letter; a null doc_id, source
+  or lang doesn't matter.
+* line_dedup: rows with a null doc_id count as one document. Null text becomes
+  the empty text.
+* near_dedup: texts without words are kept; of rows with one doc_id and one text
+  all stay or all go; a null doc_id counts as the smallest.
+* source_mix: a null source is a source; repeated rows are documents each.
+* encode: null text gives null ids, -1 pieces.
+"""
 
 from __future__ import annotations
 
@@ -37,8 +50,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text."""
-    return pieces.encode(docs).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"))
+    """The ids of each text, and whether decoding gives the text again."""
+    return pieces.round_trips(docs, keep=("doc_id", "lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
