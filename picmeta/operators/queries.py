@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from picmeta.operators import intervals, text_ops
+from picmeta.operators import intervals, queries_listing, queries_more, text_ops
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +78,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "merge_rows_batch": (_docs(text_ops.merged), f"WITH {_FACTS} SELECT key, count(*) AS n_facts, count(DISTINCT doc_id) AS n_docs, count(DISTINCT value) AS n_values, {_STRICT} FROM f GROUP BY key"),
     "scrub_text": (_docs(scrub_digest), f"SELECT doc_id, md5({_SCRUB}) AS digest FROM documents"),
     "scrub_readback": (_docs(scrub_readback), f"SELECT {_word('t')} AS word, count(*) AS n FROM (SELECT {_SCRUB} AS t FROM documents) GROUP BY 1"),
-    "canary_scan": (canary_scan, "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 5"),
+    "canary_scan": (canary_scan, "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
     "merge_ranges": (
         merge_ranges,
         "WITH r AS (SELECT user_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + floor(value * 400)::BIGINT AS e FROM (SELECT user_id, date_trunc('second', ts) AS ts, value FROM events)), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE s < e), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, island",
@@ -91,3 +91,4 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "html_comments_hidden": (html_comments, "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS value FROM pages"),
     "slug_ids": (slug_ids, "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
 }
+QUERIES |= queries_listing.QUERIES | queries_more.QUERIES
