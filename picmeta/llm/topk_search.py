@@ -11,17 +11,17 @@
 3. Shards are searched in waves, each about WAVE times as large as all before it.
    The k-th score that a query has so far is its floor in the next wave, so a
    wave returns about WAVE * k hits a query however many shards there are.
-4. `searched`, for each query and shard, against the threshold (the floor, or the
-   k-th score that the task has found since):
-   a. the lists' maxima in the shard: if their sum stays below the threshold, the
-      shard is skipped. The pivot is the term at which the maxima, added up from
-      the least, reach the threshold; documents without a term from the pivot on
-      can't reach it, so blocks without such a term are skipped;
-   b. the block maxima: blocks whose sum stays below are skipped. The others are
-      opened from the highest sum on, and the threshold rises on the way;
-   c. an opened block first reads the postings from the pivot on; the other
-      postings are read only where a document can still reach the threshold.
-   Cursors move by blocks, and a test is made for all blocks of a list at once:
+4. `Shard.searches`, for each query and shard, against the query's threshold (the
+   floor, or the k-th score that the task has found since):
+   a. the pivot parts a query's terms: what the terms behind it, those of at least
+      1 / COMMON of the shard's documents, give each document comes from one
+      matrix product for many queries; the lists before it are only opened where
+      that is not enough to tell;
+   b. if the lists' maxima can't lift any document to the threshold, the shard is
+      skipped. Blocks are skipped, and single documents, if what they have and
+      the block maxima of the lists before the pivot stay below the threshold;
+   c. the postings of the documents that are left are added up.
+   A test is made for all blocks and documents at once and cursors move by array:
    that is how WAND's steps become array operations.
 5. The k best of each task are merged by query.
 
@@ -56,6 +56,8 @@ SHARD, POSTINGS, BLOCK = 2048, 1_000_000, 64
 QUERIES, QUERY_TERMS = 4096, 2_000_000
 PER_FILE = 8  # shards in a file
 WAVE = 8
+COMMON = 16
+TOGETHER = 256  # queries in a matrix product
 SLACK = 1 - 1e-9  # bounds and scores are sums in different orders
 NONE = np.iinfo(np.int64).min  # stands for a null id
 SHARDS = "terms array<binary>, df array<int>, at array<int>, tf array<int>, ids array<long>, lens array<int>"
@@ -163,77 +165,77 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Shard:
-    """One shard with the impacts of its postings and the block maxima of the terms that queries use."""
+    """One shard: the impacts of its postings, the maxima of its lists and blocks for the terms that queries use, and the impacts of common terms by document."""
 
     def __init__(self, s: dict, words: pa.Array, mean: float):
         self.at, lens, n_terms = s["at"], s["lens"], len(s["terms"])
         self.n, blocks = len(lens), -(-len(lens) // BLOCK)
+        self.block = np.arange(self.n) // BLOCK
         self.imp = s["tf"] * (K1 + 1) / (s["tf"] + K1 * (1 - B + B * lens[self.at] / mean))
         local = pc.fill_null(pc.index_in(words, s["terms"]), -1).to_numpy().astype(np.int64)
         used = np.flatnonzero(np.isin(np.arange(n_terms), local))
         row = np.full(n_terms + 1, -1, np.int64)
         row[used] = np.arange(len(used))
         self.local = row[local]  # by word of the queries; -1 stays: the last place holds -1
-        key = np.repeat(np.arange(n_terms), s["df"]) * blocks + self.at // BLOCK
-        self.begin = np.searchsorted(key, used[:, None] * blocks + np.arange(blocks + 1))
+        ends = np.cumsum(s["df"])
+        self.size = s["df"][used]
+        self.begin = ends[used] - self.size
+        term = np.repeat(np.arange(n_terms), s["df"])
+        key = term * blocks + self.at // BLOCK
         heads = np.flatnonzero(np.diff(key, prepend=-1))
         tops = np.maximum.reduceat(self.imp, heads) if len(heads) else self.imp
         self.high = np.zeros((len(used), blocks))
         where = row[key[heads] // blocks]
         self.high[where[where >= 0], (key[heads] % blocks)[where >= 0]] = tops[where >= 0]
         self.highest, self.ids = self.high.max(axis=1, initial=0.0), s["ids"]
-        self.read = self.held = 0  # postings that were read, and that the queries' lists hold
-
-    def added(self, score: np.ndarray, t: np.ndarray, w: np.ndarray, blk: np.ndarray) -> None:
-        """Adds the weighed postings of terms t in blocks blk to the scores of the shard's documents."""
-        starts = self.begin[t[:, None], blk]
-        size = (self.begin[t[:, None], blk + 1] - starts).ravel()
-        post = np.repeat(starts.ravel() - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score += np.bincount(self.at[post], self.imp[post] * np.repeat(np.repeat(w, len(blk)), size), self.n)
-        self.read += len(post)
-
-    def search(self, t: np.ndarray, w: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the shard's k best documents for a query, without those that stay below floor. t: places of its words in the queries' words."""
-        t = self.local[t]
-        t, w = t[t >= 0], w[t >= 0]
-        held, value = np.empty(0, np.int64), np.empty(0)
-        if not len(t):
-            return held, value
-        self.held += int((self.begin[t, -1] - self.begin[t, 0]).sum())
-        order = np.argsort(w * self.highest[t], kind="stable")
-        t, w = t[order], w[order]
-        sums = np.cumsum(w * self.highest[t])
-        if sums[-1] < floor * SLACK - 1e-9:
-            return held, value
-        bound, wave = w @ self.high[t], 1
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        while True:
-            least = max(0.0, max(floor, value[-1] if len(value) == k else 0.0) * SLACK - 1e-9)
-            pivot = int(np.searchsorted(sums, least)) if least > 0 else 0  # terms before it can't reach the threshold together
-            todo = todo[bound[todo] >= least]
-            if pivot:
-                todo = todo[(self.high[t[pivot:, None], todo] > 0).any(axis=0)]
-            blk, todo = np.sort(todo[:wave]), todo[wave:]
-            if not len(blk):
-                return held, value
-            wave *= 2
-            score = np.zeros(self.n)
-            self.added(score, t[pivot:], w[pivot:], blk)
-            if pivot:
-                places = blk[:, None] * BLOCK + np.arange(BLOCK)
-                rest = (w[:pivot] @ self.high[t[:pivot][:, None], blk])[:, None]
-                alive = np.where(places < self.n, score[np.minimum(places, self.n - 1)], 0)
-                alive = (alive > 0) & (alive + rest >= least)
-                full = np.zeros(self.n, bool)
-                full[places[alive]] = True
-                if full.any():
-                    self.added(score, t[:pivot], w[:pivot], blk[alive.any(axis=1)])
-                score[~full] = 0
-            new = np.flatnonzero(score >= least if least > 0 else score > 0)
-            held, value = np.concatenate([held, new]), np.concatenate([value, np.round(score[new], 9)])  # equal texts score alike in all shards
-            kept = best(value, self.ids[held], k)
-            held, value = held[kept], value[kept]
+        common = np.flatnonzero(self.size * COMMON >= self.n)
+        self.common = np.full(len(used), -1, np.int64)
+        self.common[common] = np.arange(len(common))
+        self.whole = np.zeros((len(common), self.n))
+        own = np.append(self.common, -1)[row[term]]
+        self.whole[own[own >= 0], self.at[own >= 0]] = self.imp[own >= 0]
+        self.read = self.held = 0  # impacts that were read, and that the queries' lists hold
+
+    def searches(self, codes: np.ndarray, weights: np.ndarray, off: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Query number, places and scores of the k best documents of each query with hits at or above its floor. Terms of query q: codes[off[q]:off[q + 1]], places in the queries' words."""
+        for first in range(0, len(off) - 1, TOGETHER):
+            last = min(first + TOGETHER, len(off) - 1)
+            t, w = self.local[codes[off[first] : off[last]]], weights[off[first] : off[last]]
+            q = np.repeat(np.arange(last - first), np.diff(off[first : last + 1]))
+            here = t >= 0
+            t, w, q = t[here], w[here], q[here]
+            self.held += int(self.size[t].sum())
+            often = self.common[t] >= 0
+            table = np.zeros((last - first, len(self.whole)))
+            table[q[often], self.common[t[often]]] = w[often]
+            both = table @ self.whole  # what common terms give, by query and document
+            t, w, q = t[~often], w[~often], q[~often]
+            ends = np.searchsorted(q, np.arange(last - first + 1))
+            for i in range(last - first):
+                own = slice(ends[i], ends[i + 1])
+                place, score = self.search(t[own], w[own], both[i], floors[first + i], k)
+                if len(place):
+                    yield first + i, place, score
+
+    def search(self, t: np.ndarray, w: np.ndarray, given: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best documents for a query. t: its rarer terms in the shard; given: what the common ones give each document."""
+        least = max(0.0, floor * SLACK - 1e-9)
+        if given.max(initial=0.0) + (w * self.highest[t]).sum() < least:
+            return np.empty(0, np.int64), np.empty(0)
+        upper = given + (w @ self.high[t])[self.block]
+        open_ = (upper >= least) & (upper > 0)
+        size = self.size[t]
+        post = np.repeat(self.begin[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        at = self.at[post]
+        left = np.flatnonzero(open_[at])
+        self.read += len(left)
+        score = np.bincount(at[left], self.imp[post[left]] * np.repeat(w, size)[left], self.n)
+        place = np.flatnonzero(open_)
+        score = np.round(score[place] + given[place], 9)  # equal texts score alike in all shards
+        good = (score >= least) & (score > 0)
+        place, score = place[good], score[good]
+        kept = best(score, self.ids[place], k)
+        return place[kept], score[kept]
 
 
 def hits(shards: DataFrame, block: pa.Table, floors: dict[int, float], mean: float, k: int) -> DataFrame:
@@ -255,15 +257,13 @@ def hits(shards: DataFrame, block: pa.Table, floors: dict[int, float], mean: flo
                 own = {c: b.slice(i, 1).column(j).flatten() for j, c in enumerate(b.schema.names) if c != "wave"}
                 s = {c: own[c].to_numpy().astype(np.int64) for c in ("df", "at", "tf", "lens")} | {"terms": own["terms"].cast(pa.binary()), "ids": pc.fill_null(own["ids"], NONE).to_numpy()}
                 shard = Shard(s, words, mean)
-                for q in range(len(uid)):
-                    place, score = shard.search(codes[off[q] : off[q + 1]], weights[off[q] : off[q + 1]], least[q], k)
-                    if len(place):
-                        before = found.get(q, (np.empty(0), np.empty(0, np.int64)))
-                        both, ids = np.concatenate([before[0], score]), np.concatenate([before[1], s["ids"][place]])
-                        kept = best(both, ids, k)
-                        found[q] = both[kept], ids[kept]
-                        if len(kept) == k:
-                            least[q] = max(least[q], both[kept[-1]])
+                for q, place, score in shard.searches(codes, weights, off, least, k):
+                    before = found.get(q, (np.empty(0), np.empty(0, np.int64)))
+                    both, ids = np.concatenate([before[0], score]), np.concatenate([before[1], s["ids"][place]])
+                    kept = best(both, ids, k)
+                    found[q] = both[kept], ids[kept]
+                    if len(kept) == k:
+                        least[q] = max(least[q], both[kept[-1]])
         at = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x, _ in found.values()])
         score, ids = (np.concatenate([x[j] for x in found.values()]) if found else np.empty(0) for j in (0, 1))
         ids = ids.astype(np.int64)
