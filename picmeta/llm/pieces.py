@@ -132,6 +132,22 @@ def round_trips(docs: DataFrame, path: str | None = None, scores: str = "zipf",
     return own.mapInArrow(run, schema)
 
 
+def lengths(docs: DataFrame, path: str | None = None, scores: str = "zipf", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(the columns keep, n_tokens) of each row of docs; 0 for null text. The ids stay in the task."""
+    own = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    schema = StructType(list(own.schema.fields)[:-1]).add("n_tokens", "long")
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, scores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in batches:
+            for b in slices(batch, len(keep), SLICE):
+                _, off = encoder(raw(b.column(len(keep))))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.diff(off).astype(np.int64))], names=schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of encoded, then decoded: the text of ids (null for null; ids outside the vocabulary are an error)."""
     encoded = encoded.drop("decoded")

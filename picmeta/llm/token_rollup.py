@@ -2,20 +2,28 @@
 
 A change is a row (source, lang, version, n_tokens, sign): +1 for an insert, -1
 for a delete, and for a revised count the old row with -1 and the new with +1.
-Totals are additive, so a batch is summed on its own and never needs the rows of
-earlier ones. `commit` writes a batch's sums under its own id and replaces what
-that id had: a batch that is committed again, after a lost executor or a retry,
-counts once. `totals` adds the batches.
+Counts are additive, so the totals are kept as a table of their own and a batch
+only adds its sums to it.
+
+`commit` writes the totals with the batch added as a new state, in a folder of
+its own, and then publishes it by one row (number, batch, state) in the log. A
+job that is lost before that leaves a folder that nothing reads; the log row is
+one file, which is there or not. A batch that the log has already isn't added
+again, so retries count once. Of two commits that publish the same number, the
+one whose state's name is smaller stands; the other sees that and starts anew on
+its result.
 
 Null source or lang is a group of its own. Null text has no tokens and counts as
 a document. Repeated rows count each. Groups without documents and tokens left
-go. Empty batches change nothing; without batches the totals are empty. Batches
-of one rollup may be committed at the same time if their ids differ.
+go. Empty batches change nothing; without batches the totals are empty. An empty
+table of documents gives empty counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from picmeta.llm import pieces
@@ -23,12 +31,14 @@ from picmeta.llm import pieces
 VERSION = "piece-unigram-1"
 BY = ["source", "lang", "version"]
 SUMS = "source string, lang string, version string, docs long, tokens long"
+LOG = "number long, batch string, state string"
 
 
 def counted(docs: DataFrame, version: str = VERSION, path: str | None = None) -> DataFrame:
     """(doc_id, source, lang, version, n_tokens) of each row of docs."""
-    ids = pieces.encode(docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string")), path)
-    return ids.select("doc_id", "source", "lang", F.lit(version).alias("version"), F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long").alias("n_tokens"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    sized = pieces.lengths(rows, path, keep=("doc_id", "source", "lang"))
+    return sized.select("doc_id", "source", "lang", F.lit(version).alias("version"), "n_tokens")
 
 
 def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
@@ -37,13 +47,43 @@ def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
     return signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
 
 
-def commit(signed: DataFrame, root: str, batch: str) -> None:
-    """Adds a batch of signed rows to the rollup at root, or replaces the batch of that id."""
-    sums = signed.groupBy(*BY).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("tokens"))
-    sums.write.mode("overwrite").parquet(f"{root}/batch={batch}")
+def log(spark: SparkSession, root: str) -> DataFrame:
+    """(number, batch, state) of the commits that stand. The folder is made by the first commit."""
+    try:
+        rows = spark.read.schema(LOG).parquet(f"{root}/log")
+        rows.limit(1).collect()
+    except Exception as e:  # before the first commit
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LOG)
+    nth = F.row_number().over(Window.partitionBy("number").orderBy("state"))
+    return rows.withColumn("nth", nth).filter("nth = 1").drop("nth")
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
-    """(source, lang, version, docs, tokens) over all committed batches."""
-    rows = spark.read.schema(f"{SUMS}, batch string").parquet(root)
-    return rows.groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+    """(source, lang, version, docs, tokens): the totals after the last commit."""
+    last = log(spark, root).orderBy(F.desc("number")).first()
+    if last is None:
+        return spark.createDataFrame([], SUMS)
+    return spark.read.schema(SUMS).parquet(f"{root}/state/{last.state}")
+
+
+def commit(signed: DataFrame, root: str, batch: str) -> bool:
+    """Adds a batch of signed rows to the rollup at root; false if it has a batch of that id."""
+    spark = signed.sparkSession
+    sums = signed.groupBy(*BY).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("tokens"))
+    mine = ""
+    while True:
+        done = log(spark, root)
+        before = done.filter(F.col("batch") == batch).first()
+        if before is not None:
+            return before.state == mine
+        number = (done.agg(F.max("number")).first()[0] or 0) + 1
+        mine = f"{number:012d}-{uuid.uuid4().hex}"
+        added = totals(spark, root).unionByName(sums).groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+        added.write.parquet(f"{root}/state/{mine}")
+        publish(spark, root, number, batch, mine)
+
+
+def publish(spark: SparkSession, root: str, number: int, batch: str, state: str) -> None:
+    spark.createDataFrame([(number, batch, state)], LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")

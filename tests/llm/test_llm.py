@@ -116,16 +116,61 @@ def test_other_operators_on_odd_rows(docs, none):
         assert f(none).count() == 0
 
 
-def test_rollup(spark, docs, tmp_path):
+def test_rollup(spark, docs, none, tmp_path, monkeypatch):
+    """Against a recount of the documents that are left, with a retry, a lost job, two writers of one number, and a revision."""
+    ids = {r.doc_id: r.n_pieces for r in pieces.round_trips(docs).collect()}
     rows, root = token_rollup.counted(docs).cache(), f"file://{tmp_path}/rollup"
-    token_rollup.commit(token_rollup.changes(None, rows), root, "1")
-    for _ in range(2):
-        token_rollup.commit(token_rollup.changes(rows.filter("source = 'a'"), None), root, "2")
-    want = Counter()
-    for r in rows.collect():
-        if r.source != "a":
-            want[r.source, r.lang] += r.n_tokens
-    assert {(r.source, r.lang): r.tokens for r in token_rollup.totals(spark, root).collect()} == dict(want)
+
+    def want(keep, more=0, version=token_rollup.VERSION):
+        found = Counter()
+        for r in docs.collect():
+            if keep(r):
+                found[r.source, r.lang, version, "docs"] += 1
+                found[r.source, r.lang, version, "tokens"] += max(ids[r.doc_id], 0) + more
+        return found
+
+    def have():
+        return Counter({(r.source, r.lang, r.version, x): r[x] for r in token_rollup.totals(spark, root).collect() for x in ("docs", "tokens")})
+
+    assert token_rollup.totals(spark, root).count() == 0 and token_rollup.counted(none).count() == 0
+    assert token_rollup.commit(token_rollup.changes(None, rows), root, "1")
+    assert have() == want(lambda r: True)
+    gone = token_rollup.changes(rows.filter("source = 'a'"), None)
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            token_rollup.commit(gone, root, "2")
+    assert have() == want(lambda r: True)
+    assert [token_rollup.commit(gone, root, "2") for _ in range(2)] == [True, False]
+    assert have() == want(lambda r: r.source != "a")
+    publish = token_rollup.publish
+
+    def raced(spark, root, number, batch, state):  # another writer takes the same number first
+        if batch == "3" and number == 3:
+            token_rollup.totals(spark, root).write.parquet(f"{root}/state/000000000003-0")
+            publish(spark, root, 3, "other", "000000000003-0")
+        publish(spark, root, number, batch, state)
+
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup, "publish", raced)
+        new = rows.filter("source = 'b'").withColumn("n_tokens", rows.n_tokens + 5)
+        assert token_rollup.commit(token_rollup.changes(rows.filter("source = 'b'"), new), root, "3")
+    assert have() == want(lambda r: r.source is None) + want(lambda r: r.source == "b", 5)
+    assert {r.batch for r in token_rollup.log(spark, root).collect()} == {"1", "2", "other", "3"}
+    assert token_rollup.commit(token_rollup.changes(token_rollup.counted(none), None), root, "4") and have() == want(lambda r: r.source is None) + want(lambda r: r.source == "b", 5)
+
+
+def test_fences_of_a_group_with_junk(spark):
+    """A fifth of a group is junk: junk goes, clean texts stay, also in a group of three texts; repeats are counted as by hand."""
+    clean = [" ".join(f"word{(i * 7 + k * k) % 997}" for k in range(80)) for i in range(200)]
+    junk = [" ".join(f"word{(i * 5 + k) % 991}%%%&&" for k in range(80)) for i in range(50)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(clean)] + [(1000 + i, t, "en", "a") for i, t in enumerate(junk)] + [(2000, clean[0], "en", "b"), (2001, junk[0], "en", "b"), (2002, clean[1], None, None), (2003, None, "en", "a")]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: t is not None and "%" not in t for i, t, *_ in rows}
+    for t in [b"a b c a b c", b"a a a a", b"a b", b"x y z x y w z", b"a b c d a b c d a b c"]:
+        w = t.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        assert quality_rules.repeated_words(w) == len({k for i, x in enumerate(windows) if windows.count(x) > 1 for k in (i, i + 1, i + 2)})
 
 
 def test_oracles(spark):
