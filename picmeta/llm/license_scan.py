@@ -3,12 +3,11 @@
 1. `train` fits a sparse (elastic net) multinomial logistic regression on word
    uni- and bigrams. Families are taught by statements made from FRAMES and NAMES
    and by notices; the class `unknown` by plain sentences that use licence words
-   and by at most NEGATIVES paragraphs of the corpus (those lowest by hash) that
-   no template matches.
-2. The unknown class is calibrated on a quarter of the corpus paragraphs, held out
-   of the fit: a family is believed from the probability that all but FALSE of
-   them stay below, at least LEAST and at most MOST (a few held-out paragraphs
-   can't set it higher; a template has to confirm in any case).
+   and by NEGATIVES distinct paragraphs of the corpus (those lowest by hash) that
+   no template matches. That number is the bound of the sample.
+2. The unknown class is calibrated on all paragraphs that no template matches: a
+   family is believed from the probability (in thousandths) that all but FALSE of
+   them stay below. A template has to confirm in any case.
 3. A paragraph (line) can only leave `unknown` if it has an n-gram with a weight
    for a family above that for unknown. Such n-grams' rarest words are the
    anchors; paragraphs without an anchor are unknown and aren't scored further.
@@ -23,10 +22,11 @@
    the line before the break, once for each run of breaks, and only if no line in
    reach has it by itself.
 
-Null and empty texts have no paragraphs. Lines without a word aren't paragraphs.
-Repeated rows are scanned each. An empty table gives an empty result; the model
-is then fitted on the statements alone. Other columns are ignored. The input
-must be re-readable.
+Rows are told apart by doc_id and a hash of the text (mark): rows that repeat
+both are scanned once and get the same result each. Null and empty texts have no
+paragraphs. Lines without a word aren't paragraphs. An empty table gives an empty
+result; the model is then fitted on the statements alone. Other columns are
+ignored. The input must be re-readable.
 """
 
 from __future__ import annotations
@@ -41,12 +41,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from picmeta.llm.shared import cut
+from picmeta.llm.shared import cut, hinted
 
 NEGATIVES = 2000
 VOCABULARY = 20_000
 FALSE = 0.001
-LEAST, MOST = 0.5, 0.95
+STEPS = 1000  # of the threshold
 CONFIRM = 0.7
 UNKNOWN = "unknown"
 
@@ -70,10 +70,23 @@ FRAMES = [
 ]
 #: Sentences of the families' own notices.
 NOTICES = {
+    "agpl": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "apache": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    ],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "gpl": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "lgpl": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License. If a copy of the MPL was not distributed with this file"],
 }
 #: Licence words in sentences that license nothing.
 PLAIN = [
@@ -122,27 +135,31 @@ def likeness(family: str) -> Column:
     return F.greatest(F.lit(0.0), *(F.size(F.array_intersect(F.col("grams"), fixed(t))) / len(set(t)) for t in template_bigrams()[family]))
 
 
+def marked() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, line, text) of every line with a word."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole"))
-    lines = rows.select("uid", "doc_id", F.posexplode(F.split("whole", "\n")).alias("line", "text"))
+    """(doc_id, mark, line, text) of every line with a word."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked().alias("mark"), F.col("text").cast("string").alias("whole"))
+    lines = rows.select("doc_id", "mark", F.posexplode(F.split("whole", "\n")).alias("line", "text"))
     return lines.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, line, text, words) of every line that another follows: the words around the break. uid and line are those of `paragraphs`."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(F.col("text").cast("string"), "\n"), words).alias("w"))
+    """(doc_id, mark, line, text, words) of every line that another follows: the words around the break. The names are those of `paragraphs`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked().alias("mark"), F.transform(F.split(F.col("text").cast("string"), "\n"), words).alias("w"))
     ends = rows.filter(F.size("w") > 1).select(
-        "uid", "doc_id", F.transform("w", lambda w: F.slice(w, F.greatest(F.size(w) - SPAN + 1, F.lit(1)), F.lit(SPAN))).alias("tails"), F.transform("w", lambda w: F.slice(w, 1, SPAN)).alias("heads")
+        "doc_id", "mark", F.transform("w", lambda w: F.slice(w, F.greatest(F.size(w) - SPAN + 1, F.lit(1)), F.lit(SPAN))).alias("tails"), F.transform("w", lambda w: F.slice(w, 1, SPAN)).alias("heads")
     )
-    broken = ends.select("uid", "doc_id", "tails", "heads", F.explode(F.sequence(F.lit(1), F.size("tails") - 1)).alias("n")).filter((F.size(F.element_at("tails", F.col("n"))) > 0) & (F.size(F.element_at("heads", F.col("n") + 1)) > 0))
+    broken = ends.select("doc_id", "mark", "tails", "heads", F.explode(F.sequence(F.lit(1), F.size("tails") - 1)).alias("n")).filter((F.size(F.element_at("tails", F.col("n"))) > 0) & (F.size(F.element_at("heads", F.col("n") + 1)) > 0))
     none = F.array().cast("array<string>")
     first = F.greatest(F.col("n") - SPAN + 1, F.lit(1))
     before = F.aggregate(F.slice("tails", first, F.col("n") - first + 1), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(acc, w)))
     after = F.aggregate(F.reverse(F.slice("heads", F.col("n") + 1, F.lit(SPAN))), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(w, acc)))
-    both = broken.select("uid", "doc_id", (F.col("n") - 1).alias("line"), before.alias("b"), F.slice(after, 1, SPAN).alias("a"))
+    both = broken.select("doc_id", "mark", (F.col("n") - 1).alias("line"), before.alias("b"), F.slice(after, 1, SPAN).alias("a"))
     own = F.concat(F.slice("b", F.greatest(F.size("b") - SPAN + 1, F.lit(1)), F.lit(SPAN)), F.col("a"))
-    return both.select("uid", "doc_id", "line", own.alias("words")).withColumn("text", F.array_join("words", " "))
+    return both.select("doc_id", "mark", "line", own.alias("words")).withColumn("text", F.array_join("words", " "))
 
 
 @dataclass
@@ -150,7 +167,7 @@ class Model:
     counts: CountVectorizerModel
     weights: LogisticRegressionModel
     classes: list[str]
-    threshold: float
+    least: float  # what a paragraph without an anchor stays below
     anchors: list[str] | None
 
 
@@ -162,51 +179,79 @@ def taught(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "class string, text string")
 
 
+def sampled(docs: DataFrame, most: int = NEGATIVES) -> DataFrame:
+    """(text): the `most` distinct paragraphs lowest by hash. Only about twice as many are shuffled."""
+    lines = paragraphs(docs).select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
+    distinct = lines.agg(F.approx_count_distinct("h")).first()[0]
+    low = lines.filter(F.col("h") <= min(int(2.5 * most / max(distinct, 1) * 2**63), 2**63 - 1))
+    return low.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(most).select("text")
+
+
 def train(docs: DataFrame) -> Model:
     spark, classes = docs.sparkSession, [UNKNOWN, *sorted(NAMES)]
-    lines = featured(paragraphs(docs).orderBy(F.xxhash64("text"), "uid", "line").limit(NEGATIVES).select("text").withColumn("words", words(F.col("text"))))
-    plain = lines.filter(F.greatest(*(likeness(f) for f in NAMES)) < CONFIRM).select(F.lit(UNKNOWN).alias("class"), "text", "words", "grams", F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold"))
-    rows = cut(plain.unionByName(featured(taught(spark).withColumn("words", words(F.col("text")))).select("class", "text", "words", "grams", F.lit(1).cast("long").alias("fold"))).withColumn("label", F.array_position(fixed(classes), F.col("class")).cast("double") - 1))
-    fit = rows.filter("fold <> 0")
-    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=VOCABULARY).fit(fit)
-    weights = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=60).fit(counts.transform(fit))
-    sure = weights.transform(counts.transform(rows.filter("fold = 0"))).select((1 - vector_to_array("probability")[0]).alias("p"))
-    threshold = min(MOST, max(LEAST, sure.agg(F.coalesce(F.percentile("p", F.lit(1 - FALSE)), F.lit(LEAST))).first()[0]))
+    lines = featured(sampled(docs).withColumn("words", words(F.col("text"))))
+    plain = lines.filter(F.greatest(*(likeness(f) for f in NAMES)) < CONFIRM).select(F.lit(UNKNOWN).alias("class"), "text", "words", "grams")
+    rows = cut(plain.unionByName(featured(taught(spark).withColumn("words", words(F.col("text")))).select("class", "text", "words", "grams")).withColumn("label", F.array_position(fixed(classes), F.col("class")).cast("double") - 1))
+    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=VOCABULARY).fit(rows)
+    weights = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=60).fit(counts.transform(rows))
     over = weights.coefficientMatrix.toArray()
     over = (over[1:] - over[0]).max(axis=0) > 0
     bias = weights.interceptVector.toArray()
-    anchors = None
-    if sum(math.exp(b - bias[0]) for b in bias[1:]) * (1 - threshold) < threshold:
-        often = {r.w: r.n for r in rows.filter(F.col("class") == UNKNOWN).select(F.explode(F.array_distinct("words")).alias("w")).filter(F.col("w").isin(sorted({w for g, up in zip(counts.vocabulary, over) if up for w in g.split()}))).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most VOCABULARY words
-        anchors = sorted({min(g.split(), key=lambda w: (often.get(w, 0), w)) for g, up in zip(counts.vocabulary, over) if up})
-    return Model(counts, weights, classes, float(threshold), anchors)
+    odds = sum(math.exp(b - bias[0]) for b in bias[1:])
+    often = {r.w: r.n for r in rows.filter(F.col("class") == UNKNOWN).select(F.explode(F.array_distinct("words")).alias("w")).filter(F.col("w").isin(sorted({w for g, up in zip(counts.vocabulary, over) if up for w in g.split()}))).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most VOCABULARY words
+    anchors = sorted({min(g.split(), key=lambda w: (often.get(w, 0), w)) for g, up in zip(counts.vocabulary, over) if up})
+    return Model(counts, weights, classes, odds / (1 + odds), anchors)
 
 
-def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(uid, doc_id, line, text, family, probability, likeness) of the paragraphs whose family is predicted and confirmed."""
-    model = model or train(docs)
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, mark, line, text, wrapped, p, like) of the paragraphs and line breaks with an anchor: the classes' probabilities, and the likeness to each of NAMES."""
     lines = paragraphs(docs).withColumn("words", words(F.col("text"))).withColumn("wrapped", F.lit(False))
     rows = lines.unionByName(wrapped(docs).withColumn("wrapped", F.lit(True)))
     if model.anchors is not None:
         rows = rows.filter(F.arrays_overlap("words", fixed(model.anchors) if model.anchors else F.array().cast("array<string>")))
-    judged = model.weights.transform(model.counts.transform(featured(rows))).withColumn("p", vector_to_array("probability")).filter(1 - F.col("p")[0] >= model.threshold)
+    judged = model.weights.transform(model.counts.transform(featured(rows))).withColumn("p", vector_to_array("probability"))
+    return judged.select("doc_id", "mark", "line", "text", "wrapped", F.transform("p", lambda x: F.round(x, 9)).alias("p"), F.array(*(likeness(f) for f in NAMES)).alias("like"))
+
+
+def calibrated(rows: DataFrame, docs: DataFrame, model: Model) -> float:
+    """The threshold: all but FALSE of the paragraphs without a template stay below it. rows: `scored`; the other paragraphs stay below model.least."""
+    n = paragraphs(docs).count()
+    unlike = rows.filter(~F.col("wrapped") & (F.array_max("like") < CONFIRM))
+    tail = unlike.groupBy(F.floor((1 - F.col("p")[0]) * STEPS).cast("int").alias("step")).agg(F.count("*").alias("n"))
+    left, least = FALSE * n, 0
+    for step, k in sorted(((r.step, r.n) for r in tail.collect()), reverse=True):  # STEPS + 1 rows at most
+        left -= k
+        if left < 0:
+            least = step + 1
+            break
+    return max(min(least, STEPS) / STEPS, model.least)
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, mark, line, text, family, probability, likeness) of the paragraphs whose family is predicted and confirmed."""
+    model = model or train(docs)
+    rows = cut(scored(docs, model))
+    threshold = calibrated(rows, docs, model)
+    judged = rows.filter(1 - F.col("p")[0] >= threshold)
     likely = F.element_at(fixed(model.classes), F.array_position(F.slice("p", 2, len(model.classes) - 1), F.array_max(F.slice("p", 2, len(model.classes) - 1))).cast("int") + 1)
 
     def passes(f: str, like: Column) -> Column:
         p = F.col("p")[model.classes.index(f)]
-        return F.when(likely == f, like >= CONFIRM).otherwise((p >= model.threshold * (p + F.col("p")[0])) & (like >= 1))
+        return F.when(likely == f, like >= CONFIRM).otherwise((p >= threshold * (p + F.col("p")[0])) & (like >= 1))
 
-    each = F.array(*(F.struct(F.lit(f).alias("family"), likeness(f).alias("likeness"), passes(f, likeness(f)).alias("passes")) for f in NAMES))
+    each = F.array(*(F.struct(F.lit(f).alias("family"), F.col("like")[i].alias("likeness"), passes(f, F.col("like")[i]).alias("passes")) for i, f in enumerate(NAMES)))
     found = judged.withColumn("probability", 1 - F.col("p")[0]).withColumn("found", F.explode(F.filter(each, lambda x: x["passes"])))
-    found = found.select("uid", "doc_id", "line", "text", "found.family", "probability", "found.likeness", "wrapped")
-    hits = found.groupBy("uid", "family").agg(F.collect_list(F.struct("doc_id", "line", "text", "probability", "likeness", "wrapped")).alias("h"))  # a document's hits of a family
+    found = found.groupBy("doc_id", "mark", "found.family", "line", "wrapped").agg(F.first("text").alias("text"), F.max("probability").alias("probability"), F.max("found.likeness").alias("likeness"))  # once for repeated rows
+    hits = found.groupBy("doc_id", "mark", "family").agg(F.collect_list(F.struct("line", "text", "probability", "likeness", "wrapped")).alias("h"))  # a document's hits of a family
     new = F.filter("h", lambda x: ~x["wrapped"] | ~F.exists("h", lambda y: F.when(y["wrapped"], y["line"] == x["line"] - 1).otherwise((y["line"] > x["line"] - SPAN) & (y["line"] <= x["line"] + SPAN))))
-    return hits.select("uid", "family", F.explode(new).alias("x")).select("uid", "x.doc_id", "x.line", "x.text", "family", "x.probability", "x.likeness")
+    return hits.select("doc_id", "mark", "family", F.explode(new).alias("x")).select("doc_id", "mark", "x.line", "x.text", "family", "x.probability", "x.likeness")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, families (in order, with commas; empty if none) and the least probability, one row for each row of docs."""
-    found = scan(docs).groupBy("uid").agg(F.count_distinct("line").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
+    found = scan(docs).groupBy(F.col("doc_id").alias("f_id"), F.col("mark").alias("f_mark")).agg(F.count_distinct("line").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
+    found = hinted(cut(found))
     lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_paragraphs"))
-    return rows.join(found, "uid", "left").select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked().alias("mark"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_paragraphs"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")), "left")
+    return joined.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")

@@ -33,13 +33,13 @@ def test_all_statements_of_the_documents(spark):
     """Each line that names one of the four licences of the test tables is found, and the screen by anchors drops none."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = license_scan.train(docs)
-    found = {(r.uid, r.line): r.family for r in license_scan.scan(docs, model).collect()}
+    found = {(r.doc_id, r.line): r.family for r in license_scan.scan(docs, model).collect()}
     for r in license_scan.paragraphs(docs).collect():
         named = [f for f, x in (("mit", "under the MIT License"), ("apache", "under the Apache License"), ("gpl", "under the GNU General Public License"), ("cc-by-nc", "under CC BY-NC")) if x in r.text]
-        assert ([found[r.uid, r.line]] if (r.uid, r.line) in found else []) == named
+        assert ([found[r.doc_id, r.line]] if (r.doc_id, r.line) in found else []) == named
     assert model.anchors
     model.anchors = None
-    assert {(r.uid, r.line): r.family for r in license_scan.scan(docs, model).collect()} == found
+    assert {(r.doc_id, r.line): r.family for r in license_scan.scan(docs, model).collect()} == found
 
 
 WRAPPED = [
@@ -58,3 +58,18 @@ def test_wrapped_notices_and_several_families(spark):
     spark.createDataFrame([(i, t) for i, t, _ in WRAPPED], "doc_id long, text string").write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/license_wrapped")
     got = {r.doc_id: (r.families, r.n_licensed) for r in license_scan.digest(spark.read.parquet(path)).collect()}
     assert got == {i: (f, 2 if i == 8 else bool(f)) for i, _, f in WRAPPED}
+
+
+HELD_OUT = ["Distributed under the {}", "Code in this repository is available under the {}", "Copyright 2020 the authors. See the {} for details.", "{} (see COPYING)"]
+NO_LICENCE = ["A licence to fish costs ten euros a year.", "The public library is open to the general reader.", "Version 2.0 of this creative work is common.", "He was granted permission to copy the book.", "The foundation published a list of conditions."]
+
+
+def test_held_out_statements_by_family(spark):
+    """Sentences that no frame has: recall and precision by family, for the longest name of each."""
+    rows = [(f"{f}", s.format(max(names, key=len))) for f, names in license_scan.NAMES.items() for s in HELD_OUT] + [("", t) for t in NO_LICENCE]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/license_held_out")
+    got = {r.doc_id: r.families for r in license_scan.digest(spark.read.parquet(path)).collect()}
+    right = sum(got[i] == f for i, (f, _) in enumerate(rows))
+    assert right >= 0.9 * len(rows), [(f, t, got[i]) for i, (f, t) in enumerate(rows) if got[i] != f]
+    assert all(got[i] == "" for i, (f, _) in enumerate(rows) if not f)
