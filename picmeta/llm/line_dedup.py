@@ -5,10 +5,13 @@ all but one of them. Only lines that can be repeats are ever shuffled:
 
 1. `filters`: each task hashes the keys of its lines, once per document, to
    HASHES bit positions, and emits the positions hit once and those hit twice,
-   cut into SEGMENTS. Merging adds the hits: a position that two tasks hit is a
-   position of the second filter. The filters have a fixed number of bits;
-   only the second, the twice-seen filter, is broadcast (FILTER_BITS / 8 bytes).
-   It has no false negatives: a key in two documents hits its positions twice.
+   cut into segments of SEGMENT bits. Merging adds the hits: a position that two
+   tasks hit is a position of the second filter. `sized` gives the filters
+   BITS_A_LINE bits for each line counted, from LEAST_BITS to MOST_BITS; so a
+   segment holds about as much whatever the input, up to 2^26 lines. Beyond that
+   the filters fill up and more lines count as suspects. Only the second, the
+   twice-seen filter, is broadcast (MOST_BITS / 8 bytes at most). It has no false
+   negatives: a key in two documents hits its positions twice.
 2. `suspects`: lines whose positions are all in the twice-seen filter go, as
    (key digest, doc_id), through an exact count of distinct documents.
 3. keys in at least MIN_DOCS documents are repeats; the largest doc_id that has
@@ -23,7 +26,8 @@ lower-cased; keys under MIN_CHARS code points never count. Keys are compared by
 Null text is one empty line; its result text is empty. Rows with a null doc_id
 count as one document that sorts below all ids. Rows that repeat a doc_id count
 as one document and each keep or lose the same lines. An empty table gives an
-empty result. Other columns pass through, whatever their names.
+empty result. Other columns pass through, but for those named n_lines, n_dropped
+and kept_text, which the result replaces.
 """
 
 from __future__ import annotations
@@ -42,10 +46,11 @@ from picmeta.llm.shared import SPACE, cut, raw
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-FILTER_BITS = 1 << 28
+BITS_A_LINE = 16
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
 HASHES = 2
-SEGMENTS = 64
-BROADCAST_KEYS = 1 << 20
+SEGMENT = 1 << 20
+BROADCAST_KEYS = 1 << 18
 
 STRIP = SPACE.encode()
 
@@ -71,9 +76,16 @@ def positions(digests: list[bytes], bits: int) -> np.ndarray:
     return (words[:, :HASHES] % np.uint64(bits)).astype(np.int64)
 
 
-def filters(docs: DataFrame, bits: int = FILTER_BITS) -> bytes:
+def sized(docs: DataFrame) -> int:
+    """The filters' bits, a power of two, for the lines of docs."""
+    text = F.col("text").cast("string")
+    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    return min(max(1 << (BITS_A_LINE * lines).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def filters(docs: DataFrame, bits: int) -> bytes:
     """The twice-seen filter: bits // 8 bytes."""
-    size = bits // SEGMENTS
+    size = min(SEGMENT, bits)
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.empty(0, np.int64)
@@ -84,8 +96,9 @@ def filters(docs: DataFrame, bits: int = FILTER_BITS) -> bytes:
                 found, n = np.unique(np.concatenate([hits, positions(digests, bits).ravel()]), return_counts=True)
                 hits, hits2 = found, np.union1d(hits2, found[n > 1])
         for twice, at in ((False, hits), (True, hits2)):
-            ends = np.searchsorted(at, np.arange(SEGMENTS + 1) * size)
-            parts = [(s, at[ends[s] : ends[s + 1]] - s * size) for s in range(SEGMENTS) if ends[s + 1] > ends[s]]
+            own = at // size
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            parts = [(int(own[i]), at[i:j] - own[i] * size) for i, j in zip(heads, [*heads[1:], len(at)], strict=True)] if len(at) else []
             if parts:
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([s for s, _ in parts], pa.int32()), "twice": pa.array([twice] * len(parts)), "at": pa.array([p.astype(np.uint32).tobytes() for _, p in parts], pa.binary())})
 
@@ -107,8 +120,8 @@ def filters(docs: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return bytes(out)
 
 
-def suspects(docs: DataFrame, twice: bytes, bits: int = FILTER_BITS) -> DataFrame:
-    """(key, doc_id) of the lines that may be repeats, once per row and key."""
+def suspects(docs: DataFrame, twice: bytes, bits: int) -> DataFrame:
+    """(key, doc_id, mark) of the lines that may be repeats, once per row and key; mark is a hash of the row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,20 +135,21 @@ def suspects(docs: DataFrame, twice: bytes, bits: int = FILTER_BITS) -> DataFram
             if keys:
                 p = positions(keys, bits)
                 hit = np.flatnonzero(((seen[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), b.column(0).take(pa.array([rows[i] for i in hit], pa.int64()))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), *(b.column(c).take(pa.array([rows[i] for i in hit], pa.int64())) for c in (0, 2))], names=["key", "doc_id", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("mark")).mapInArrow(run, "key binary, doc_id long, mark long")
 
 
 def repeats(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, keeper) of the keys in at least min_docs documents. Both counts are combined before they shuffle."""
-    pairs = found.distinct()
+    pairs = found.select("key", "doc_id").distinct()
     return pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """All columns of docs, then n_lines, n_dropped and kept_text (clashing input columns are replaced)."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "__drop", "__id")
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "__drop", "__id", "__mark")
+    bits = bits or sized(docs)
     found = suspects(docs, filters(docs, bits), bits)
     rep = cut(repeats(found, min_docs))
     schema = StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
@@ -153,7 +167,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = FILTER_BIT
             kept.append(b"\n".join(stay).decode("utf-8", "replace"))
         return pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=names)
 
-    if rep.limit(broadcast_keys + 1).count() <= broadcast_keys:
+    if rep.count() <= broadcast_keys:
         keepers = docs.sparkSession.sparkContext.broadcast({bytes(r.key): r.keeper for r in rep.toLocalIterator()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +183,10 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = FILTER_BIT
             drops = [set(x or ()) for x in b.column(width).to_pylist()]
             yield edited(b, lambda i, k, drops=drops: k in drops[i])
 
-    drop = found.join(rep, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
-    return docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__drop").mapInArrow(run_joined, schema)
+    lost = found.join(rep, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drop = lost.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set("key").alias("__drop"))  # of one text
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mark"))
+    return docs.join(drop, own, "left").select(*docs.columns, "__drop").mapInArrow(run_joined, schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -109,6 +109,17 @@ def test_near_duplicates(spark, docs, none):
     assert lsh_forest.near_duplicates(none).count() == 0
 
 
+def test_line_dedup_both_ways(spark, docs):
+    """Joined instead of broadcast, and with filters so full that most lines are suspects: the same rows."""
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    line = "a line of more than twenty characters"
+    odd = spark.createDataFrame([(None, f"{line}\nx"), (None, f"y\n{line}"), (7, line), (8, f" {line.upper()}\t"), (8, "z")], "doc_id long, text string")
+    for df in (sample.select("doc_id", "text"), odd):
+        got = [sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(df, **o).collect()) for o in ({}, {"broadcast_keys": -1}, {"bits": 4096}, {"broadcast_keys": -1, "bits": 4096})]
+        assert all(g == got[0] for g in got)
+    assert sum(r[2] for r in got[0]) == 3  # null, 7 and 8 hold it; 8 keeps it
+
+
 def test_other_operators_on_odd_rows(docs, none):
     n = docs.count()
     assert quality_rules.quality_rules(docs).count() == n and line_dedup(docs).count() == n and source_mix.mixture(docs).count() == n
