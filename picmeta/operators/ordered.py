@@ -47,3 +47,8 @@ def clashing(edits: DataFrame) -> DataFrame:
     """The edits (path, s, e) that begin before an earlier one ends."""
     w = Window.partitionBy("path").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     return edits.withColumn("reach", F.max("e").over(w)).filter(F.col("s") < F.col("reach")).select("path", "s", "e")
+
+
+def ordered_by(parts: DataFrame, *by: str) -> DataFrame:
+    """parts with nth: their place in the file by record, number, tag or sequence; the last of `by` decides ties."""
+    return parts.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy(*by)))
