@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,9 @@ from picmeta.llm.lattice import MARK_BYTES, Lattice, Vocabulary
 from picmeta.llm.shared import numbered, raw, remainder, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
-CHUNK = 20_000  # words in a lattice
-HELD = 200_000  # words that a task keeps
+CHUNK = 5_000  # words in a lattice
+HELD = 100_000  # words that a task keeps
+SLICE = 1 << 20  # bytes of text at once
 UNIT = 1_000_000
 SMOOTHING = 0.01
 FIRM = 50
@@ -76,7 +78,7 @@ def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
             words.clear()
 
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, SLICE):
                 by: dict[int, list[str]] = {}
                 for lang, t in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
                     by.setdefault(langs.setdefault(lang, len(langs)), []).extend(letters(t))
@@ -102,8 +104,8 @@ def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
     return langs, np.log(p / p.sum(axis=0))
 
 
-def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, n_words) of each row of docs (doc_id, held_out, text)."""
+def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarray, text_in: str | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, n_words) of each row of docs (doc_id, held_out, text). text_in: the field of doc_id, a struct, that has the text; docs then has none."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, langs, logp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,9 @@ def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarr
         place: dict[str, int] = {}
         known = np.zeros((1024, len(langs)))
         for batch in batches:
-            for b in slices(batch, 2):
+            if text_in:  # the text is a field of the row, so that it comes once
+                batch = batch.append_column("text", pc.struct_field(batch.column(0), text_in))
+            for b in slices(batch, 2, SLICE):
                 own = [letters(t) for t in raw(b.column(2))]
                 at, distinct = numbered([w for x in own for w in x])
                 if len(place) > HELD:
@@ -134,7 +138,8 @@ def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarr
                 names = [UNDETERMINED if x else langs[k] for x, k in zip(none, best, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(n)], names=["doc_id", "held_out", "lang_pred", "score", "n_words"])
 
-    return docs.select("doc_id", "held_out", F.col("text").cast("string")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, n_words long")
+    own = docs.select("doc_id", "held_out") if text_in else docs.select("doc_id", "held_out", F.col("text").cast("string"))
+    return own.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, n_words long")
 
 
 def language_id(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -149,5 +154,5 @@ def accepted(docs: DataFrame, least: float = 0.5, path: str | None = None) -> Da
     vocab = Vocabulary.load(path)
     langs, logp = learn(docs.filter(remainder("doc_id", 4) != 2), vocab)
     row = F.struct(*docs.columns)
-    judged = predict(docs.select(row.alias("doc_id"), F.lit(False).alias("held_out"), "text"), vocab, langs, logp)
+    judged = predict(docs.select(row.alias("doc_id"), F.lit(False).alias("held_out")), vocab, langs, logp, "text")
     return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("doc_id.*")

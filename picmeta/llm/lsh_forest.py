@@ -187,7 +187,7 @@ def screened(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     least = agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):
             one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, TREES * DEEP) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array((one == two).sum(axis=1) >= least))
 
@@ -251,7 +251,7 @@ def crossing(own: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     """(x, y): the pairs of different components in regions of up to REGION sets that signatures don't rule out. own: (region, digest, comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64)):
             found: tuple[list, list] = ([], [])
             for group in b.column(0).to_pylist():
                 orders = np.frombuffer(b"".join(g["orders"] for g in group), np.uint16).reshape(len(group), -1)
