@@ -25,7 +25,8 @@ def rank(tier: Column) -> Column:
 
 def facts(docs: DataFrame) -> DataFrame:
     """(doc_id, source, key, grp, tier, pos, value): every match of every rule; pos counts from 1 within a document and key."""
-    one = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(g).alias("grp"), F.lit(t).alias("tier"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found")) for k, (g, t, p) in RULES.items())))
+    every = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(g).alias("grp"), F.lit(t).alias("tier"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found")) for k, (g, t, p) in RULES.items()))
+    one = F.explode(F.filter(every, lambda x: F.size(x["found"]) > 0))  # most documents have none
     many = docs.select("doc_id", "source", one.alias("r")).select("doc_id", "source", "r.*")
     return many.select("doc_id", "source", "key", "grp", "tier", F.posexplode("found").alias("at", "value")).select("doc_id", "source", "key", "grp", "tier", (F.col("at") + 1).cast("long").alias("pos"), "value")
 
