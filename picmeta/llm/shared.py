@@ -80,6 +80,13 @@ def remainder(doc_id: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, which DuckDB lacks: by bitwise steps; null for null."""
+    byte = f"('0x' || substr(hex(encode({text})), (2 * i - 1)::INTEGER, 2))::BIGINT"
+    steps = "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({text}) + 1), lambda i: {byte})), {steps}), 4294967295)"
+
+
 def raw(col: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text; bytes.split() and bytes.lower() then act on ASCII only."""
     large = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
