@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from picmeta.llm import language_id, license_scan, line_dedup, lm_score, lsh_forest, merkle, pieces, quality_rules, source_mix, token_rollup, topk_search
+from picmeta.llm import language_id, license_scan, line_dedup, lm_score, lsh_forest, merkle, pieces, quality_rules, secret_scan, source_mix, token_rollup, topk_search, variants
 from picmeta.llm.shared import cut, shared_dir, table
 
 
@@ -71,13 +71,26 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op11."""
+    return secret_scan.base(op11_secret_scan(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest, op13_merkle_manifest, lm_base, mix_goals)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pieces, op3_lm_score, op4_language_id, op5_license_scan, op6_token_rollup, op7_source_mix, op8_topk_search, op9_line_dedup, op10_lsh_forest, op11_secret_scan, op12_spelling_variants, op13_merkle_manifest, lm_base, mix_goals, secret_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE, "op13_merkle_manifest": merkle.ORACLE, "lm_base": lm_score.ORACLE, "mix_goals": source_mix.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op10_lsh_forest": lsh_forest.ORACLE, "op12_spelling_variants": variants.ORACLE, "op13_merkle_manifest": merkle.ORACLE, "lm_base": lm_score.ORACLE, "mix_goals": source_mix.ORACLE, "secret_base": secret_scan.ORACLE}
