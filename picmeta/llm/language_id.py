@@ -55,10 +55,10 @@ def marked(words: list[str]) -> list[bytes]:
 
 def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
     """Languages in code point order, and the log probability of each piece (a row; the last for unknown) in each (a column)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Vocabulary.of(shared.value)
         prior = np.append(v.scores, v.unknown_score)[:, None]
         langs: dict[str, int] = {}
         words: dict[str, dict[int, int]] = {}
@@ -106,10 +106,11 @@ def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarray, text_in: str | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_words) of each row of docs (doc_id, held_out, text). text_in: the field of doc_id, a struct, that has the text; docs then has none."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, langs, logp))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(vocab), langs, logp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, langs, logp = shared.value
+        plain, langs, logp = shared.value
+        v = Vocabulary.of(plain)
         place: dict[str, int] = {}
         known = np.zeros((1024, len(langs)))
         for batch in batches:

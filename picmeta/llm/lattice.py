@@ -84,6 +84,13 @@ class Vocabulary:
         if inner or any(b"\n" in pieces[i] or b" " in pieces[i] for i in order):
             raise ValueError("a piece of this vocabulary spans words; they can't be segmented apart")
 
+    @classmethod
+    def of(cls, plain: dict) -> Vocabulary:
+        """The vocabulary whose vars were sent: plain arrays and lists, so that a broadcast needs no copy of this package on executors."""
+        made = cls.__new__(cls)
+        made.__dict__.update(plain)
+        return made
+
     @classmethod
     def load(cls, path: str | None = None, scores: str = "zipf") -> Vocabulary:
         import sentencepiece

@@ -69,10 +69,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def scored(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """counts (word, c, n) with sub: the log10 of the summed probability of the word's segmentations."""
-    shared = counts.sparkSession.sparkContext.broadcast(vocab)
+    shared = counts.sparkSession.sparkContext.broadcast(vars(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Vocabulary.of(shared.value)
         logp = np.append(v.scores, v.unknown_score)[:, None]
         for b in batches:
             for part in slices(b, 0, CHUNK):
@@ -104,7 +104,7 @@ def lm_score(docs: DataFrame, path: str | None = None, heavy: int = HEAVY) -> Da
                 at, distinct = numbered([w for x in own for w in x])
                 c, sub = (np.array(x) for x in zip(*[common.get(w, none) for w in distinct] or [none]))
                 doc, c, sub = np.repeat(np.arange(m), n), c[at] if len(at) else at, sub[at] if len(at) else at
-                sums, score = np.bincount(doc, np.log10(np.maximum(c, 0) + 1.0), m), np.bincount(doc, sub, m)
+                sums, score = (np.bincount(doc, x, m).astype(float) for x in (np.log10(np.maximum(c, 0) + 1.0), sub))  # of no words at all it makes integers
                 hits = np.bincount(doc, c > 0, m).astype(np.int64)
                 rare, size = np.flatnonzero(c < 0), max(len(distinct), 1)
                 pair, k = np.unique(doc[rare] * size + at[rare], return_counts=True)
@@ -140,7 +140,7 @@ def base(scores: DataFrame) -> DataFrame:
 #: held_out needs crc32, which DuckDB lacks; it is made here from a table of bytes by bitwise steps.
 _CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1), lambda i: ascii(substr(coalesce(doc_id::VARCHAR, ''), i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))"
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws, xor({_CRC}, 4294967295) % 7 = 2 AS held_out FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws, xor({_CRC}, 4294967295) % 7 = 2 AS held_out FROM documents),
 w AS (SELECT rid, held_out, unnest(list_append(ws, ' ')) AS w FROM d),
 c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w),
 t AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)

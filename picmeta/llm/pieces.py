@@ -91,12 +91,12 @@ def written(vocab: Vocabulary) -> list[bytes]:
 def encode(docs: DataFrame, path: str | None = None, scores: str = "zipf") -> DataFrame:
     """All columns of docs, then ids (a clashing column is replaced)."""
     docs = docs.drop("ids")
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, scores))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(path, scores)))
     schema = StructType(list(docs.schema.fields)).add("ids", ArrayType(IntegerType()))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         for batch in batches:
             for b in slices(batch, at, SLICE):
                 texts = raw(b.column(at))
@@ -116,10 +116,10 @@ def round_trips(docs: DataFrame, path: str | None = None, scores: str = "zipf",
     """(the columns keep, ids, n_pieces, round_trip) of each row of docs: encoded, decoded and compared with the text in one pass. For null text: null ids, -1 pieces, true."""
     own = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = StructType(list(own.schema.fields)[:-1]).add("ids", ArrayType(IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, scores))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(path, scores)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, said = Encoder(shared.value), written(shared.value)
+        encoder, said = Encoder(Vocabulary.of(shared.value)), written(Vocabulary.of(shared.value))
         for batch in batches:
             for b in slices(batch, len(keep), SLICE):
                 texts = raw(b.column(len(keep)))
@@ -136,10 +136,10 @@ def lengths(docs: DataFrame, path: str | None = None, scores: str = "zipf", keep
     """(the columns keep, n_tokens) of each row of docs; 0 for null text. The ids stay in the task."""
     own = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = StructType(list(own.schema.fields)[:-1]).add("n_tokens", "long")
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, scores))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(path, scores)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         for batch in batches:
             for b in slices(batch, len(keep), SLICE):
                 _, off = encoder(raw(b.column(len(keep))))

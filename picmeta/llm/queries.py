@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from picmeta.llm import language_id, license_scan, line_dedup, lm_score, lsh_forest, merkle, pieces, quality_rules, secret_scan, source_mix, token_rollup, topk_search, variants
-from picmeta.llm.shared import cut, shared_dir, table
+from picmeta.llm.shared import cut, scratch, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in under an old version; all are then revised to the present one; the revision is committed twice."""
     new = cut(token_rollup.counted(table(spark, sf_dir, "documents")))
     old = new.withColumns({"version": F.lit("words-0"), "n_tokens": F.col("n_tokens") + 1})
-    root = f"{shared_dir(spark)}/picmeta/rollup-{uuid.uuid4().hex}"
+    root = f"{scratch(spark)}/rollup-{uuid.uuid4().hex}"
     token_rollup.commit(token_rollup.changes(None, old), root, "1")
     for _ in range(2):
         token_rollup.commit(token_rollup.changes(old, new), root, "2")

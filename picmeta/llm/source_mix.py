@@ -169,8 +169,7 @@ def goals(mixed: DataFrame) -> DataFrame:
 
 #: Water-filling in one pass: sources by cap per weight; a source is full if all before it and itself are full at its own level.
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [{", ".join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)})::INTEGER + 1]::DOUBLE AS weight FROM d GROUP BY source),
 o AS (SELECT *, {CAP} * source_size / weight AS level, {SHARE} * sum(source_size) OVER () AS total,
   coalesce(sum({CAP} * source_size) OVER (ORDER BY {CAP} * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,

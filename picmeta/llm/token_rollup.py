@@ -6,12 +6,13 @@ Counts are additive, so the totals are kept as a table of their own and a batch
 only adds its sums to it.
 
 `commit` writes the totals with the batch added as a new state, in a folder of
-its own, and then publishes it by one row (number, batch, state) in the log. A
-job that is lost before that leaves a folder that nothing reads; the log row is
-one file, which is there or not. A batch that the log has already isn't added
-again, so retries count once. Of two commits that publish the same number, the
-one whose state's name is smaller stands; the other sees that and starts anew on
-its result.
+its own, and then publishes it as entry `number` of the log, one more than the
+entry it was built on. An entry is written under another name and renamed, which
+fails if the log has one of that number: so of two commits built on the same
+totals one stands, and the other starts anew on its result. Nobody builds on an
+entry that can still lose. A job that is lost before the renaming leaves files that
+nothing reads. A batch that the log has already isn't added again, so retries count
+once.
 
 Null source or lang is a group of its own. Null text has no tokens and counts as
 a document. Repeated rows count each. Groups without documents and tokens left
@@ -21,9 +22,11 @@ table of documents gives empty counts; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from picmeta.llm import pieces
@@ -48,16 +51,15 @@ def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
 
 
 def log(spark: SparkSession, root: str) -> DataFrame:
-    """(number, batch, state) of the commits that stand. The folder is made by the first commit."""
+    """(number, batch, state) of the commits. The folder is made by the first commit."""
     try:
-        rows = spark.read.schema(LOG).parquet(f"{root}/log")
+        rows = spark.read.schema(LOG).json(f"{root}/log")
         rows.limit(1).collect()
     except Exception as e:  # before the first commit
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], LOG)
-    nth = F.row_number().over(Window.partitionBy("number").orderBy("state"))
-    return rows.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    return rows
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
@@ -72,18 +74,42 @@ def commit(signed: DataFrame, root: str, batch: str) -> bool:
     """Adds a batch of signed rows to the rollup at root; false if it has a batch of that id."""
     spark = signed.sparkSession
     sums = signed.groupBy(*BY).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("tokens"))
-    mine = ""
     while True:
         done = log(spark, root)
-        before = done.filter(F.col("batch") == batch).first()
-        if before is not None:
-            return before.state == mine
-        number = (done.agg(F.max("number")).first()[0] or 0) + 1
-        mine = f"{number:012d}-{uuid.uuid4().hex}"
-        added = totals(spark, root).unionByName(sums).groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
-        added.write.parquet(f"{root}/state/{mine}")
-        publish(spark, root, number, batch, mine)
-
-
-def publish(spark: SparkSession, root: str, number: int, batch: str, state: str) -> None:
-    spark.createDataFrame([(number, batch, state)], LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        if not done.filter(F.col("batch") == batch).isEmpty():
+            return False
+        number, state = built(spark, root, sums)
+        if publish(spark, root, number, batch, state):
+            return True
+
+
+def built(spark: SparkSession, root: str, sums: DataFrame) -> tuple[int, str]:
+    """The next number and the name of a new state, the last one with sums added."""
+    last = log(spark, root).orderBy(F.desc("number")).first()
+    number = last.number + 1 if last else 1
+    state = f"{number:012d}-{uuid.uuid4().hex}"
+    now = spark.read.schema(SUMS).parquet(f"{root}/state/{last.state}") if last else spark.createDataFrame([], SUMS)
+    added = now.unionByName(sums).groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+    added.write.parquet(f"{root}/state/{state}")
+    return number, state
+
+
+def publish(spark: SparkSession, root: str, number: int, batch: str, state: str) -> bool:
+    """Puts an entry into the log, whole or not at all; false if it has one of that number."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsc.hadoopConfiguration()
+    draft, entry = (hadoop.fs.Path(f"{root}/{x}") for x in (f"draft/{state}.json", f"log/{number:012d}.json"))
+    files = draft.getFileSystem(conf)
+    out = files.create(draft, True)
+    out.write(bytearray(json.dumps({"number": number, "batch": batch, "state": state}).encode()))
+    out.close()
+    files.mkdirs(entry.getParent())
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(hadoop.fs, "Options$Rename").NONE  # an entry that is there stays
+    try:
+        hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(draft), files.makeQualified(entry), options)
+    except Py4JJavaError as e:
+        if files.exists(entry):
+            return False
+        raise e
+    return True

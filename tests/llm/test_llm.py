@@ -160,7 +160,7 @@ def test_rollup(spark, docs, none, tmp_path, monkeypatch):
         if batch == "3" and number == 3:
             token_rollup.totals(spark, root).write.parquet(f"{root}/state/000000000003-0")
             publish(spark, root, 3, "other", "000000000003-0")
-        publish(spark, root, number, batch, state)
+        return publish(spark, root, number, batch, state)
 
     with monkeypatch.context() as m:
         m.setattr(token_rollup, "publish", raced)
