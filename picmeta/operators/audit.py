@@ -5,31 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEEDLES = 1 << 14
-ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE")
-
-
-def forms(needles: DataFrame) -> DataFrame:
-    """(needle_id, encoding, bytes): each text in each encoding."""
-    each = F.array(*(F.struct(F.lit(e).alias("encoding"), F.encode("needle", e).alias("bytes")) for e in ENCODINGS))
-    return needles.select("needle_id", F.explode(each).alias("f")).select("needle_id", "f.*")
-
-
-def found(files: DataFrame, needles: DataFrame) -> DataFrame:
-    """(path, needle_id, encoding): the forms that files (path, content) contain. The list of needles is a registry: more than NEEDLES are an error."""
-    own = forms(needles)
-    if (n := needles.count()) > NEEDLES:
-        raise ValueError(f"{n} needles; a registry has at most {NEEDLES}")
-    return files.join(F.broadcast(own), F.contains("content", F.col("bytes"))).select("path", "needle_id", "encoding").distinct()
-
+from picmeta.operators.shared import kept
 
-def opened(files: DataFrame, least_hex: int = 24, least_base64: int = 64) -> DataFrame:
-    """(path, kind, content): the bytes of files (path, content) as they are, and those written inside as runs of hex pairs or base64."""
+ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE")
+#: The ways to look for a string, best first: a run of bytes from a sign that is neither letter nor digit on, or its first bytes.
+ANCHOR = "[\\x01-/:-@\\[-`{-\\x7f]"
+GRAMS = {"anchored": (16, f"(?s)(?=({ANCHOR}.{{15}}))"), "8": (8, "(?s)(?=(.{8}))"), "4": (4, "(?s)(?=(.{4}))"), "2": (2, "(?s)(?=(.{2}))"), "1": (1, "(?s)(.)")}
+
+
+def forms(needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """(needle_id, encoding, bytes): each text in each encoding; texts that are null or empty have none."""
+    each = F.array(*(F.struct(F.lit(e).alias("encoding"), F.encode("needle", e).alias("bytes")) for e in encodings))
+    return needles.filter("needle <> ''").select("needle_id", F.explode(each).alias("f")).select("needle_id", "f.*")
+
+
+def keyed(wanted: DataFrame) -> DataFrame:
+    """wanted with way and gram: what is looked for in the files. A string that a file contains has its gram there too."""
+    text = F.decode("bytes", "ISO-8859-1")
+    anchored = F.regexp_extract(text, f"(?s)({ANCHOR}.{{15}})", 1)
+    way = F.when(anchored != "", "anchored")
+    for name, (size, _) in list(GRAMS.items())[1:]:
+        way = way.when(F.length(text) >= size, name)
+    size = F.element_at(F.create_map(*(F.lit(x) for name, (n, _) in GRAMS.items() for x in (name, n))), way)
+    return wanted.withColumn("way", way).withColumn("gram", F.when(F.col("way") == "anchored", anchored).otherwise(F.substring(text, F.lit(1), size)))
+
+
+def found(files: DataFrame, needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """(path, needle_id, encoding): the forms that files (path, content) contain, each once.
+
+    One gram of each form is joined with the grams of the files, of the ways that
+    the forms need, and what meets is compared in full. Neither side is bounded:
+    Spark broadcasts the grams of a short list by their size, and shuffles those of
+    a long one. Rows that repeat a path are files of that path; null content holds
+    nothing."""
+    own = keyed(forms(needles, encodings))
+    text, rows = F.decode("content", "ISO-8859-1"), files.select("path", "content", F.xxhash64("content").alias("row"))
+    grams = [rows.select("path", "row", F.lit(way).alias("way"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(GRAMS[way][1]), F.lit(1)))).alias("gram")) for way in sorted(r.way for r in own.select("way").distinct().collect())]
+    if not grams:
+        return files.select("path", F.lit(None).cast(dict(needles.dtypes)["needle_id"]).alias("needle_id"), F.lit("").alias("encoding")).limit(0)
+    every = grams[0]
+    for g in grams[1:]:
+        every = every.unionByName(g)
+    pairs = every.join(own, ["way", "gram"]).select("path", "row", "needle_id", "encoding", "bytes")
+    return rows.join(pairs, ["path", "row"]).filter(F.contains("content", F.col("bytes"))).select("path", "needle_id", "encoding").distinct()
+
+
+def opened_once(files: DataFrame, least_hex: int = 24, least_base64: int = 64) -> DataFrame:
+    """(path, kind, content): what is written inside files (path, kind, content) as runs of hex pairs or base64."""
     text = F.decode("content", "ISO-8859-1")
     hexes = F.transform(F.regexp_extract_all(text, F.lit(f"(?:[0-9a-fA-F]{{2}}){{{least_hex},}}"), F.lit(0)), lambda x: F.struct(F.lit("hex").alias("kind"), F.unhex(x).alias("content")))
     b64 = F.transform(F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9+/]{{{least_base64},}}={{0,2}}"), F.lit(0)), lambda x: F.struct(F.lit("base64").alias("kind"), F.try_to_binary(F.substring(x, F.lit(1), (F.floor(F.length(x) / 4) * 4).cast("int")), F.lit("base64")).alias("content")))
-    raw = F.array(F.struct(F.lit("raw").alias("kind"), F.col("content").alias("content")))
-    return files.select("path", F.explode(F.concat(raw, hexes, b64)).alias("x")).select("path", "x.*").filter("content IS NOT NULL")
+    inside = files.select("path", "kind", F.explode(F.concat(hexes, b64)).alias("x")).filter("x.content IS NOT NULL")
+    return inside.select("path", F.when(F.col("kind") == "raw", F.col("x.kind")).otherwise(F.concat("kind", F.lit("/"), F.col("x.kind"))).alias("kind"), "x.content")
+
+
+def opened(files: DataFrame, least_hex: int = 24, least_base64: int = 64) -> DataFrame:
+    """(path, kind, content): the bytes of files (path, content) as they are (raw), those written inside as runs of hex pairs or base64, and what is written inside these (hex/base64), until nothing is left to open. What is opened is shorter than the run it stood in, so that ends."""
+    last = files.filter("content IS NOT NULL").select("path", F.lit("raw").alias("kind"), "content")
+    every = last
+    while True:
+        last = kept(opened_once(last, least_hex, least_base64))
+        if last.isEmpty():
+            return every
+        every = every.unionByName(last)
+
+
+def contained(needles: DataFrame) -> DataFrame:
+    """(inner, outer): texts of a registry (needle_id, needle) that stand inside other, different texts of it."""
+    files = needles.select(F.col("needle_id").alias("path"), F.encode("needle", "UTF-8").alias("content"))
+    met = found(files, needles, ("UTF-8",)).select(F.col("needle_id").alias("inner"), F.col("path").alias("outer"))
+    one, two = (needles.select(F.col("needle_id").alias(x), F.xxhash64("needle").alias(f"{x}_hash"), F.length("needle").alias(f"{x}_n")) for x in ("inner", "outer"))
+    return met.join(one, "inner").join(two, "outer").filter("inner_hash <> outer_hash OR inner_n <> outer_n").select("inner", "outer")
 
 
 def responsible(present: DataFrame, after: DataFrame) -> DataFrame:

@@ -90,21 +90,29 @@ def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = d.join(F.broadcast(n), d["doc_id"] == n["needle_id"], "left")
     item, way = F.col("needle"), F.col("doc_id") % 6
     utf8 = F.encode(item, "UTF-8")
-    end = F.when(way == 0, utf8).when(way == 1, F.encode(item, "UTF-16LE")).when(way == 2, F.encode(item, "UTF-16BE")).when(way == 3, F.hex(utf8).cast("binary")).when(way == 4, F.regexp_replace(F.base64(utf8), r"\s", "").cast("binary")).otherwise(F.lit("").cast("binary"))
+    end = F.when(way == 0, utf8).when(way == 1, F.encode(item, "UTF-16LE")).when(way == 2, F.encode(item, "UTF-16BE")).when(way == 3, F.hex(utf8).cast("binary")).when(way == 4, F.regexp_replace(F.base64(utf8), r"\s", "").cast("binary")).otherwise(F.hex(F.regexp_replace(F.base64(utf8), r"\s", "").cast("binary")).cast("binary"))
     return both.select(F.col("doc_id").alias("path"), F.concat(F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "UTF-8"), F.coalesce(end, F.lit("").cast("binary"))).alias("content"))
 
 
 def haystacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry items in files, as they are and inside runs of hex or base64."""
+    """Registry items in files, as they are and inside runs of hex or base64, and runs inside runs."""
     inner = audit.opened(planted_files(spark, sf_dir))
     hits = inner.select(F.struct("path", "kind").alias("path"), "content")
-    return audit.found(hits, needles(spark, sf_dir)).select("path.path", "path.kind", "needle_id", "encoding").filter("path = needle_id")
+    return audit.found(hits, needles(spark, sf_dir)).select("path.path", "path.kind", "needle_id", "encoding")
+
+
+def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a registry of items and whole documents, those that stand inside others."""
+    b = _t(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("needle_id"), F.col("text").alias("needle"))
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("needle_id"), F.col("text").alias("needle"))
+    return audit.contained(b.unionByName(d))
 
 
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which single line of a document, taken away, takes a registry item away: for each item, its documents' lines (by number)."""
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hits = d.join(F.broadcast(needles(spark, sf_dir)), F.contains("line", "needle")).select("path", "needle_id", "pos")
+    lines = d.select(F.struct("path", "pos").alias("path"), F.encode("line", "UTF-8").alias("content"))
+    hits = audit.found(lines, needles(spark, sf_dir), ("UTF-8",)).select("path.path", "needle_id", "path.pos")
     once = hits.groupBy("path", "needle_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     tried = hits.select("path", F.col("pos").cast("string").alias("key")).distinct()
     kept = tried.join(hits.select("path", "needle_id", F.col("pos").cast("string").alias("at")), "path").filter("key <> at").select("path", "key", "needle_id").distinct()
@@ -208,9 +216,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "first_per_source": (lambda s, d: ordered.first_of(_t(s, d, "documents").select("source", "lang", F.col("doc_id").alias("pos"), F.col("n_chars").alias("value")), "source", "lang"), "SELECT source, lang, min(doc_id) AS pos, arg_min(n_chars, doc_id) AS value FROM documents GROUP BY source, lang"),
     "tiled_chunks": (lambda s, d: ordered.tiled(intervals.offsets(_t(s, d, "conversations").withColumn("size", F.length("text")), "conv_id", "turn", "size").filter("turn <> 3 OR conv_id % 2 = 0").select(F.col("conv_id").alias("path"), "s", "e")), "WITH o AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM conversations), k AS (SELECT * FROM o WHERE turn <> 3 OR conv_id % 2 = 0), g AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY conv_id ORDER BY e - n, e), 0) AS expected FROM k) SELECT conv_id AS path, bool_and(e - n = expected) AS whole FROM g GROUP BY conv_id"),
     "closure_reach": (reach, "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS path, l_orderkey % 97 AS src, l_partkey % 97 AS dst FROM lineitem), r AS (SELECT s_suppkey AS path, s_suppkey % 97 AS id, 0 AS depth FROM supplier UNION SELECT l.path, l.dst, depth + 1 FROM r JOIN l ON l.path = r.path AND l.src = r.id WHERE depth < 64) SELECT path, id, min(depth)::INTEGER AS depth FROM r GROUP BY path, id"),
-    "haystack_hex_b64": (haystacks, "SELECT item_id AS path, CASE WHEN item_id % 6 = 3 THEN 'hex' WHEN item_id % 6 = 4 THEN 'base64' ELSE 'raw' END AS kind, item_id AS needle_id, ['UTF-8', 'UTF-16LE', 'UTF-16BE', 'UTF-8', 'UTF-8'][(item_id % 6 + 1)::INTEGER] AS encoding FROM benchmark JOIN documents ON doc_id = item_id WHERE item_id % 6 < 5 UNION SELECT item_id, 'raw', item_id, 'UTF-8' FROM benchmark b JOIN documents d ON doc_id = item_id AND contains(d.text, b.text)"),
+    "haystack_hex_b64": (haystacks, "SELECT item_id AS path, CASE WHEN item_id % 6 = 3 THEN 'hex' WHEN item_id % 6 = 4 THEN 'base64' WHEN item_id % 6 = 5 THEN 'hex/base64' ELSE 'raw' END AS kind, item_id AS needle_id, ['UTF-8', 'UTF-16LE', 'UTF-16BE', 'UTF-8', 'UTF-8', 'UTF-8'][(item_id % 6 + 1)::INTEGER] AS encoding FROM benchmark JOIN documents ON doc_id = item_id UNION SELECT doc_id, 'raw', item_id, 'UTF-8' FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
     "attribution": (attribution, "WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), h AS (SELECT path, item_id AS needle_id, pos FROM l JOIN benchmark b ON contains(l.line, b.text)), o AS (SELECT path, needle_id, count(*) AS n, min(pos) AS pos FROM h GROUP BY ALL) SELECT path, needle_id, pos::VARCHAR AS keys FROM o WHERE n = 1"),
     "canary_unique_check": (lambda s, d: audit.repeated(needles(s, d).select("needle").unionByName(_t(s, d, "documents").select(F.col("text").alias("needle")))), "SELECT needle, count(*) AS n FROM (SELECT text AS needle FROM benchmark UNION ALL SELECT text FROM documents) GROUP BY needle HAVING count(*) > 1"),
+    "canary_contained": (contained, "WITH r AS (SELECT concat('b', item_id) AS id, text FROM benchmark UNION ALL SELECT concat('d', doc_id), text FROM documents) SELECT i.id AS inner, o.id AS outer FROM r i JOIN r o ON i.text <> o.text AND i.text <> '' AND contains(o.text, i.text)"),
     "finding_counts": (lambda s, d: audit.findings(_t(s, d, "events").select(F.col("event_type").alias("severity"), (F.col("event_id") % 700).alias("key"))), "SELECT event_type AS severity, count(DISTINCT event_id % 700) AS n FROM events GROUP BY event_type"),
     "case_stats": (case_stats, "SELECT count(*) AS cases, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS hangs, count(*) FILTER (event_type = 'purchase') AS crashes, count(*) FILTER (value * 100 > 3000) AS slow, count(*) FILTER (event_id % 9 = 0 AND event_type NOT IN ('error', 'signup', 'purchase')) AS silent_keeps FROM events"),
     "same_models": (

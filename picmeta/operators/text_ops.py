@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from picmeta.operators import audit
+
 #: Ordered: key -> (group, tier, pattern). Fixed values of this test bed.
 RULES = {
     "email": ("who", "red", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
@@ -63,25 +65,7 @@ def scrubbed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", t.alias("text"))
 
 
-NEEDLES = 1 << 14
-SHORT = 5  # words
-
-
 def planted(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id): the planted texts that documents hold. Items of SHORT words and more are found by a word triple of theirs, then by containment; the few shorter ones by containment alone. Lists of up to NEEDLES items are broadcast."""
-
-    def triple(ws: Column, i: Column | int) -> Column:
-        return F.xxhash64(F.element_at(ws, i), F.element_at(ws, i + 1), F.element_at(ws, i + 2))
-
-    def small(df: DataFrame, n: int) -> DataFrame:
-        return F.broadcast(df) if n <= NEEDLES else df
-
-    n, words = items.count(), F.split("text", " ")
-    own = items.select("item_id", F.col("text").alias("item"), words.alias("w")).filter("item IS NOT NULL")
-    asked = small(own.filter(F.size("w") >= SHORT).select("item_id", "item", triple(F.col("w"), 2).alias("h")), n)
-    at = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: triple(F.col("w"), i)))
-    there = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= SHORT).select("doc_id", F.explode(at).alias("h"))
-    pairs = there.join(asked, "h").select("doc_id", "item_id", "item").distinct()
-    long_ = docs.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
-    short = small(own.filter(F.size("w") < SHORT).select("item_id", "item"), n)
-    return long_.unionByName(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id")).distinct()
+    """(item_id, doc_id): the planted texts, of any length and number, that documents hold."""
+    files = docs.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return audit.found(files, items.select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle")), ("UTF-8",)).select(F.col("needle_id").alias("item_id"), F.col("path").alias("doc_id"))
