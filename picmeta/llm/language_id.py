@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from picmeta.llm.lattice import MARK_BYTES, Lattice, Vocabulary
-from picmeta.llm.shared import numbered, raw, remainder, slices
+from picmeta.llm.shared import numbered, raw, remainder, slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CHUNK = 5_000  # words in a lattice
@@ -94,7 +94,7 @@ def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "piece": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
-    sent = docs.filter("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, piece int, n long")
+    sent = docs.filter("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(tidy(run), "lang string, piece int, n long")
     summed = sent.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toLocalIterator()  # pieces x languages at most
     counts: dict[str, np.ndarray] = {}
     for r in summed:
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarr
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(n)], names=["doc_id", "held_out", "lang_pred", "score", "n_words"])
 
     own = docs.select("doc_id", "held_out") if text_in else docs.select("doc_id", "held_out", F.col("text").cast("string"))
-    return own.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, n_words long")
+    return own.mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, n_words long")
 
 
 def language_id(docs: DataFrame, path: str | None = None) -> DataFrame:

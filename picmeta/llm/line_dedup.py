@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from picmeta.llm.shared import SPACE, cut, raw
+from picmeta.llm.shared import SPACE, cut, raw, tidy
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -113,7 +113,7 @@ def filters(docs: DataFrame, bits: int) -> bytes:
                 once[p] = True
         return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
 
-    hits = docs.select(F.col("text").cast("string")).mapInArrow(hit, "segment int, twice boolean, at binary")
+    hits = docs.select(F.col("text").cast("string")).mapInArrow(tidy(hit), "segment int, twice boolean, at binary")
     out = bytearray(bits // 8)
     for r in hits.groupBy("segment").applyInPandas(merge, "segment int, bits binary").toLocalIterator():
         out[r.segment * size // 8 : (r.segment + 1) * size // 8] = r.bits
@@ -137,7 +137,7 @@ def suspects(docs: DataFrame, twice: bytes, bits: int) -> DataFrame:
                 hit = np.flatnonzero(((seen[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), *(b.column(c).take(pa.array([rows[i] for i in hit], pa.int64())) for c in (0, 2))], names=["key", "doc_id", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("mark")).mapInArrow(run, "key binary, doc_id long, mark long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("mark")).mapInArrow(tidy(run), "key binary, doc_id long, mark long")
 
 
 def repeats(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -176,7 +176,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int | None = Non
                 ids = b.column(at_id).cast(pa.int64()).to_pylist()
                 yield edited(b, lambda i, k, ids=ids: k in own and own[k] != ids[i])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +186,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int | None = Non
     lost = found.join(rep, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drop = lost.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set("key").alias("__drop"))  # of one text
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mark"))
-    return docs.join(drop, own, "left").select(*docs.columns, "__drop").mapInArrow(run_joined, schema)
+    return docs.join(drop, own, "left").select(*docs.columns, "__drop").mapInArrow(tidy(run_joined), schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

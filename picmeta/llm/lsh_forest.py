@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from picmeta.llm.shared import cut, discard, hinted, numbered, raw, slices
+from picmeta.llm.shared import cut, discard, hinted, numbered, raw, slices, tidy
 
 WORDS = 5
 PERCENT = 85
@@ -112,7 +112,7 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 orders = [mixed(signature(s, a) * spread).astype(">u2").tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(orders, pa.binary())], names=["doc_id", "mark", "n_shingles", "digest", "orders"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked("text").alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, orders binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked("text").alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, digest binary, orders binary")
 
 
 def marked(text: str) -> Column:
@@ -130,7 +130,7 @@ def shingled(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists], names=["digest", "shingles"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "digest binary, shingles array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "digest binary, shingles array<long>")
 
 
 def fetched(docs: DataFrame, sets: DataFrame, digests: DataFrame, words: int = WORDS) -> DataFrame:
@@ -194,7 +194,7 @@ def screened(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     one = sets.select(F.col("digest").alias("x"), F.col("orders").alias("ox"), F.col("n_shingles").alias("nx"))
     two = sets.select(F.col("digest").alias("y"), F.col("orders").alias("oy"), F.col("n_shingles").alias("ny"))
     both = pairs.join(one, "x").join(two, "y").filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    return both.select("x", "y", "ox", "oy").mapInArrow(run, "x binary, y binary")
+    return both.select("x", "y", "ox", "oy").mapInArrow(tidy(run), "x binary, y binary")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -263,7 +263,7 @@ def crossing(own: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()) for f in found], names=["x", "y"])
 
     groups = own.join(sets.select("digest", "orders", "n_shingles"), "digest").groupBy("region").agg(F.collect_list(F.struct("digest", "comp", "orders", "n_shingles")).alias("m"))
-    return groups.select("m").mapInArrow(run, "x binary, y binary").distinct()
+    return groups.select("m").mapInArrow(tidy(run), "x binary, y binary").distinct()
 
 
 def dealt(own: DataFrame) -> DataFrame:

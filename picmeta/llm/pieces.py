@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from picmeta.llm.lattice import MARK, MARK_BYTES, Lattice, Vocabulary
-from picmeta.llm.shared import numbered, raw, slices
+from picmeta.llm.shared import numbered, raw, slices, tidy
 
 PARTS = re.compile(rf" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
 CHUNK = 10_000  # parts in a lattice
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, path: str | None = None, scores: str = "zipf") -> Da
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=mask)
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decoded(said: list[bytes], ids: list[int]) -> bytes:
@@ -129,7 +129,7 @@ def round_trips(docs: DataFrame, path: str | None = None, scores: str = "zipf",
                 n = np.where(none.to_numpy(zero_copy_only=False), -1, np.diff(off))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=none), pa.array(n.astype(np.int64)), pa.array(same, pa.bool_())], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def lengths(docs: DataFrame, path: str | None = None, scores: str = "zipf", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -145,7 +145,7 @@ def lengths(docs: DataFrame, path: str | None = None, scores: str = "zipf", keep
                 _, off = encoder(raw(b.column(len(keep))))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.diff(off).astype(np.int64))], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -163,4 +163,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = [None if x is None else decoded(said, x).decode("utf-8", "replace") for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

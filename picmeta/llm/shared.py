@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +107,20 @@ def slices(b: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.Reco
         yield b.slice(begin)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and what its worker process holds but no longer uses goes back to the machine at the end: Spark keeps idle workers, and the next stage's memory adds to theirs."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def numbered(words: list) -> tuple[np.ndarray, list]:
     """The number of each word among the distinct words, and those."""
     if not words:
