@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from picmeta.llm.shared import cut, hinted
@@ -152,14 +152,18 @@ def wrapped(docs: DataFrame) -> DataFrame:
     ends = rows.filter(F.size("w") > 1).select(
         "doc_id", "mark", F.transform("w", lambda w: F.slice(w, F.greatest(F.size(w) - SPAN + 1, F.lit(1)), F.lit(SPAN))).alias("tails"), F.transform("w", lambda w: F.slice(w, 1, SPAN)).alias("heads")
     )
-    broken = ends.select("doc_id", "mark", "tails", "heads", F.explode(F.sequence(F.lit(1), F.size("tails") - 1)).alias("n")).filter((F.size(F.element_at("tails", F.col("n"))) > 0) & (F.size(F.element_at("heads", F.col("n") + 1)) > 0))
     none = F.array().cast("array<string>")
-    first = F.greatest(F.col("n") - SPAN + 1, F.lit(1))
-    before = F.aggregate(F.slice("tails", first, F.col("n") - first + 1), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(acc, w)))
-    after = F.aggregate(F.reverse(F.slice("heads", F.col("n") + 1, F.lit(SPAN))), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(w, acc)))
-    both = broken.select("doc_id", "mark", (F.col("n") - 1).alias("line"), before.alias("b"), F.slice(after, 1, SPAN).alias("a"))
-    own = F.concat(F.slice("b", F.greatest(F.size("b") - SPAN + 1, F.lit(1)), F.lit(SPAN)), F.col("a"))
-    return both.select("doc_id", "mark", "line", own.alias("words")).withColumn("text", F.array_join("words", " "))
+
+    def broken(n: Column) -> Column:
+        """What stands around the break behind line n; no row carries more than that."""
+        first = F.greatest(n - SPAN + 1, F.lit(1))
+        before = F.aggregate(F.slice("tails", first, n - first + 1), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(acc, w)))
+        after = F.aggregate(F.reverse(F.slice("heads", n + 1, F.lit(SPAN))), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(w, acc)))
+        return F.struct((n - 1).alias("line"), F.slice(before, F.greatest(F.size(before) - SPAN + 1, F.lit(1)), F.lit(SPAN)).alias("b"), F.slice(after, 1, SPAN).alias("a"))
+
+    held = F.filter(F.sequence(F.lit(1), F.size("tails") - 1), lambda n: (F.size(F.element_at("tails", n)) > 0) & (F.size(F.element_at("heads", n + 1)) > 0))
+    both = ends.select("doc_id", "mark", F.inline(F.transform(held, broken)))
+    return both.select("doc_id", "mark", "line", F.concat("b", "a").alias("words")).withColumn("text", F.array_join("words", " "))
 
 
 @dataclass
@@ -242,9 +246,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     each = F.array(*(F.struct(F.lit(f).alias("family"), F.col("like")[i].alias("likeness"), passes(f, F.col("like")[i]).alias("passes")) for i, f in enumerate(NAMES)))
     found = judged.withColumn("probability", 1 - F.col("p")[0]).withColumn("found", F.explode(F.filter(each, lambda x: x["passes"])))
     found = found.groupBy("doc_id", "mark", "found.family", "line", "wrapped").agg(F.first("text").alias("text"), F.max("probability").alias("probability"), F.max("found.likeness").alias("likeness"))  # once for repeated rows
-    hits = found.groupBy("doc_id", "mark", "family").agg(F.collect_list(F.struct("line", "text", "probability", "likeness", "wrapped")).alias("h"))  # a document's hits of a family
-    new = F.filter("h", lambda x: ~x["wrapped"] | ~F.exists("h", lambda y: F.when(y["wrapped"], y["line"] == x["line"] - 1).otherwise((y["line"] > x["line"] - SPAN) & (y["line"] <= x["line"] + SPAN))))
-    return hits.select("doc_id", "mark", "family", F.explode(new).alias("x")).select("doc_id", "mark", "x.line", "x.text", "family", "x.probability", "x.likeness")
+    lines = Window.partitionBy("doc_id", "mark", "family").orderBy("line")
+    told = F.max((~F.col("wrapped")).cast("int")).over(lines.rangeBetween(1 - SPAN, SPAN)) == 1  # a line says so itself
+    again = F.coalesce(F.max(F.col("wrapped").cast("int")).over(lines.rangeBetween(-1, -1)), F.lit(0)) == 1  # the break before it does
+    new = found.withColumns({"told": told, "again": again}).filter(~F.col("wrapped") | ~(F.col("told") | F.col("again")))
+    return new.select("doc_id", "mark", F.col("line").cast("int").alias("line"), "text", "family", "probability", "likeness")
 
 
 def digest(docs: DataFrame) -> DataFrame:

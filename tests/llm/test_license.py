@@ -73,3 +73,14 @@ def test_held_out_statements_by_family(spark):
     right = sum(got[i] == f for i, (f, _) in enumerate(rows))
     assert right >= 0.9 * len(rows), [(f, t, got[i]) for i, (f, t) in enumerate(rows) if got[i] != f]
     assert all(got[i] == "" for i, (f, _) in enumerate(rows) if not f)
+
+
+def test_many_lines(spark):
+    """A document of 100,000 lines, with notices wrapped over lines in it: work grows with the lines."""
+    notice = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files"]
+    lines = [f"line {i} of words" for i in range(100_000)]
+    lines[50_000:50_002] = notice
+    rows = [(1, "\n".join(lines)), (2, "\n".join(notice)), (3, "x")]
+    got = license_scan.wrapped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 100_000 - 1 + 1 and got.agg({"line": "max"}).first()[0] == 99_998
+    assert got.filter("doc_id = 2").first().words == " ".join(notice).lower().replace(",", "").split()[: 2 * license_scan.SPAN]
