@@ -26,9 +26,16 @@ TAGS = {
     "resolution": [0x011A, 0x011B, 0x0128],
     "colour": [0xA001, 0xA500, 0x013E, 0x013F, 0x0211, 0x0214, 0x8773, 0x012D],
     "dimensions": [0xA002, 0xA003, 0x0100, 0x0101],
-    "exposure": [0x829A, 0x829D, 0x8822, 0x8827, 0x9201, 0x9202, 0x9203, 0x9204, 0x9205, 0x9206, 0x9207, 0x9208, 0x9209, 0x920A, 0xA402, 0xA403, 0xA404, 0xA405, 0xA406],
-    "format": [0x9000, 0xA000, 0x9101, 0x9102, 0x0212, 0x0213, 0x0103, 0x0102, 0x0106, 0x0115],
-    "other": [0xA004],
+    "exposure": [
+        0x829A, 0x829D, 0x8822, 0x8824, 0x8827, 0x8828, 0x8830, 0x8831, 0x8832, 0x8833, 0x8834, 0x8835, 0x9201, 0x9202, 0x9203, 0x9204, 0x9205, 0x9206, 0x9207, 0x9208,
+        0x9209, 0x920A, 0x9214, 0x9400, 0x9401, 0x9402, 0x9403, 0x9404, 0x9405, 0xA20B, 0xA20C, 0xA20E, 0xA20F, 0xA210, 0xA214, 0xA215, 0xA217, 0xA300, 0xA301, 0xA302,
+        0xA401, 0xA402, 0xA403, 0xA404, 0xA405, 0xA406, 0xA407, 0xA408, 0xA409, 0xA40A, 0xA40B, 0xA40C, 0xA460, 0xA461, 0xA462,
+    ],
+    "format": [
+        0x9000, 0xA000, 0x9101, 0x9102, 0x0212, 0x0213, 0x0103, 0x0102, 0x0106, 0x0115, 0x011C, 0x00FE, 0xEA1C, 0xEA1D, 0x0107, 0x0108, 0x0109, 0x010A, 0x0111, 0x0116,
+        0x0117, 0x0118, 0x0119, 0x0122, 0x0123, 0x0124, 0x0125, 0x0129, 0x013D, 0x0140, 0x0141, 0x0142, 0x0143, 0x0144, 0x0145, 0x0152, 0x0153, 0x015B, 0xC612,
+    ],
+    "other": [0x0201, 0x0202, 0x8769, 0x8825, 0xA004, 0xA005],  # named, without a better home
 }
 #: What each key stands for, in the order of display: (key, group, tier, label).
 ITEMS = [
@@ -88,6 +95,8 @@ DATASETS = {
     "byline": ["2:80", "2:85", "2:122"], "contact": ["2:118"], "credit": ["2:110", "2:115"], "copyright": ["2:116"], "place": ["2:90", "2:92", "2:95", "2:100", "2:101", "2:26"],
     "dates": ["2:55", "2:60", "2:62", "2:63", "2:30", "2:35"], "software": ["2:65", "2:70"], "caption": ["2:120", "2:105", "2:5"], "keywords": ["2:25"], "instructions": ["2:40"],
 }
+#: Keywords of text chunks by key.
+KEYWORDS = {"author": ["author", "artist"], "copyright": ["copyright"], "dates": ["creation time", "date:create", "date:modify", "date:timestamp"], "software": ["software"], "source": ["source"], "comment": ["comment"], "description": ["description"], "title": ["title"], "notes": ["disclaimer", "warning"]}
 STRUCTURAL = ["2:0", "1:0", "1:90"]
 
 
@@ -145,6 +154,14 @@ def named_key(name: Column) -> Column:
     return out
 
 
+def keyword_key(name: Column) -> Column:
+    """The key of a text chunk by its keyword: those of KEYWORDS, then by the rules of names; null if none holds."""
+    n, out = F.lower(name), None
+    for key, words in KEYWORDS.items():
+        out = F.when(n.isin(*words), key) if out is None else out.when(n.isin(*words), key)
+    return out.otherwise(named_key(name))
+
+
 def dataset_key(dataset: Column, v: Column) -> Column:
     """The key of an IPTC dataset; null for structure. Dates and software of another form are other."""
     key = None

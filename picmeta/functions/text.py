@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from picmeta.functions.walks import let
+
 #: EXIF orientations 1 to 8 in words.
 ORIENTATIONS = [
     "Normal", "Mirrored left to right", "Turned upside down", "Mirrored top to bottom", "Mirrored and turned 90° anticlockwise", "Turned 90° clockwise", "Mirrored and turned 90° clockwise", "Turned 90° anticlockwise",
@@ -20,7 +22,7 @@ WORDS = r"(?i)\.(public|minimal|clean|custom)$"
 def clip(text: Column, most: int = 80) -> Column:
     """One line of at most so many characters; control characters and white space become single spaces."""
     t = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " "), r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+", " "))
-    return F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 3)), F.lit("..."))).otherwise(t)
+    return let(t, lambda x: F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most - 3)), F.lit("..."))).otherwise(x))
 
 
 def byte_size(n: Column) -> Column:
@@ -134,9 +136,14 @@ def in_batch(value: Column, n_values: Column, n: Column, of: Column) -> Column:
 
 def longest_run(text: Column) -> Column:
     """The longest run of printable ASCII, by its length without spaces around it; the first of several."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit("[\\x20-\\x7e]+"), F.lit(0)), lambda r: F.trim(r))
-    most = F.array_max(F.transform(runs, lambda r: F.length(r)))
-    return F.coalesce(F.get(F.filter(runs, lambda r: F.length(r) == most), F.lit(0)), F.lit(""))
+    runs = F.transform(F.regexp_extract_all(text, F.lit("[\\x20-\\x7e]+"), F.lit(0)), lambda r, i: F.struct(F.length(F.trim(r)).alias("n"), (-i).alias("i"), F.trim(r).alias("run")))
+    return F.coalesce(F.array_max(runs)["run"], F.lit(""))
+
+
+def leftover(content: Column) -> Column:
+    """struct<nonzero, text>: what bytes that nothing owns hold: how many aren't zero, and their longest printable run."""
+    letters = F.decode(content, "ISO-8859-1")
+    return F.struct((F.octet_length(content) - F.regexp_count(letters, F.lit("\\x00"))).alias("nonzero"), longest_run(letters).alias("text"))
 
 
 def headroom(tag33: Column, tag48: Column) -> Column:

@@ -18,7 +18,7 @@ from picmeta.functions.binary import big, latin1, little
 from picmeta.functions.walks import cutout, first_place, let
 
 #: Bytes of a value by type, tags that point to directories, and the longest chain of previews.
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 129: 1}
 EXIF, GPS, INTEROP = 0x8769, 0x8825, 0xA005
 MAX_CHAIN = 16
 
@@ -146,7 +146,7 @@ def value_text(b: Column, e: Column) -> Column:
 
     raw = cutout(b, e["value_offset"], e["size"])
     kinds = [(1, numbers(1, False)), (3, numbers(2, False)), (4, numbers(4, False)), (13, numbers(4, False)), (6, numbers(1, True)), (8, numbers(2, True)), (9, numbers(4, True)), (5, fractions(False)), (10, fractions(True))]
-    out = F.when(~e["valid"], F.lit(None).cast("string")).when(e["count"] == 0, "").when(e["type"] == 2, F.substring_index(latin1(raw), "\x00", 1))
+    out = F.when(~e["valid"], F.lit(None).cast("string")).when(e["count"] == 0, "").when(e["type"] == 2, F.substring_index(latin1(raw), "\x00", 1)).when(e["type"] == 129, F.substring_index(F.make_valid_utf8(raw.cast("string")), "\x00", 1))
     for kind, made in kinds:
         out = out.when(e["type"] == kind, F.array_join(made, ", "))
     return out.otherwise(F.lower(F.hex(raw)))

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from picmeta.operators.shared import kept
+
 ERROR = "struct<step: string, said: string>"
 
 #: A step: its name, its value, and what is wrong with it (text; null if nothing is), which may use the value's column.
@@ -27,7 +29,7 @@ def attempted(files: DataFrame, steps: list[Step]) -> DataFrame:
         df = df.withColumn(name, F.when(F.col("error").isNull(), value()))
         said = F.when(F.col("error").isNull(), problem())
         df = df.withColumn("error", F.when(said.isNotNull(), F.struct(F.lit(name), said).cast(ERROR)).otherwise(F.col("error")))
-    return df
+    return kept(df)  # read twice, and filters pushed below the steps would repeat them
 
 
 def settled(tried: DataFrame) -> DataFrame:

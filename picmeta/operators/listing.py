@@ -16,13 +16,13 @@ DETAILED = 4
 
 
 def suffixed(items: DataFrame) -> DataFrame:
-    """items (path, pos, key) with id: the key, then key:2, key:3 and so on; a suffix that is a key of the file itself is left out."""
+    """items (path, pos, key) with id: the key, then key:2, key:3 and so on; a suffix that is a key of the file itself is left out. Other columns pass through, but for one named id."""
     nth = F.row_number().over(Window.partitionBy("path", "key").orderBy("pos"))
     own = items.select("path", F.col("key").alias("taken")).filter(F.col("taken").rlike(r":[1-9]\d*$")).distinct()
-    skips = own.withColumn("base", F.regexp_extract("taken", r"^(.*):(\d+)$", 1)).withColumn("n", F.regexp_extract("taken", r"^(.*):(\d+)$", 2).try_cast("int")).filter("n >= 2").groupBy("path", "base").agg(F.sort_array(F.collect_set("n")).alias("skips"))
-    numbered = items.withColumn("nth", nth).join(skips.withColumnRenamed("base", "key"), ["path", "key"], "left")
-    moved = F.aggregate(F.coalesce("skips", F.array().cast("array<int>")), F.col("nth"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
-    return numbered.withColumn("id", F.when(F.col("nth") == 1, F.col("key")).otherwise(F.concat_ws(":", "key", moved.cast("string")))).drop("nth", "skips")
+    skips = own.withColumn("key", F.regexp_extract("taken", r"^(.*):(\d+)$", 1)).withColumn("n", F.regexp_extract("taken", r"^(.*):(\d+)$", 2).try_cast("int")).filter("n >= 2").groupBy("path", "key").agg(F.sort_array(F.collect_set("n")).alias("__skips"))
+    numbered = items.drop("id").withColumn("__nth", nth).join(skips, ["path", "key"], "left")
+    moved = F.aggregate(F.coalesce("__skips", F.array().cast("array<int>")), F.col("__nth"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    return numbered.withColumn("id", F.when(F.col("__nth") == 1, F.col("key")).otherwise(F.concat_ws(":", "key", moved.cast("string")))).drop("__nth", "__skips")
 
 
 def capped(items: DataFrame, limit: int = DISTINCT, overflow: str = "more") -> DataFrame:

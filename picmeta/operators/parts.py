@@ -15,6 +15,17 @@ PREFIXES = [
 #: Sizes that harmless PNG chunks have.
 SIZES = {"sRGB": [1], "gAMA": [4], "cHRM": [32], "cICP": [4], "mDCV": [24], "mDCv": [24], "cLLI": [8], "cLLi": [8], "pHYs": [9], "bKGD": [1, 2, 6], "sBIT": [1, 2, 3, 4], "oFFs": [9]}
 LAST = {"sRGB": (0, 3), "pHYs": (8, 1), "oFFs": (8, 1)}  # a byte's place and its most
+#: What a block of credentials tells about, by what it holds.
+PROBES = {
+    "location": r"GPS(?:Latitude|Longitude|Altitude|Position|Coordinates)|\"?exif:GPS|LocationCreated|LocationShown",
+    "serial number": r"SerialNumber|BodySerial|LensSerial|CameraSerial",
+    "names": r"stds\.schema-org\.CreativeWork|cawg\.identity|\"Person\"|\bPerson\b|\"author\"|\bauthor\b|CameraOwnerName|OwnerName",
+    "computer name": r"HostComputer",
+    "titles or descriptions": r"(?i)dc:title|dc:description|dc:subject|\btitle\b|\bdescription\b|\bcaption\b|\bheadline\b|\bkeywords\b|\bcomment\b|\balt_?text\b|\balternativeText\b",
+    "a preview of the original picture": r"c2pa\.thumbnail",
+}
+#: The numbers of a scale chunk.
+SCALE_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 #: Entities of XML and what they stand for; the ampersand goes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 
@@ -41,7 +52,9 @@ def green_chunk(kind: Column, data: Column) -> Column:
             at, most = LAST[name]
             fits = fits & (F.coalesce(big(data, at, 1), F.lit(255)) <= most)
         ok = F.when(kind == name, fits) if ok is None else ok.when(kind == name, fits)
-    return ok.when(kind == "hIST", (n % 2 == 0) & (n <= 512)).otherwise(False)
+    numbers = F.split(latin1(F.substring(data, 2, 1 << 30)), "\x00", -1)
+    scale = F.coalesce(big(data, 0, 1), F.lit(0)).isin(1, 2) & (F.size(numbers) == 2) & F.forall(numbers, lambda x: x.rlike(SCALE_NUMBER) & (F.length(x) <= 32))
+    return ok.when(kind == "hIST", (n % 2 == 0) & (n <= 512)).when(kind == "sCAL", scale).otherwise(False)
 
 
 def decoded(text: Column) -> Column:

@@ -56,8 +56,10 @@ def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, w, n = F.col("content"), F.col("walk"), F.col("clean")
     texts = F.map_from_entries(F.transform(F.filter(F.transform(w["parts"], lambda p, i: F.struct(i.alias("i"), p["kind"].alias("kind"))), lambda x: x["kind"] == "tEXt"), lambda x: F.struct(x["i"], F.lit(None).cast("binary"))))
     steps = [
+        # the list of changes is a value of its own, so that it isn't made anew for each part
         ("walk", lambda: png_walk(c), lambda: F.when(~F.exists(w["parts"], lambda p: p["kind"] == "IEND"), "cut short").when(F.exists(w["parts"], lambda p: p["bad"]), "a damaged name")),
-        ("clean", lambda: png_rewritten(c, w, texts, F.lit(True)), lambda: F.when(F.exists(w["parts"], lambda p: ~p["crc_ok"]), "a wrong checksum")),
+        ("texts", lambda: texts, lambda: F.lit(None).cast("string")),
+        ("clean", lambda: png_rewritten(c, w, F.col("texts"), F.lit(True)), lambda: F.when(F.exists(w["parts"], lambda p: ~p["crc_ok"]), "a wrong checksum")),
         ("size", lambda: F.octet_length(n), lambda: F.when(F.size(png_walk(n)["parts"]) != 4, "something is left")),
     ]
     tried = batch.attempted(queries_chunks.made(_t(spark, sf_dir, "documents")), steps)

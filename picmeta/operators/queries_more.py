@@ -149,7 +149,7 @@ SELECT path, CASE WHEN NOT can AND o <> 1 AND rot THEN 'exif:gps' WHEN rot THEN
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
     n = F.col("n_chars") * F.col("doc_id")
-    return d.select("doc_id", text.clip(F.col("text")).alias("clipped"), text.byte_size(n).alias("size"), text.counted(F.col("doc_id") % 3, "file", "files").alias("files"), text.whole(n).alias("whole"), F.md5(F.col("text").cast("binary")).alias("md5"), text.longest_run(F.substring("text", 1, 2000)).alias("run"))
+    return d.select("doc_id", text.clip(F.col("text")).alias("clipped"), text.byte_size(n).alias("size"), text.counted(F.col("doc_id") % 3, "file", "files").alias("files"), text.whole(n).alias("whole"), F.md5(F.col("text").cast("binary")).alias("md5"), text.longest_run(F.col("text")).alias("run"), text.leftover(F.encode("text", "UTF-8"))["nonzero"].alias("nonzero"))
 
 
 _CLIP = r"trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g'), '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g'))"
@@ -178,6 +178,11 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", text.output_name(text.clean_name(raw), F.col("p_partkey") % 3, F.lit("clean"), F.lit("png")).alias("name"), text.slug(F.col("p_name")).alias("slug"), forms.device_name(F.col("p_name")).alias("device_ok"), forms.device_name(F.concat("p_name", F.lit("  x"))).alias("two_spaces"), F.coalesce(forms.named_key(F.col("p_type")), F.lit("none")).alias("by_name"), incoming(F.when(F.col("p_partkey") % 4 == 0, "image/PNG"), F.concat("p_name", F.element_at(F.array(F.lit(".jpeg"), F.lit(".heif"), F.lit(".gif")), (F.col("p_partkey") % 3 + 1).cast("int")))).alias("mime"))
 
 
+#: The rules of names for DuckDB, written on their own.
+_DEVICE = r"(length({0}) BETWEEN 1 AND 64 AND regexp_matches({0}, '^[\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}}][\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}} ]*$') AND NOT contains({0}, '  ') AND NOT suffix({0}, ' ') AND NOT contains({0}, '@') AND NOT contains({0}, '://') AND NOT contains(lower({0}), 'www.'))"
+_NAMED = "CASE WHEN regexp_matches({0}, 'gps|latitude|longitude|altitude|geotag|coordinat') THEN 'gps' WHEN regexp_matches({0}, 'location|address|place|city|country|street|postal|province|landmark') THEN 'place' WHEN contains({0}, 'serial') THEN 'serial' WHEN regexp_matches({0}, 'uuid|guid|unique|^id$') THEN 'ids' ELSE 'none' END"
+
+
 def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
     pattern = ["yyyy-MM-dd", "yyyy:MM:dd HH:mm:ss", "yyyyMMdd", "HHmmss", "dd/MM/yyyy", "yyyy-MM-dd HH:mm"]
@@ -229,7 +234,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "file_plans": (plans, _PLAN),
     "text_values": (
         values,
-        rf"SELECT doc_id, CASE WHEN length(t) > 80 THEN concat(rtrim(substr(t, 1, 77)), '...') ELSE t END AS clipped, CASE WHEN b < 1000 THEN concat(b, ' bytes') WHEN b < 1000000 THEN printf('%.1f KB', floor((b + 50) / 100) / 10) ELSE printf('%.1f MB', floor((b + 50000) / 100000) / 10) END AS size, concat(doc_id % 3, CASE WHEN doc_id % 3 = 1 THEN ' file' ELSE ' files' END) AS files, format('{{:,}}', b) AS whole, md5(text) AS md5, coalesce(list_filter(runs, lambda r: length(r) = list_max(list_transform(runs, lambda x: length(x))))[1], '') AS run FROM (SELECT doc_id, text, {_CLIP} AS t, {_BIG} AS b, list_transform(regexp_extract_all(substr(text, 1, 2000), '[\x20-\x7e]+'), lambda x: trim(x)) AS runs FROM documents)",
+        rf"SELECT doc_id, CASE WHEN length(t) > 80 THEN concat(rtrim(substr(t, 1, 77)), '...') ELSE t END AS clipped, CASE WHEN b < 1000 THEN concat(b, ' bytes') WHEN b < 1000000 THEN printf('%.1f KB', floor((b + 50) / 100) / 10) ELSE printf('%.1f MB', floor((b + 50000) / 100000) / 10) END AS size, concat(doc_id % 3, CASE WHEN doc_id % 3 = 1 THEN ' file' ELSE ' files' END) AS files, format('{{:,}}', b) AS whole, md5(text) AS md5, coalesce(list_filter(runs, lambda r: length(r) = most)[1], '') AS run, strlen(text)::INTEGER - (strlen(text) - strlen(replace(text, chr(0), '')))::INTEGER AS nonzero FROM (SELECT *, list_max(list_transform(runs, lambda x: length(x))) AS most FROM (SELECT doc_id, text, {_CLIP} AS t, {_BIG} AS b, list_transform(regexp_extract_all(text, '[\x20-\x7e]+'), lambda x: trim(x)) AS runs FROM documents))",
     ),
     "typed_numbers": (
         typed,
@@ -238,7 +243,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "dms_decimal": (positions, "SELECT s_suppkey, concat(printf('%.4f', s_nationkey::DOUBLE + (s_suppkey % 60)::DOUBLE / 60 + (floor(abs(s_acctbal)) / 100) / 3600), ' ', CASE WHEN s_suppkey % 2 = 0 THEN 'N' ELSE 'S' END) AS position FROM supplier"),
     "clean_names": (
         names,
-        r"SELECT p_partkey, concat(p_name, '- ', p_brand, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-' END, CASE WHEN p_partkey % 3 > 1 THEN concat('-', p_partkey % 3) ELSE '' END, '.clean.png') AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug, TRUE AS device_ok, FALSE AS two_spaces, 'none' AS by_name, CASE WHEN p_partkey % 4 = 0 THEN 'image/png' WHEN p_partkey % 3 = 0 THEN 'image/jpeg' WHEN p_partkey % 3 = 1 THEN 'image/heif' END AS mime FROM part",
+        r"SELECT p_partkey, concat(p_name, '- ', p_brand, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-' END, CASE WHEN p_partkey % 3 > 1 THEN concat('-', p_partkey % 3) ELSE '' END, '.clean.png') AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug, " + _DEVICE.format('p_name') + " AS device_ok, " + _DEVICE.format("concat(p_name, '  x')") + " AS two_spaces, " + _NAMED.format('lower(p_type)') + r" AS by_name, CASE WHEN p_partkey % 4 = 0 THEN 'image/png' WHEN p_partkey % 3 = 0 THEN 'image/jpeg' WHEN p_partkey % 3 = 1 THEN 'image/heif' END AS mime FROM part",
     ),
     "date_forms_ok": (
         date_forms,

@@ -12,7 +12,6 @@ from picmeta.operators import graph, ordered, parts
 BEGINNINGS = ["JFIF\0 and so on to the end", "Exif\0", "ICC_PROFILE\0", "JP..c2pa", "JP..", "Adobe and more than that", "Adobe", "plain"]
 MARKERS = [0xE0, 0xE1, 0xE2, 0xEB, 0xEE, 0xFE, 0xDB]
 KINDS = [*parts.SIZES, "hIST", "tEXt"]
-PROBES = {"an address": "@", "a token": "token =", "a licence": "[Ll]icen[sc]e"}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +46,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders point to customers' tables by place."""
     o = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("path"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("tag"), F.col("o_custkey").alias("at"))
-    c = _t(spark, sf_dir, "customer").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("path"), F.col("c_custkey").alias("at"), F.col("c_name").alias("table")).filter("at % 3 = 0")
-    return graph.children(o.filter("id % 2 = 0"), o.select("path", "id", "tag", "at"), c)
+    c = _t(spark, sf_dir, "customer").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("path"), F.col("c_custkey").alias("at"), F.col("c_name").alias("table"))
+    return graph.children(o, o.select("path", "id", "tag", "at"), c)
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey")).alias("path"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), F.col("l_partkey").alias("prop")).distinct()
-    props = _t(spark, sf_dir, "part").join(F.broadcast(_t(spark, sf_dir, "supplier").select("s_suppkey").filter("s_suppkey < 5"))).select(F.col("s_suppkey").alias("path"), F.col("p_partkey").alias("prop"), F.col("p_type").alias("kind"), F.col("p_name").alias("value"))
+    props = li.select("path", "prop").distinct().join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("prop")).select("path", "prop", F.col("p_type").alias("kind"), F.col("p_name").alias("value"))
     return graph.properties(li.select("path", "id").distinct(), li, props)
 
 
@@ -73,11 +72,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "green_chunks": (chunks, f"SELECT p_partkey, CASE kind {_SIZE} WHEN 'hIST' THEN n % 2 = 0 AND n <= 512 ELSE FALSE END AS ok FROM (SELECT p_partkey, {_list(KINDS)}[(p_partkey % {len(KINDS)} + 1)::INTEGER] AS kind, p_size % 35 AS n, p_partkey % 3 AS b FROM part)"),
     "html_entities": (lambda s, d: _t(s, d, "pages").select("page_id", F.md5(parts.decoded(F.col("html")).cast("binary")).alias("digest"), F.regexp_count("html", F.lit("&")).alias("n")), f"SELECT page_id, md5({_HTML}) AS digest, (length(html) - length(replace(html, '&', '')))::INTEGER AS n FROM pages"),
     "extended_texts": (turns, "SELECT conv_id AS path, CASE WHEN conv_id % 3 = 0 AND count(*) > 1 THEN 'none' ELSE md5(string_agg(text, '' ORDER BY turn)) END AS digest FROM conversations GROUP BY conv_id"),
-    "pointer_children": (pointers, "SELECT o_orderkey % 7 AS path, o_orderkey AS id, o_orderpriority AS tag, c_name AS child FROM orders JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0 WHERE o_orderkey % 2 = 0"),
-    "item_properties": (properties, "SELECT path, id, nth, p_type AS kind, p_name AS value FROM (SELECT DISTINCT l_suppkey AS path, l_orderkey AS id, l_linenumber AS nth, l_partkey AS prop FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 5)) JOIN part ON p_partkey = prop"),
+    "pointer_children": (pointers, "SELECT o_orderkey % 7 AS path, o_orderkey AS id, o_orderpriority AS tag, c_name AS child FROM orders JOIN customer ON c_custkey = o_custkey"),
+    "item_properties": (properties, "SELECT path, id, nth, p_type AS kind, p_name AS value FROM (SELECT DISTINCT l_suppkey AS path, l_orderkey AS id, l_linenumber AS nth, l_partkey AS prop FROM lineitem) JOIN part ON p_partkey = prop"),
     "credentials_text": (
-        lambda s, d: _t(s, d, "documents").select("doc_id", parts.credentials(F.encode("text", "UTF-8"), PROBES).alias("found")),
-        "SELECT doc_id, concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{w}' END" for w, p in PROBES.items()) + ") AS found FROM documents",
+        lambda s, d: _t(s, d, "documents").select("doc_id", parts.credentials(F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.lit(b" c2pa.thumbnail exif:GPSLatitude")).when(F.col("doc_id") % 3 == 1, F.lit(b" BodySerial \"author\" Title")).otherwise(F.lit(b" HostComputer"))), parts.PROBES).alias("found")),
+        r"SELECT doc_id, concat_ws(', ', CASE WHEN doc_id % 3 = 0 OR regexp_matches(text, 'GPS(Latitude|Longitude|Altitude|Position|Coordinates)|exif:GPS|LocationCreated|LocationShown') THEN 'location' END, CASE WHEN doc_id % 3 = 1 OR regexp_matches(text, 'SerialNumber|BodySerial|LensSerial|CameraSerial') THEN 'serial number' END, CASE WHEN doc_id % 3 = 1 OR regexp_matches(text, 'stds\.schema-org\.CreativeWork|cawg\.identity|\bPerson\b|\bauthor\b|CameraOwnerName|OwnerName') THEN 'names' END, CASE WHEN doc_id % 3 = 2 OR contains(text, 'HostComputer') THEN 'computer name' END, CASE WHEN doc_id % 3 = 1 OR regexp_matches(text, '(?i)dc:title|dc:description|dc:subject|\btitle\b|\bdescription\b|\bcaption\b|\bheadline\b|\bkeywords\b|\bcomment\b|\balt_?text\b') THEN 'titles or descriptions' END, CASE WHEN doc_id % 3 = 0 OR contains(text, 'c2pa.thumbnail') THEN 'a preview of the original picture' END) AS found FROM documents",
     ),
     "dataset_order": (
         lambda s, d: ordered.ordered_by(_t(s, d, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("pos"), F.col("l_linenumber").alias("record"), (F.col("l_partkey") % 9).alias("number")).distinct(), "record", "number", "pos"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from picmeta.functions import tiff
 
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 129: 1}
 
 
 def plain(b):
@@ -73,7 +73,7 @@ def block(rng):
         for _ in range(n):
             tag = rng.choice(tags)
             pointer = tag in (0x8769, 0x8825, 0xA005)
-            kind = rng.choice([4, 4, 4, 13, 3]) if pointer else rng.choice([1, 2, 3, 4, 5, 7, 9, 10, 13, 77])
+            kind = rng.choice([4, 4, 4, 13, 3]) if pointer else rng.choice([1, 2, 3, 4, 5, 7, 9, 10, 13, 77, 129])
             b += struct.pack(order + "HHI", tag, kind, 1 if pointer else rng.choice([0, 1, 2, 5, 2**31])) + struct.pack(order + "I", rng.choice([*places, 9, 900]) if pointer else rng.choice([8, 30, 300, 70_000]))
         b += struct.pack(order + "I", rng.choice([0, 0, *places, 5000]))
     return bytes(b[: rng.choice([len(b), len(b), rng.randint(0, len(b))])])
