@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from picmeta.operators import intervals, queries_chunks, queries_folds, queries_listing, queries_markup, queries_more, queries_parts, queries_tiff, text_ops
+from picmeta.operators import intervals, queries_chunks, queries_folds, queries_listing, queries_markup, queries_more, queries_parts, queries_splices, queries_tiff, text_ops
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "html_comments_hidden": (html_comments, "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS value FROM pages"),
     "slug_ids": (slug_ids, "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
 }
-QUERIES |= queries_chunks.QUERIES | queries_folds.QUERIES | queries_tiff.QUERIES | queries_markup.QUERIES | queries_listing.QUERIES | queries_more.QUERIES | queries_parts.QUERIES
+QUERIES |= queries_chunks.QUERIES | queries_splices.QUERIES | queries_folds.QUERIES | queries_tiff.QUERIES | queries_markup.QUERIES | queries_listing.QUERIES | queries_more.QUERIES | queries_parts.QUERIES
