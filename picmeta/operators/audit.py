@@ -86,6 +86,15 @@ def responsible(present: DataFrame, after: DataFrame) -> DataFrame:
     return gone.groupBy("path", "needle_id").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
 
 
+def visibility(registry: DataFrame, shown: DataFrame) -> DataFrame:
+    """(needle_id, verdict): whether a reader shows a planted text of registry (needle_id, path, needle, grp, name, value): yes, verbatim in a value of that file; reformatted, as the registry says it looks there (grp, name and value, null if it doesn't say); no. shown: (path, grp, name, value). Empty texts are in no value; rows that repeat an id get the best verdict of them."""
+    asked = registry.select("needle_id", "path", "needle")
+    yes = asked.filter("needle <> ''").join(shown.select("path", F.col("value").alias("seen")), "path").filter(F.contains("seen", F.col("needle"))).select("needle_id", F.lit(2).alias("rank"))
+    other = registry.drop("needle").join(shown, ["path", "grp", "name", "value"], "left_semi").select("needle_id", F.lit(1).alias("rank"))
+    every = registry.select("needle_id", F.lit(0).alias("rank")).unionByName(other).unionByName(yes).groupBy("needle_id").agg(F.max("rank").alias("rank"))
+    return every.select("needle_id", F.element_at(F.array(*map(F.lit, ("no", "reformatted", "yes"))), F.col("rank") + 1).alias("verdict"))
+
+
 def visible(verdict: Column) -> Column:
     return F.coalesce(verdict, F.lit("no"))
 

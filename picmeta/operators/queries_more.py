@@ -108,6 +108,17 @@ def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.contained(b.unionByName(d))
 
 
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders as a customer's file shows them: some looked for as written, some in another form that the registry knows, some in one that it doesn't. Counts by verdict and status."""
+    o = _t(spark, sf_dir, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    own = o.select(F.col("o_orderkey").alias("needle_id"), F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("grp"), F.col("o_orderpriority").alias("name"), day.alias("value"))
+    needle = F.when(F.col("needle_id") % 5 == 0, F.substring("value", 1, 7)).otherwise(F.replace("value", F.lit("-"), F.lit(":")))
+    registry = own.withColumn("needle", needle).withColumn("value", F.when(F.col("needle_id") % 2 == 0, F.col("value")))
+    verdicts = audit.visibility(registry, own.drop("needle_id"))
+    return verdicts.join(own.select("needle_id", "grp"), "needle_id").groupBy("grp", "verdict").agg(F.count("*").alias("n"))
+
+
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which single line of a document, taken away, takes a registry item away: for each item, its documents' lines (by number)."""
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -224,6 +235,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "haystack_hex_b64": (haystacks, "SELECT item_id AS path, CASE WHEN item_id % 6 = 3 THEN 'hex' WHEN item_id % 6 = 4 THEN 'base64' WHEN item_id % 6 = 5 THEN 'hex/base64' ELSE 'raw' END AS kind, item_id AS needle_id, ['UTF-8', 'UTF-16LE', 'UTF-16BE', 'UTF-8', 'UTF-8', 'UTF-8'][(item_id % 6 + 1)::INTEGER] AS encoding FROM benchmark JOIN documents ON doc_id = item_id UNION SELECT doc_id, 'raw', item_id, 'UTF-8' FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
     "attribution": (attribution, "WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), h AS (SELECT path, item_id AS needle_id, pos FROM l JOIN benchmark b ON contains(l.line, b.text)), o AS (SELECT path, needle_id, count(*) AS n, min(pos) AS pos FROM h GROUP BY ALL) SELECT path, needle_id, pos::VARCHAR AS keys FROM o WHERE n = 1"),
     "canary_unique_check": (lambda s, d: audit.repeated(needles(s, d).select("needle").unionByName(_t(s, d, "documents").select(F.col("text").alias("needle")))), "SELECT needle, count(*) AS n FROM (SELECT text AS needle FROM benchmark UNION ALL SELECT text FROM documents) GROUP BY needle HAVING count(*) > 1"),
+    "visibility_counts": (seen, "SELECT o_orderstatus AS grp, CASE WHEN o_orderkey % 5 = 0 THEN 'yes' WHEN o_orderkey % 2 = 0 THEN 'reformatted' ELSE 'no' END AS verdict, count(*) AS n FROM orders GROUP BY ALL"),
     "canary_contained": (contained, "WITH r AS (SELECT concat('b', item_id) AS id, text FROM benchmark UNION ALL SELECT concat('d', doc_id), text FROM documents) SELECT i.id AS inner, o.id AS outer FROM r i JOIN r o ON i.text <> o.text AND i.text <> '' AND contains(o.text, i.text)"),
     "finding_counts": (lambda s, d: audit.findings(_t(s, d, "events").select(F.col("event_type").alias("severity"), (F.col("event_id") % 700).alias("key"))), "SELECT event_type AS severity, count(DISTINCT event_id % 700) AS n FROM events GROUP BY event_type"),
     "case_stats": (case_stats, "SELECT count(*) AS cases, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS hangs, count(*) FILTER (event_type = 'purchase') AS crashes, count(*) FILTER (value * 100 > 3000) AS slow, count(*) FILTER (event_id % 9 = 0 AND event_type NOT IN ('error', 'signup', 'purchase')) AS silent_keeps FROM events"),

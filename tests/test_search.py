@@ -41,3 +41,11 @@ def test_contained(spark):
     rows = [("a", "one two"), ("b", "say one two three"), ("c", "one two"), ("d", None), ("e", ""), ("f", "three")]
     got = {tuple(r) for r in audit.contained(spark.createDataFrame(rows, "needle_id string, needle string")).collect()}
     assert got == {("a", "b"), ("c", "b"), ("f", "b")}
+
+
+def test_visibility(spark):
+    registry = [(1, "f", "one", None, None, None), (2, "f", "2024:01", "EXIF", "Date", "2024-01"), (3, "f", "absent", "EXIF", "Date", "1999"), (4, "g", "one", None, None, None), (5, "f", "", None, None, None), (6, None, None, None, None, None), (1, "f", "zzz", None, None, None)]
+    shown = [("f", "EXIF", "Date", "2024-01"), ("f", "XMP", "Title", "say one two"), ("g", "XMP", "Title", None), (None, None, None, "one")]
+    cols = "grp string, name string, value string"
+    got = audit.visibility(spark.createDataFrame(registry, f"needle_id int, path string, needle string, {cols}"), spark.createDataFrame(shown, f"path string, {cols}"))
+    assert {r.needle_id: r.verdict for r in got.collect()} == {1: "yes", 2: "reformatted", 3: "no", 4: "no", 5: "no", 6: "no"}
