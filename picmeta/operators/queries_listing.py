@@ -55,7 +55,32 @@ def _items_of(*columns: str):
 
 
 _TAGS = "[" + ", ".join(map(str, ALL_TAGS)) + "]"
-_KEYS = "(VALUES " + ", ".join(f"({t}, '{k}')" for k, tags in forms.TAGS.items() for t in tags) + ") AS t(tag, key)"
+#: The keys of tags once more, in decimal, so that the SQL doesn't follow a slip in the code's table.
+_SQL_KEYS = """
+serial 42033 50735
+lens-serial 42037
+unique-id 42016
+owner 315 42032 40093 42039 42040
+copyright 33432
+datetime 306 36867 36868 37520 37521 37522
+timezone 36880 36881 36882 34858
+camera 271 272 50708
+lens 42034 42035 42036
+software 305 42041 42042 42043 42044
+computer 316
+description 270 37510 40091 40092 40094 40095 42038 269 285 18246 18249
+makernote 37500
+embedded 700 33723 34377
+private 50341 330
+orientation 274
+resolution 282 283 296
+colour 40961 42240 318 319 529 532 34675 301
+dimensions 40962 40963 256 257
+exposure 33434 33437 34850 34852 34855 34856 34864 34865 34866 34867 34868 34869 37377 37378 37379 37380 37381 37382 37383 37384 37385 37386 37396 37888 37889 37890 37891 37892 37893 41483 41484 41486 41487 41488 41492 41493 41495 41728 41729 41730 41985 41986 41987 41988 41989 41990 41991 41992 41993 41994 41995 41996 42080 42081 42082
+format 36864 40960 37121 37122 530 531 259 258 262 277 284 254 59932 59933 263 264 265 266 273 278 279 280 281 290 291 292 293 297 317 320 321 322 323 324 325 338 339 347 50706
+other 513 514 34665 34853 40964 40965
+"""
+_KEYS = "(VALUES " + ", ".join(f"({t}, '{row.split()[0]}')" for row in _SQL_KEYS.strip().splitlines() for t in row.split()[1:]) + ") AS t(tag, key)"
 _DEFS = "(VALUES " + ", ".join(f"('{k}', '{g}', '{t}', '{label}', {i}, {forms.GROUPS.index(g)}, {forms.TIERS.index(t)})" for i, (k, g, t, label) in enumerate(forms.ITEMS)) + ") AS t(key, grp, tier, label, nth, grp_rank, tier_rank)"
 _DEVICE = f"(length(value) BETWEEN 1 AND 64 AND regexp_matches(value, '{forms.DEVICE}') AND NOT contains(value, '  ') AND NOT suffix(value, ' ') AND NOT regexp_matches(value, '{forms.UNSEEN}') AND NOT regexp_matches(value, '{forms.ADDRESS}'))"
 _AMBER = f"CASE key WHEN 'datetime' THEN regexp_matches(value, '{forms.EXIF_DATE}') OR regexp_matches(value, '^\\d{{1,9}}$') WHEN 'timezone' THEN regexp_matches(value, '{forms.ZONE}') WHEN 'other' THEN regexp_matches(value, '{forms.SHORT_FILE}') ELSE {_DEVICE} END"
