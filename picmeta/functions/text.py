@@ -42,6 +42,30 @@ def short_size(n: Column) -> Column:
     return F.when(n < 1000, F.concat(whole(n), F.lit(" bytes"))).otherwise(F.concat(text, F.when(n < 1_000_000, F.lit(" KB")).otherwise(F.lit(" MB"))))
 
 
+def fixed(v: Column, places: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value as printf does it in C; ties to even. Java's format rounds the shortest decimal form instead, so 8.45, which is a little less, becomes 8.5. From 2^63 on, and without a finite value, as Java writes it."""
+    unit = 10**places
+
+    def parts(v: Column) -> Column:
+        a = F.abs(v)
+        rest = a - F.floor(a)
+        c = rest * 134217729.0  # Veltkamp: the upper half of the bits
+        return F.struct(F.floor(a).alias("whole"), rest.alias("rest"), (c - (c - rest)).alias("hi"), (rest * float(unit)).alias("product"), F.floor(rest * float(unit)).alias("floor"))
+
+    def rounded(x: Column) -> Column:
+        # product + error is rest * unit, exactly
+        error, over = (x["hi"] * float(unit) - x["product"]) + (x["rest"] - x["hi"]) * float(unit), x["product"] - x["floor"] - 0.5
+        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (x["floor"] % 2 == 1))))
+        return F.struct(x["whole"].alias("whole"), (x["floor"] + up.cast("int")).alias("part"))
+
+    def told(v: Column) -> Column:
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        text = let(let(parts(v), rounded), lambda n: F.concat(sign, (n["whole"] + (n["part"] == unit).cast("int")).cast("string"), F.lit("."), F.lpad((n["part"] % unit).cast("string"), places, "0")))
+        return F.when(F.abs(v) < float(1 << 63), text).when(v.isNotNull(), F.format_string(f"%.{places}f", v))
+
+    return let(v, told)
+
+
 def counted(n: Column, one: str, many: str) -> Column:
     return F.concat(whole(n), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many}")))
 
@@ -81,7 +105,7 @@ def fraction(text: Column) -> Column:
 def coordinate(text: Column, ref: Column) -> Column:
     """A position as '52.5200 N' from 'd, m, s' of fractions and its letter."""
     parts = F.split(text, ",")
-    return F.concat(F.format_string("%.4f", degrees([fraction(F.trim(F.get(parts, F.lit(i)))) for i in range(3)])), F.lit(" "), F.substring(ref, 1, 1))
+    return F.concat(fixed(degrees([fraction(F.trim(F.get(parts, F.lit(i)))) for i in range(3)]), 4), F.lit(" "), F.substring(ref, 1, 1))
 
 
 def exposure(seconds: Column) -> Column:
