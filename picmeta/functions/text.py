@@ -110,7 +110,7 @@ def coordinate(text: Column, ref: Column) -> Column:
 
 def exposure(seconds: Column) -> Column:
     """1/250 s or 2.5 s; null for none."""
-    long_ = F.concat(F.regexp_replace(F.format_string("%.1f", seconds), r"\.0$", ""), F.lit(" s"))
+    long_ = F.concat(F.regexp_replace(fixed(seconds, 1), r"\.0$", ""), F.lit(" s"))
     return F.when(seconds >= 1, long_).when(seconds > 0, F.concat(F.lit("1/"), F.floor(F.try_divide(F.lit(1.0), seconds) + 0.5).cast("string"), F.lit(" s")))
 
 

@@ -25,3 +25,8 @@ def test_fixed_rounds_the_exact_value(spark):
 def test_positions_round_the_exact_value(spark):
     # 22 degrees, 45 minutes, 30.42 seconds: a little less than 22.75845
     assert spark.range(1).select(text.coordinate(F.lit("22/1, 45/1, 3042/100"), F.lit("N")).alias("t")).first().t == f"{22.0 + 45.0 / 60 + (3042 / 100) / 3600:.4f} N"
+
+
+def test_exposure_rounds_the_exact_value(spark):
+    got = spark.createDataFrame([(8.45,), (2.5,), (8.55,), (4.0,), (0.004,), (0.0,), (None,)], "v double").select("v", text.exposure(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in got} == {8.45: "8.4 s", 2.5: "2.5 s", 8.55: "8.6 s", 4.0: "4 s", 0.004: "1/250 s", 0.0: None, None: None}
