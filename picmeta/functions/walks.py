@@ -1,9 +1,10 @@
 """Walks over bytes: parts that each tell where the next one begins.
 
 A cursor goes through the content by a fold; the rule of a format says what lies at
-a place and where to go on. All of it is built-in expressions, so a file stays in its
-row and nothing is shuffled. The fold goes on in runs of RUN parts: a run that
-has nothing left to do costs one step, and parts are appended to a short list.
+a place and where to go on. A file stays in its row and nothing is shuffled. PNG is
+walked and written by Arrow batches, the others by built-in expressions: their fold
+goes on in runs of RUN parts; a run that has nothing left to do costs one step, and
+parts are appended to a short list.
 
 Null content gives null. Content that is empty, cut short or damaged gives the parts
 that can be read; each rule says how it goes on behind damage. Places count from 0;
@@ -12,6 +13,8 @@ files have less than 2 GiB, as rows of bytes do.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -87,38 +90,45 @@ def first_place(lo: Column, hi: Column, fits: Callable[[Column], Column]) -> Col
 
 
 def png_walk(b: Column) -> Column:
-    """The chunks of a PNG. bad: the name isn't four letters; it is stepped over. A chunk with a wrong checksum ends where, inside it, an intact chunk begins or one that an intact chunk follows (resynced). The walk stops behind IEND, or where a chunk is cut short."""
-    size = F.octet_length(b)
-
-    def named(at: Column) -> Column:
-        return kind_at(b, at + 4).rlike("^[A-Za-z]{4}$")
-
-    def header(q: Column) -> Column:
-        return (q + 12 <= size) & named(q) & (q + 12 + big(b, q, 4) <= size)
+    """The chunks of a PNG. bad: the name isn't four letters; it is stepped over. A chunk with a wrong checksum ends where, inside it, an intact chunk begins or one that an intact chunk follows (resynced). The walk stops behind IEND, or where a chunk is cut short.
 
-    def intact(q: Column) -> Column:
-        return let(big(b, q, 4), lambda n: F.crc32(cutout(b, q + 4, n + 4)) == big(b, q + 8 + n, 4))
+    Files come in Arrow batches: the cursor as a fold of Spark took an interpreted expression for each field of each chunk."""
+    names = re.compile(rb"(?=[A-Za-z]{4})")  # also those that overlap
 
-    def begins(q: Column) -> Column:
-        return header(q) & (intact(q) | let((q + 12 + big(b, q, 4)).cast("int"), lambda x: header(x) & intact(x)))
+    def walk(b: bytes | None) -> tuple | None:
+        if b is None:
+            return None
+        size, at, parts = len(b), 8, []
 
-    def step(at: Column) -> Column:
-        def part(n: Column) -> Column:
-            kind, end = kind_at(b, at + 4), at + 12 + n
+        def number(q: int) -> int:
+            return int.from_bytes(b[q : q + 4])
 
-            def with_crc(ok: Column) -> Column:
-                return let(F.when(ok | ~named(at), F.lit(None).cast("int")).otherwise(first_place(at + 8, F.least(end, size - 12).cast("int"), begins)), lambda q: told(ok, q))
+        def header(q: int) -> bool:
+            return q + 12 <= size and names.match(b, q + 4) is not None and q + 12 + number(q) <= size
 
-            def told(ok: Column, q: Column) -> Column:
-                data_end = F.when(q.isNull(), at + 8 + n).when(q - 4 >= at + 8, q - 4).otherwise(q)
-                to = F.coalesce(q, end)
-                return moved(F.struct(kind, at, at + 8, data_end, to, ~named(at), ok, q.isNotNull()).cast(PNG_PART), to, kind == "IEND")
+        def intact(q: int) -> bool:
+            end = q + 8 + number(q)
+            return zlib.crc32(view[q + 4 : end]) == number(end)
 
-            return F.when((at + 12 <= size) & (end <= size), let(named(at) & intact(at), with_crc))
+        def begins(q: int) -> bool:
+            return header(q) and (intact(q) or header(x := q + 12 + number(q)) and intact(x))
 
-        return let(big(b, at, 4), part)
+        view = memoryview(b)
+        while at + 12 <= size and (end := at + 12 + (n := number(at))) <= size:
+            named = names.match(b, at + 4) is not None
+            ok = named and intact(at)
+            q = None
+            if named and not ok:  # a chunk begins four bytes before its name
+                q = next((m.start() - 4 for m in names.finditer(b, at + 12, min(end, size - 12) + 8) if begins(m.start() - 4)), None)
+            data_end = at + 8 + n if q is None else q - 4 if q - 4 >= at + 8 else q
+            kind, to = b[at + 4 : at + 8].decode("latin-1"), end if q is None else q
+            parts.append((kind, at, at + 8, data_end, to, not named, ok, q is not None))
+            at = to
+            if kind == "IEND":
+                break
+        return at, parts
 
-    return F.when(b.isNotNull(), walked(8, size / 12, step, PNG_PART))
+    return F.udf(walk, f"struct<stop: int, parts: array<{PNG_PART}>>", useArrow=True)(b)
 
 
 def riff_walk(b: Column) -> Column:
@@ -216,26 +226,29 @@ def png_warnings(b: Column, walk: Column) -> Column:
     )
 
 
-def _png_chunk_hex(kind: Column, data: Column) -> Column:
-    both = F.concat(kind.cast("binary"), data)
-    return F.concat(F.lpad(F.hex(F.octet_length(data).cast("long")), 8, "0"), F.hex(both), F.lpad(F.hex(F.crc32(both)), 8, "0"))
-
-
 def png_rewritten(b: Column, walk: Column, changes: Column, cut_tail: Column) -> Column:
     """The PNG with changes (map of a part's number to its new data, null data: without it), lengths and checksums computed anew. Parts of the picture can't be dropped, only replaced, unless their name is damaged. cut_tail: what follows IEND goes; of a file that is cut short the rest goes and, if it has pixels, IEND is put at its end."""
-
-    def piece(p: Column, i: Column) -> Column:
-        same, new = F.hex(cutout(b, p["start"], p["end"] - p["start"])), F.element_at(changes, i)
-        loose = p["bad"] | ~p["kind"].isin(*PNG_PICTURE)
-        return F.when(F.coalesce(F.map_contains_key(changes, i), F.lit(False)), F.when(new.isNotNull(), _png_chunk_hex(p["kind"], new)).when(loose, "").otherwise(same)).otherwise(same)
-
-    def whole(w: Column) -> Column:
-        ended, pixels = has(w["parts"], "IEND"), has(w["parts"], "IDAT")
-        rest = F.hex(cutout(b, w["stop"], F.octet_length(b)))
-        tail = F.when(~cut_tail, rest).when(~ended & (w["stop"] < F.octet_length(b)) & pixels, "0000000049454E44AE426082").otherwise("")
-        return F.unhex(F.concat(F.hex(cutout(b, F.lit(0), 8)), F.array_join(F.transform(w["parts"], piece), ""), tail))
-
-    return let(walk, whole)
+    picture = PNG_PICTURE
+
+    def whole(b: bytes | None, stop: int | None, kinds: list, starts: list, ends: list, bad: list, changes: dict | None, cut_tail: bool | None) -> bytes | None:
+        if b is None or stop is None:
+            return None
+        made, changes = [b[:8]], changes or {}
+        for i, (kind, start, end, loose) in enumerate(zip(kinds, starts, ends, bad, strict=True)):
+            new = changes.get(i)
+            if new is not None:
+                own = kind.encode() + new
+                made += [len(new).to_bytes(4), own, zlib.crc32(own).to_bytes(4)]
+            elif i not in changes or not loose and kind in picture:
+                made.append(b[start:end])
+        if cut_tail is False:
+            made.append(b[stop:])
+        elif "IEND" not in kinds and stop < len(b) and "IDAT" in kinds:
+            made.append(bytes.fromhex("0000000049454E44AE426082"))
+        return b"".join(made)
+
+    fields = [walk["parts"].getField(c) for c in ("kind", "start", "end", "bad")]
+    return F.udf(whole, "binary", useArrow=True)(b, walk["stop"], *fields, changes.cast("map<int, binary>"), cut_tail)
 
 
 def _little_hex(v: Column, n: int) -> Column:

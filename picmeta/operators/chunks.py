@@ -62,10 +62,11 @@ def read_back(made: DataFrame, walk=png_walk, picture: str = "IDAT") -> DataFram
     """(path, parts, parts_after, unchanged_kept, pixels_same) of rewritten files: the new content is walked again; unchanged_kept: the parts that weren't to change are there, in their order, byte by byte."""
     again = made.withColumn("walk_after", walk(F.col("new")))
     stays = F.filter(F.col("walk.parts"), lambda p, i: ~F.coalesce(F.map_contains_key("changes", i), F.lit(False)))
-    changed = F.array_except(slices(F.col("new"), F.col("walk_after.parts")), slices(F.col("content"), stays))
-    after = F.filter(slices(F.col("new"), F.col("walk_after.parts")), lambda x: ~F.array_contains(changed, x))
+    # digests are values of their own: inside the filter they would be taken anew for each part
+    again = again.withColumn("own", slices(F.col("content"), stays)).withColumn("all_after", slices(F.col("new"), F.col("walk_after.parts")))
+    again = again.withColumn("changed", F.array_except("all_after", "own")).withColumn("after", F.filter("all_after", lambda x: ~F.array_contains("changed", x)))
     return again.select(
         "path", F.size("walk.parts").alias("parts"), F.size("walk_after.parts").alias("parts_after"),
-        (slices(F.col("content"), stays) == after).alias("unchanged_kept"),
+        (F.col("own") == F.col("after")).alias("unchanged_kept"),
         (pixels(F.col("content"), F.col("walk.parts"), picture) == pixels(F.col("new"), F.col("walk_after.parts"), picture)).alias("pixels_same"),
     )
