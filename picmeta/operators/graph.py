@@ -26,9 +26,10 @@ def reached(start: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
 
 def children(parents: DataFrame, pointers: DataFrame, tables: DataFrame) -> DataFrame:
     """(path, id, tag, child): the tables that pointers (path, id, tag, at) of parents (path, id) lead to. tables: (path, table, at)."""
-    return parents.select("path", "id").join(pointers, ["path", "id"]).join(tables, ["path", "at"]).select("path", "id", "tag", F.col("table").alias("child"))
+    # Spark's estimate of exploded tables is their source's; a broadcast by it holds them whole in each task's memory
+    return parents.select("path", "id").hint("merge").join(pointers, ["path", "id"]).hint("merge").join(tables.hint("merge"), ["path", "at"]).select("path", "id", "tag", F.col("table").alias("child"))
 
 
 def properties(items: DataFrame, links: DataFrame, props: DataFrame) -> DataFrame:
     """(path, id, nth, kind, value): the properties of items (path, id), in order. links: (path, id, nth, prop); props: (path, prop, kind, value)."""
-    return items.select("path", "id").join(links, ["path", "id"]).join(props, ["path", "prop"]).select("path", "id", "nth", "kind", "value")
+    return items.select("path", "id").hint("merge").join(links, ["path", "id"]).hint("merge").join(props.hint("merge"), ["path", "prop"]).select("path", "id", "nth", "kind", "value")

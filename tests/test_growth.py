@@ -31,3 +31,9 @@ def test_read_back_of_many_chunks(spark):
     begun = time.time()
     r = chunks.read_back(_rewritten(spark, 20_000)).first()
     assert (r.parts, r.parts_after, r.unchanged_kept, r.pixels_same) == (20_002, 20_001, True, True) and time.time() - begun < 40
+
+
+def test_children_broadcast_nothing(spark, capsys):
+    p = spark.range(100).select(F.col("id").alias("path"), "id", F.lit("t").alias("tag"), F.col("id").alias("at"))
+    graph.children(p, p, p.select("path", "at", F.lit("c").alias("table"))).explain()
+    assert "Broadcast" not in capsys.readouterr().out
