@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from picmeta.functions.walks import cutout, png_rewritten, png_walk
+from picmeta.functions.walks import cutout, let, png_rewritten, png_walk
 
 
 def walked(files: DataFrame, walk=png_walk) -> DataFrame:
@@ -63,10 +63,10 @@ def read_back(made: DataFrame, walk=png_walk, picture: str = "IDAT") -> DataFram
     again = made.withColumn("walk_after", walk(F.col("new")))
     stays = F.filter(F.col("walk.parts"), lambda p, i: ~F.coalesce(F.map_contains_key("changes", i), F.lit(False)))
     # digests are values of their own: inside the filter they would be taken anew for each part
-    again = again.withColumn("own", slices(F.col("content"), stays)).withColumn("all_after", slices(F.col("new"), F.col("walk_after.parts")))
-    again = again.withColumn("changed", F.array_except("all_after", "own")).withColumn("after", F.filter("all_after", lambda x: ~F.array_contains("changed", x)))
+    both = F.struct(slices(F.col("content"), stays).alias("own"), slices(F.col("new"), F.col("walk_after.parts")).alias("all"))
+    same = let(both, lambda d: d["own"] == let(F.array_except(d["all"], d["own"]), lambda changed: F.filter(d["all"], lambda x: ~F.array_contains(changed, x))))
     return again.select(
         "path", F.size("walk.parts").alias("parts"), F.size("walk_after.parts").alias("parts_after"),
-        (F.col("own") == F.col("after")).alias("unchanged_kept"),
+        same.alias("unchanged_kept"),
         (pixels(F.col("content"), F.col("walk.parts"), picture) == pixels(F.col("new"), F.col("walk_after.parts"), picture)).alias("pixels_same"),
     )
