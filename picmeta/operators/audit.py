@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from picmeta.operators.shared import kept
 
 ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE")
-#: The ways to look for a string, best first: a run of bytes from a sign that is neither letter nor digit on, or its first bytes.
+#: The ways to look for a string, best first: runs of bytes from a sign that is neither letter nor digit on, of the long ones those whose hash SAMPLE divides, runs up to a sign, or its first bytes.
 ANCHOR = "[\\x01-/:-@\\[-`{-\\x7f]"
-GRAMS = {"anchored": (16, f"(?s)(?=({ANCHOR}.{{15}}))"), "8": (8, "(?s)(?=(.{8}))"), "4": (4, "(?s)(?=(.{4}))"), "2": (2, "(?s)(?=(.{2}))"), "1": (1, "(?s)(.)")}
+GRAMS = {"long": (32, f"(?s)(?=({ANCHOR}.{{31}}))"), "anchored": (16, f"(?s)(?=({ANCHOR}.{{15}}))"), "sign8": (8, f"(?s)(?=({ANCHOR}.{{7}}))"), "to4": (4, f"(?s)(?=(.{{3}}{ANCHOR}))"), "to2": (2, f"(?s)(?=(.{ANCHOR}))"), "8": (8, "(?s)(?=(.{8}))"), "4": (4, "(?s)(?=(.{4}))"), "2": (2, "(?s)(?=(.{2}))"), "1": (1, "(?s)(.)")}
+SAMPLE = 8
+AT_ONCE = 1 << 18  # rows of two numbers that are broadcast
 
 
 def forms(needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
@@ -19,35 +21,57 @@ def forms(needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFra
     return needles.filter("needle <> ''").select("needle_id", F.explode(each).alias("f")).select("needle_id", "f.*")
 
 
-def keyed(wanted: DataFrame) -> DataFrame:
-    """wanted with way and gram: what is looked for in the files. A string that a file contains has its gram there too."""
-    text = F.decode("bytes", "ISO-8859-1")
-    anchored = F.regexp_extract(text, f"(?s)({ANCHOR}.{{15}})", 1)
-    way = F.when(anchored != "", "anchored")
-    for name, (size, _) in list(GRAMS.items())[1:]:
-        way = way.when(F.length(text) >= size, name)
-    size = F.element_at(F.create_map(*(F.lit(x) for name, (n, _) in GRAMS.items() for x in (name, n))), way)
-    return wanted.withColumn("way", way).withColumn("gram", F.when(F.col("way") == "anchored", anchored).otherwise(F.substring(text, F.lit(1), size)))
+def grams(content: Column, way: str) -> Column:
+    """The hashes of the content's grams of a way, each once."""
+    every = F.transform(F.array_distinct(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(GRAMS[way][1]), F.lit(1))), lambda g: F.xxhash64(F.lit(way), g))
+    return F.filter(every, lambda h: h % SAMPLE == 0) if way == "long" else every
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= AT_ONCE else df
+
+
+def met(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(row, key): contents and shorter strings that may stand in them, each once. rows: (row, content); own: (key, bytes).
+
+    A content that holds a string holds all its grams; the one that the fewest
+    contents have is joined. Where no long gram has the right hash, the next way
+    that the string has grams of does it."""
+    first = F.lit(None).cast("struct<way: string, grams: array<bigint>>")
+    for way, (size, _) in reversed(list(GRAMS.items())[1:]):
+        own_grams = grams(F.substring("bytes", F.lit(1), F.lit(size)), way) if way.isdigit() else F.slice(grams(F.col("bytes"), way), 1, 64)
+        first = F.when(F.size(own_grams) > 0, F.struct(F.lit(way).alias("way"), own_grams.alias("grams"))).otherwise(first)
+    short = kept(own.filter(F.size(grams(F.col("bytes"), "long")) == 0).select("key", first.alias("w")).select("key", "w.way", F.explode("w.grams").alias("gram")).distinct())
+    wanted = own.select("key", F.explode(grams(F.col("bytes"), "long")).alias("gram")).unionByName(short.select("key", "gram"))
+    held = rows.select("row", F.explode(grams(F.col("content"), "long")).alias("gram"))
+    asked = short.select("gram").distinct()
+    asked = small(asked, asked.count())
+    for way in sorted(r.way for r in short.select("way").distinct().collect()):
+        held = held.unionByName(rows.select("row", F.explode(grams(F.col("content"), way)).alias("gram")).join(asked, "gram", "left_semi"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "g.gram")
+    return held.join(rarest, "gram").filter("row <> key").select("row", "key").distinct()
 
 
 def found(files: DataFrame, needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
     """(path, needle_id, encoding): the forms that files (path, content) contain, each once.
 
-    One gram of each form is joined with the grams of the files, of the ways that
-    the forms need, and what meets is compared in full. Neither side is bounded:
-    Spark broadcasts the grams of a short list by their size, and shuffles those of
-    a long one. Rows that repeat a path are files of that path; null content holds
+    What a rare gram brings together (`met`) is compared in full, once for equal
+    contents and equal strings; only for these pairs contents are shuffled. A
+    string that is a file's whole content is known by its digest. Neither side is
+    bounded. Rows that repeat a path are files of that path; null content holds
     nothing."""
-    own = keyed(forms(needles, encodings))
-    text, rows = F.decode("content", "ISO-8859-1"), files.select("path", "content", F.xxhash64("content").alias("row"))
-    grams = [rows.select("path", "row", F.lit(way).alias("way"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(GRAMS[way][1]), F.lit(1)))).alias("gram")) for way in sorted(r.way for r in own.select("way").distinct().collect())]
-    if not grams:
-        return files.select("path", F.lit(None).cast(dict(needles.dtypes)["needle_id"]).alias("needle_id"), F.lit("").alias("encoding")).limit(0)
-    every = grams[0]
-    for g in grams[1:]:
-        every = every.unionByName(g)
-    pairs = every.join(own, ["way", "gram"]).select("path", "row", "needle_id", "encoding", "bytes")
-    return rows.join(pairs, ["path", "row"]).filter(F.contains("content", F.col("bytes"))).select("path", "needle_id", "encoding").distinct()
+    own = forms(needles, encodings).withColumns({"key": F.xxhash64("bytes"), "digest": F.sha2("bytes", 256)})
+    rows = files.filter("content IS NOT NULL").select("path", "content", F.xxhash64("content").alias("row"))
+    pairs = met(rows, own)
+    sizes = rows.select("row", F.octet_length("content").alias("row_n")).distinct(), own.select("key", F.octet_length("bytes").alias("key_n")).distinct()
+    pairs = kept(pairs.join(sizes[0], "row").join(sizes[1], "key").filter("key_n < row_n").select("row", "key").distinct())
+    few = small(pairs, pairs.count())
+    one, two = rows.select("row", "content").join(few, "row").dropDuplicates(["row", "key"]), own.select("key", "bytes").join(few, "key").dropDuplicates(["row", "key"])
+    hits = one.hint("merge").join(two, ["row", "key"]).filter(F.contains("content", F.col("bytes"))).select("row", "key")
+    inside = rows.select("path", "row").join(hits, "row").join(own.select("key", "needle_id", "encoding"), "key")
+    same = rows.select("path", F.sha2("content", 256).alias("digest")).join(own.select("digest", "needle_id", "encoding"), "digest")
+    return inside.select("path", "needle_id", "encoding").unionByName(same.select("path", "needle_id", "encoding")).distinct()
 
 
 def opened_once(files: DataFrame, least_hex: int = 24, least_base64: int = 64) -> DataFrame:

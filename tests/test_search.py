@@ -49,3 +49,15 @@ def test_visibility(spark):
     cols = "grp string, name string, value string"
     got = audit.visibility(spark.createDataFrame(registry, f"needle_id int, path string, needle string, {cols}"), spark.createDataFrame(shown, f"path string, {cols}"))
     assert {r.needle_id: r.verdict for r in got.collect()} == {1: "yes", 2: "reformatted", 3: "no", 4: "no", 5: "no", 6: "no"}
+
+
+def test_contained_with_a_common_beginning(spark):
+    """Texts that begin alike meet by their rarest gram, not by the first: few pairs are compared."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    rows = [(i, " the same words begin every text of these, and then " + " ".join(word() for _ in range(40))) for i in range(300)]
+    rows += [(1000 + i, t[:200]) for i, t in rows[:20]] + [(2000, "Avec."), (2001, "and they say Avec. to it")]
+    df = spark.createDataFrame(rows, "needle_id int, needle string")
+    assert {tuple(r) for r in audit.contained(df).collect()} == {(1000 + i, i) for i in range(20)} | {(2000, 2001)}
+    texts = df.select(F.encode("needle", "UTF-8").alias("b"), F.xxhash64(F.encode("needle", "UTF-8")).alias("h"))
+    assert audit.met(texts.select(F.col("h").alias("row"), F.col("b").alias("content")), texts.select(F.col("h").alias("key"), F.col("b").alias("bytes"))).count() < 2_000
