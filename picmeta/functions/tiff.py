@@ -1,8 +1,9 @@
 """TIFF blocks (EXIF): directories of fixed records, found by chasing pointers, and blocks built anew.
 
-Byte order is a column, so both orders are read by one expression. `directories`
-carries the places it has been to, so pointers that go in circles end. All of it
-is built-in expressions on the row of the file.
+`directories` carries the places it has been to, so pointers that go in circles
+end. It and `values` read blocks in Arrow batches: as folds of Spark they took an
+interpreted expression for each field of each record. The other functions are
+built-in expressions with the byte order as a column. A block stays in its row.
 
 Null, or bytes without a TIFF head, give null. Directories that are cut short or
 lie outside the block are left out, with a warning each; a block whose first
@@ -11,12 +12,19 @@ directory can't be read has none and counts as damaged.
 
 from __future__ import annotations
 
+import struct
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from picmeta.functions.binary import big, latin1, little
 from picmeta.functions.walks import cutout, first_place, let
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 #: Bytes of a value by type, tags that point to directories, and the longest chain of previews.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 129: 1}
 EXIF, GPS, INTEROP = 0x8769, 0x8825, 0xA005
@@ -24,8 +32,10 @@ MAX_CHAIN = 16
 
 IFD = "struct<name: string, offset: bigint, count: int, next: bigint, owner: string, tag: int, entry: int, chain: boolean>"
 ENTRY = "struct<index: int, tag: int, type: int, count: bigint, size: bigint, inline: boolean, value_offset: bigint, valid: boolean>"
-STATE = f"struct<visited: array<bigint>, ifds: array<{IFD}>, warnings: array<string>, read: boolean>"
-POINTER = "struct<owner: string, tag: int, entry: int, at: bigint>"
+TIFF = f"struct<ifds: array<{IFD}>, warnings: array<string>, damaged: boolean>"
+VALUE = "struct<ifd: string, nth: int, tag: int, type: int, valid: boolean, value: string>"
+#: How numbers of a type are packed; fractions are two of them.
+PACKED = {1: "B", 3: "H", 4: "I", 13: "I", 6: "b", 8: "h", 9: "i", 5: "I", 10: "i"}
 
 
 def is_head(b: Column, at: Column | int = 0) -> Column:
@@ -69,62 +79,91 @@ def entries(b: Column, ifd: Column) -> Column:
     return F.when(ifd["count"] > 0, F.transform(F.sequence(F.lit(0), ifd["count"] - 1), one)).otherwise(F.array().cast(f"array<{ENTRY}>"))
 
 
-def pointers(b: Column, ifd: Column, tag: int) -> Column:
-    fits = F.filter(entries(b, ifd), lambda e: (e["tag"] == tag) & e["valid"] & (e["count"] == 1) & e["type"].isin(4, 13))
-    found = F.transform(fits, lambda e: F.struct(ifd["name"], e["tag"], e["index"], number(b, e["value_offset"], 4)).cast(POINTER))
-    return F.coalesce(F.when(ifd.isNotNull(), found), F.array().cast(f"array<{POINTER}>"))
-
-
-def nothing_read() -> Column:
-    return F.struct(F.array(), F.array(), F.array(), F.lit(False)).cast(STATE)
-
-
-def read(b: Column, s: Column, name: Column, label: Column, at: Column, p: Column | None = None, chain: bool = False) -> Column:
-    """The state s with the directory at a place, if there is one that wasn't read yet; p: the pointer that leads there."""
-    size = F.octet_length(b)
-
-    def said(how: str) -> Column:
-        return F.concat(s["warnings"], F.array(F.concat(F.lit("The "), label, F.lit(f" directory in the EXIF data {how} and was skipped."))))
-
-    def with_count(n: Column) -> Column:
+def records(b: bytes, order: str, at: int, n: int) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """(tag, type, count, size, place of the value, valid) of each of the n records of a directory, as `entries` has them."""
+    for tag, kind, count, value in struct.iter_unpack(order + "HHII", b[at + 2 : at + 2 + n * 12]):
+        size = TYPE_SIZE.get(kind, 0) * count
+        at += 12
+        place = at - 2 if size <= 4 else value
+        yield tag, kind, count, size, place, kind in TYPE_SIZE and size < 0x7FFFFFFF and (size <= 4 or 8 <= value and value + size <= len(b))
+
+
+def walk(b: bytes | None) -> tuple[list[tuple], list[str], bool] | None:
+    """Directories, warnings, and whether there is no directory; null without a head."""
+    if b is None or len(b) < 8 or b[:4] not in (b"II*\0", b"MM\0*"):
+        return None
+    order = "<" if b[:1] == b"I" else ">"
+    ifds: list[tuple] = []
+    warnings: list[str] = []
+    visited: set[int] = set()
+
+    def number(at: int, kind: str) -> int:
+        return struct.unpack_from(order + kind, b, at)[0]
+
+    def read(name: str, at: int, label: str, owner: tuple = (None, None, None), chain: bool = False) -> tuple | None:
+        """The directory at a place, if there is one that wasn't read yet; owner: the pointer that leads there."""
+        if not at:
+            return None
+        if at < 8 or at + 2 > len(b) or at in visited:
+            warnings.append(f"The {label} directory in the EXIF data points outside the data and was skipped.")
+            return None
+        visited.add(at)
+        n = number(at, "H")
         behind = at + 2 + n * 12
-        follows = F.when(behind + 4 <= size, number(b, behind, 4)).otherwise(0)
-        owner = [F.lit(None)] * 3 if p is None else [p["owner"], p["tag"], p["entry"]]
-        ifd = F.struct(name, at, n, follows, *owner, F.lit(chain)).cast(IFD)
-        seen = F.concat(s["visited"], F.array(at))
-        return F.when(behind > size, F.struct(seen, s["ifds"], said("is damaged"), F.lit(False)).cast(STATE)).otherwise(F.struct(seen, F.concat(s["ifds"], F.array(ifd)), s["warnings"], F.lit(True)).cast(STATE))
-
-    outside = (at < 8) | (at + 2 > size) | F.array_contains(s["visited"], at)
-    none = F.struct(s["visited"], s["ifds"], s["warnings"], F.lit(False)).cast(STATE)
-    return F.when(at.isNull() | (at == 0), none).when(outside, F.struct(s["visited"], s["ifds"], said("points outside the data"), F.lit(False)).cast(STATE)).otherwise(let(number(b, at, 2), with_count))
-
-
-def named(s: Column, name: str) -> Column:
-    """The directory of that name; null if it wasn't read."""
-    return F.get(F.filter(s["ifds"], lambda d: d["name"] == name), F.lit(0))
+        if behind > len(b):
+            warnings.append(f"The {label} directory in the EXIF data is damaged and was skipped.")
+            return None
+        ifds.append((name, at, n, number(behind, "I") if behind + 4 <= len(b) else 0, *owner, chain))
+        return ifds[-1]
+
+    def pointers(ifd: tuple | None, tag: int) -> list[tuple[tuple, int]]:
+        found = enumerate(records(b, order, ifd[1], ifd[2])) if ifd else ()
+        return [((ifd[0], tag, i), number(place, "I")) for i, (t, kind, count, _, place, valid) in found if t == tag and valid and count == 1 and kind in (4, 13)]
+
+    main, exif = read("ifd0", number(4, "I"), "main"), None
+    for owner, at in pointers(main, EXIF)[:1]:
+        exif = read("exif", at, "Exif", owner)
+    n = 0
+    for owner, at in pointers(main, GPS) + pointers(exif, GPS):
+        n += read(f"gps{n + 1}" if n else "gps", at, "GPS", owner) is not None
+    for owner, at in pointers(exif, INTEROP)[:1]:
+        read("interop", at, "Interop", owner)
+    last = main
+    for k in range(1, MAX_CHAIN + 1):
+        last = last and read(f"ifd{k}", last[3], "preview" if k == 1 else "extra preview", chain=True)
+    return ifds, warnings, not ifds
 
 
 def directories(blocks: DataFrame, content: str = "content") -> DataFrame:
-    """blocks with tiff: struct<ifds, warnings, damaged>, which replaces a column of that name: ifd0, the Exif directory, GPS directories wherever their pointer stands, Interop, and the chain of previews. One projection follows the other; a block stays in its row."""
-    b, s, p = F.col(content), F.col("__s"), F.col("__p")
-
-    def gps(t: Column, q: Column) -> Column:
-        n = F.size(F.filter(t["ifds"], lambda d: d["name"].startswith("gps")))
-        return read(b, t, F.when(n == 0, "gps").otherwise(F.concat(F.lit("gps"), (n + 1).cast("string"))), F.lit("GPS"), q["at"], q)
-
-    def preview(c: Column, n: Column) -> Column:
-        """c: the state, and whether the chain goes on."""
-        prev = F.when(n == 1, F.get(c["s"]["ifds"], F.lit(0))).otherwise(F.element_at(c["s"]["ifds"], -1))
-        step = read(b, c["s"], F.concat(F.lit("ifd"), n.cast("string")), F.when(n == 1, "preview").otherwise("extra preview"), prev["next"], None, True)
-        return F.when(c["go"] & (F.size(c["s"]["ifds"]) > 0), let(step, lambda t: F.struct(t, t["read"]).cast(chain))).otherwise(c)
-
-    chain = f"struct<s: {STATE}, go: boolean>"
-    df = blocks.withColumn("__s", read(b, nothing_read(), F.lit("ifd0"), F.lit("main"), number(b, 4, 4)))
-    df = df.withColumn("__p", F.get(pointers(b, named(s, "ifd0"), EXIF), F.lit(0))).withColumn("__s", read(b, s, F.lit("exif"), F.lit("Exif"), p["at"], p))
-    df = df.withColumn("__p", F.concat(pointers(b, named(s, "ifd0"), GPS), pointers(b, named(s, "exif"), GPS))).withColumn("__s", F.aggregate("__p", s, gps))
-    df = df.withColumn("__p", F.get(pointers(b, named(s, "exif"), INTEROP), F.lit(0))).withColumn("__s", read(b, s, F.lit("interop"), F.lit("Interop"), p["at"], p))
-    df = df.withColumn("__s", F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CHAIN)), F.struct(s, F.lit(True)).cast(chain), preview)["s"])
-    return df.withColumn("tiff", F.when(is_head(b), F.struct(s["ifds"].alias("ifds"), s["warnings"].alias("warnings"), (F.size(s["ifds"]) == 0).alias("damaged")))).drop("__s", "__p")
+    """blocks with tiff: struct<ifds, warnings, damaged>, which replaces a column of that name: ifd0, the Exif directory, GPS directories wherever their pointer stands, Interop, and the chain of previews."""
+    return blocks.withColumn("tiff", F.udf(walk, TIFF, useArrow=True)(F.col(content)))
+
+
+def text_of(b: bytes, order: str, kind: int, count: int, size: int, at: int) -> str:
+    """A valid value as text, as `value_text` has it."""
+    raw = b[at : at + size]
+    if kind == 2:
+        return raw.partition(b"\0")[0].decode("latin-1")
+    if kind == 129:
+        return raw.decode("utf-8", "replace").partition("\0")[0]
+    if kind not in PACKED:
+        return raw.hex()
+    half = kind in (5, 10)
+    own = struct.unpack(f"{order}{2 * count if half else count}{PACKED[kind]}", raw)
+    return ", ".join(f"{x}/{y}" for x, y in zip(own[::2], own[1::2])) if half else ", ".join(map(str, own))
+
+
+def values(b: Column) -> Column:
+    """array<struct<ifd, nth, tag, type, valid, value>>: the records of all directories of a block, values as text; null without a head."""
+
+    def run(b: bytes | None) -> list[tuple] | None:
+        found = walk(b)
+        if found is None:
+            return None
+        order = "<" if b[:1] == b"I" else ">"
+        return [(ifd[0], i, tag, kind, valid, text_of(b, order, kind, count, size, at) if valid else None) for ifd in found[0] for i, (tag, kind, count, size, at, valid) in enumerate(records(b, order, ifd[1], ifd[2]))]
+
+    return F.udf(run, f"array<{VALUE}>", useArrow=True)(b)
 
 
 def value_text(b: Column, e: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from picmeta.functions import tiff
+from picmeta.operators.shared import dealt
 
 
 def made(customers: DataFrame) -> DataFrame:
@@ -35,22 +36,16 @@ def made(customers: DataFrame) -> DataFrame:
     return placed.select(F.col("c_custkey").alias("path"), broken.alias("content"))
 
 
-def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.directories(made(spark.read.parquet(f"{sf_dir}/customer.parquet")))
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(dealt(spark.read.parquet(f"{sf_dir}/customer.parquet")))
 
 
 def tiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir).select("path", F.array_join(F.transform("tiff.ifds", lambda d: d["name"]), ",").alias("ifds"), F.array_join("tiff.warnings", " ").alias("said"), "tiff.damaged")
+    return tiff.directories(_made(spark, sf_dir)).select("path", F.array_join(F.transform("tiff.ifds", lambda d: d["name"]), ",").alias("ifds"), F.array_join("tiff.warnings", " ").alias("said"), "tiff.damaged")
 
 
 def tiff_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.col("content")
-
-    def row(d: Column, e: Column) -> Column:
-        return F.struct(d["name"].alias("ifd"), e["index"].alias("nth"), e["tag"].alias("tag"), e["type"].alias("type"), e["valid"].alias("valid"), tiff.value_text(b, e).alias("value"))
-
-    rows = F.flatten(F.transform("tiff.ifds", lambda d: F.transform(tiff.entries(b, d), lambda e: row(d, e))))
-    return _read(spark, sf_dir).select("path", F.inline(rows))
+    return _made(spark, sf_dir).select("path", F.inline(tiff.values(F.col("content"))))
 
 
 _BY_NAME = "CASE WHEN way = 1 THEN 'ifd0,gps,ifd1' WHEN way = 2 THEN 'ifd0,exif,ifd1' WHEN way = 4 THEN 'ifd0,exif,gps' WHEN way = 5 THEN NULL ELSE 'ifd0,exif,gps,ifd1' END"

@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage in the folder that driver and executors share; dealing out rows."""
 
 from __future__ import annotations
 
@@ -18,3 +18,8 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="picmeta-checkpoint-"))
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, rows: int = 5000) -> DataFrame:
+    """df in partitions of about so many rows, for work that is dear by the row: a small file, read as it is, would be one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))

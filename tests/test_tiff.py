@@ -6,6 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from picmeta.functions import tiff
+from picmeta.operators import queries_tiff
 
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 129: 1}
 
@@ -107,3 +108,15 @@ def test_build_and_read(spark):
         own = tiff.directories(df, "b").withColumnRenamed("tiff", "d").select("n", F.octet_length("b").alias("size"), F.transform(tiff.entries(F.col("b"), F.col("d.ifds")[0]), lambda e: F.struct(e["tag"], tiff.value_text(F.col("b"), e))).alias("e"))
         r = own.first()
         assert r.size == 8 + r.n and [tuple(x) for x in r.e] == [(0x0102, "8, 8, 8"), (0x010F, "Maker"), (0x0112, "6"), (0x829A, "1/250"), (0x9000, "30323332"), (0x9204, "-2/3")]
+
+
+def test_values_and_tasks(spark, tmp_path):
+    """values gives what entries and value_text give; a small table of customers is read by all tasks."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, block(rng)) for i in range(120)] + [(-1, None)], "id int, b binary")
+    b = F.col("b")
+    own = F.flatten(F.transform("tiff.ifds", lambda d: F.transform(tiff.entries(b, d), lambda e: F.struct(d["name"].alias("ifd"), e["index"].alias("nth"), e["tag"].alias("tag"), e["type"].alias("type"), e["valid"].alias("valid"), tiff.value_text(b, e).alias("value")))))
+    rows = tiff.directories(df, "b").select("id", own.alias("want"), tiff.values(b).alias("got")).collect()
+    assert all(r.want == r.got for r in rows) and sum(len(r.got or ()) for r in rows) > 300
+    spark.range(500).selectExpr("id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "'BUILDING' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries_tiff._made(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
