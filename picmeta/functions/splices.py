@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from picmeta.functions.markup import scanned
-from picmeta.functions.walks import let
+from picmeta.functions.walks import let, scanned
 
 EDIT = "struct<s: int, e: int, data: string>"
 ROUNDS = 24  # each round that isn't the last makes some pointer longer by a digit

@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from picmeta.functions import checksums
+from picmeta.functions import checksums, markup
 from picmeta.operators import chunks, graph
 
 
@@ -37,3 +37,9 @@ def test_children_broadcast_nothing(spark, capsys):
     p = spark.range(100).select(F.col("id").alias("path"), "id", F.lit("t").alias("tag"), F.col("id").alias("at"))
     graph.children(p, p, p.select("path", "at", F.lit("c").alias("table"))).explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_tags_inside_many_others(spark):
+    page, begun = "<div>" * 250 + "<i></i>" * 60_000 + "</div>" * 250, time.time()
+    r = spark.createDataFrame([(page,)], "t string").select(markup.parts(F.col("t")).alias("p")).select(F.size("p").alias("n"), F.element_at("p", -1).alias("last"), F.expr("p[300].depth").alias("deep")).first()
+    assert (r.n, r.last.closes, r.deep) == (120_500, 0, 250) and time.time() - begun < 15
