@@ -130,9 +130,20 @@ def template_bigrams() -> dict[str, list[list[str]]]:
 SPAN = max(len(re.findall("[a-z0-9]+", t.lower())) for texts in templates().values() for t in texts)
 
 
-def likeness(family: str) -> Column:
+def likeness(family: str, grams: str = "grams") -> Column:
     """The largest share of a template's n-grams (bigrams, or its only word) that stand in grams."""
-    return F.greatest(F.lit(0.0), *(F.size(F.array_intersect(F.col("grams"), fixed(t))) / len(set(t)) for t in template_bigrams()[family]))
+    return F.greatest(F.lit(0.0), *(F.size(F.array_intersect(F.col(grams), fixed(t))) / len(set(t)) for t in template_bigrams()[family]))
+
+
+def likenesses(grams: str = "grams") -> Column:
+    """The likeness to each of NAMES. grams: those that stand in a template; most paragraphs have none."""
+    return F.when(F.size(grams) == 0, fixed([0.0] * len(NAMES))).otherwise(F.array(*(likeness(f, grams) for f in NAMES)))
+
+
+def in_templates() -> Column:
+    """What of grams stands in any template, found by one look each."""
+    every = sorted({g for ts in template_bigrams().values() for t in ts for g in t})
+    return F.filter("grams", lambda g: g.isin(every))
 
 
 def marked() -> Column:
@@ -159,7 +170,10 @@ def wrapped(docs: DataFrame) -> DataFrame:
         first = F.greatest(n - SPAN + 1, F.lit(1))
         before = F.aggregate(F.slice("tails", first, n - first + 1), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(acc, w)))
         after = F.aggregate(F.reverse(F.slice("heads", n + 1, F.lit(SPAN))), none, lambda acc, w: F.when(F.size(w) == 0, none).otherwise(F.concat(w, acc)))
-        return F.struct((n - 1).alias("line"), F.slice(before, F.greatest(F.size(before) - SPAN + 1, F.lit(1)), F.lit(SPAN)).alias("b"), F.slice(after, 1, SPAN).alias("a"))
+        tail, head = F.element_at("tails", n), F.element_at("heads", n + 1)  # a line of SPAN words needs no other
+        b = F.when(F.size(tail) == SPAN, tail).otherwise(F.slice(before, F.greatest(F.size(before) - SPAN + 1, F.lit(1)), F.lit(SPAN)))
+        a = F.when(F.size(head) == SPAN, head).otherwise(F.slice(after, 1, SPAN))
+        return F.struct((n - 1).alias("line"), b.alias("b"), a.alias("a"))
 
     held = F.filter(F.sequence(F.lit(1), F.size("tails") - 1), lambda n: (F.size(F.element_at("tails", n)) > 0) & (F.size(F.element_at("heads", n + 1)) > 0))
     both = ends.select("doc_id", "mark", F.inline(F.transform(held, broken)))
@@ -212,9 +226,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     lines = paragraphs(docs).withColumn("words", words(F.col("text"))).withColumn("wrapped", F.lit(False))
     rows = lines.unionByName(wrapped(docs).withColumn("wrapped", F.lit(True)))
     if model.anchors is not None:
-        rows = rows.filter(F.arrays_overlap("words", fixed(model.anchors) if model.anchors else F.array().cast("array<string>")))
-    judged = model.weights.transform(model.counts.transform(featured(rows))).withColumn("p", vector_to_array("probability"))
-    return judged.select("doc_id", "mark", "line", "text", "wrapped", F.transform("p", lambda x: F.round(x, 9)).alias("p"), F.array(*(likeness(f) for f in NAMES)).alias("like"))
+        rows = rows.filter(F.exists("words", lambda w: w.isin(model.anchors)))
+    judged = model.weights.transform(model.counts.transform(featured(rows).withColumn("told", in_templates()))).withColumn("p", vector_to_array("probability"))
+    return judged.select("doc_id", "mark", "line", "text", "wrapped", F.transform("p", lambda x: F.round(x, 9)).alias("p"), likenesses("told").alias("like"))
 
 
 def calibrated(rows: DataFrame, docs: DataFrame, model: Model) -> float:

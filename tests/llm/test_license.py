@@ -1,6 +1,7 @@
 """Licence paragraphs planted among plain ones, and documents with known statements."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from picmeta.llm import license_scan
 
@@ -84,3 +85,12 @@ def test_many_lines(spark):
     got = license_scan.wrapped(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.count() == 100_000 - 1 + 1 and got.agg({"line": "max"}).first()[0] == 99_998
     assert got.filter("doc_id = 2").first().words == " ".join(notice).lower().replace(",", "").split()[: 2 * license_scan.SPAN]
+
+
+def test_likenesses_of_what_stands_in_templates(spark):
+    """Looking a paragraph's grams up once gives the likeness that each template's own comparison gives."""
+    texts = ["", "the sea", "Licensed under the MIT License.", "GPL", "GNU General Public License, version", *[t for ts in license_scan.NOTICES.values() for t in ts]]
+    rows = license_scan.featured(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("words", license_scan.words(F.col("text"))))
+    each = F.array(*(license_scan.likeness(f) for f in license_scan.NAMES))
+    got = rows.withColumn("told", license_scan.in_templates()).select(each.alias("want"), license_scan.likenesses("told").alias("got")).collect()
+    assert all(r.want == r.got for r in got) and max(max(r.got) for r in got) == 1 and got[1].got == [0.0] * len(license_scan.NAMES)
