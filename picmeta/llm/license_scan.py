@@ -11,7 +11,8 @@
 3. A paragraph (line) can only leave `unknown` if it has an n-gram with a weight
    for a family above that for unknown. Such n-grams' rarest words are the
    anchors; paragraphs without an anchor are unknown and aren't scored further.
-   This drops no paragraph that the model would accept.
+   This drops no paragraph that the model would accept. Anchors are looked for in
+   the text itself, before it is cut into words.
 4. A predicted family is confirmed by a template: CONFIRM of a template's bigrams
    stand in the paragraph. Every other family is found too if its odds against
    unknown pass the threshold and a whole template stands there.
@@ -20,7 +21,10 @@
    between. SPAN is the longest template's length, so a template lies whole in one
    of these pieces, however short the lines are. A family found there counts for
    the line before the break, once for each run of breaks, and only if no line in
-   reach has it by itself.
+   reach has it by itself. Breaks don't calibrate, so only those that a template
+   confirms are scored, and they are only looked for in texts with a sign: CONFIRM
+   of a template's bigrams leave out few, so one of its (few + 1) rarest, its signs,
+   stands in all that it confirms.
 
 Rows are told apart by doc_id and a hash of the text (mark): rows that repeat
 both are scanned once and get the same result each. Null and empty texts have no
@@ -98,7 +102,7 @@ PLAIN = [
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def bigrams(own: Column) -> Column:
@@ -146,6 +150,42 @@ def in_templates() -> Column:
     return F.filter("grams", lambda g: g.isin(every))
 
 
+def spelled(grams: list[str]) -> str:
+    """A pattern for lower-cased texts, a space before them, that have any of grams (words of a-z and 0-9 with a space between). Common beginnings are tried once, and first letters by halves."""
+    tree: dict = {}
+    for g in grams:
+        at = tree
+        for c in g:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def below(at: dict) -> str:
+        ways = [("[^a-z0-9]+" if c == " " else c) + below(rest) if c else "(?![a-z0-9])" for c, rest in sorted(at.items(), reverse=True)]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    def begun(firsts: list[str]) -> str:
+        if len(firsts) < 4:
+            return "|".join(c + below(tree[c]) for c in firsts)
+        half = len(firsts) // 2
+        return "|".join(f"(?=[{''.join(own)}])(?:{begun(own)})" for own in (firsts[:half], firsts[half:]))
+
+    return f"[^a-z0-9](?:{begun(sorted(tree))})" if grams else "(?!)"
+
+
+def has(text: Column, grams: list[str]) -> Column:
+    """Whether any of grams stands in text, as `words` and `bigrams` cut it; true also for two words with lines between."""
+    return F.concat(F.lit(" "), F.lower(text)).rlike(spelled(grams))
+
+
+def signs(often: dict[str, int]) -> list[str]:
+    """Grams of which one stands wherever CONFIRM of a template's do: of each template the rarest, by how often their rarer word is."""
+    out = set()
+    for grams in (set(t) for ts in template_bigrams().values() for t in ts):
+        least = min(k for k in range(len(grams) + 1) if k / len(grams) >= CONFIRM)
+        out |= set(sorted(grams, key=lambda g: (min(often.get(w, 0) for w in g.split()), g))[: len(grams) - least + 1])
+    return sorted(out)
+
+
 def marked() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
@@ -187,6 +227,7 @@ class Model:
     classes: list[str]
     least: float  # what a paragraph without an anchor stays below
     anchors: list[str] | None
+    signs: list[str]
 
 
 def taught(spark: SparkSession) -> DataFrame:
@@ -216,19 +257,25 @@ def train(docs: DataFrame) -> Model:
     over = (over[1:] - over[0]).max(axis=0) > 0
     bias = weights.interceptVector.toArray()
     odds = sum(math.exp(b - bias[0]) for b in bias[1:])
-    often = {r.w: r.n for r in rows.filter(F.col("class") == UNKNOWN).select(F.explode(F.array_distinct("words")).alias("w")).filter(F.col("w").isin(sorted({w for g, up in zip(counts.vocabulary, over) if up for w in g.split()}))).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most VOCABULARY words
+    told = {w for g, up in zip(counts.vocabulary, over) if up for w in g.split()} | {w for ts in template_bigrams().values() for t in ts for g in t for w in g.split()}
+    often = {r.w: r.n for r in rows.filter(F.col("class") == UNKNOWN).select(F.explode(F.array_distinct("words")).alias("w")).filter(F.col("w").isin(sorted(told))).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most VOCABULARY words and the templates'
     anchors = sorted({min(g.split(), key=lambda w: (often.get(w, 0), w)) for g, up in zip(counts.vocabulary, over) if up})
-    return Model(counts, weights, classes, odds / (1 + odds), anchors)
+    return Model(counts, weights, classes, odds / (1 + odds), anchors, signs(often))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, mark, line, text, wrapped, p, like) of the paragraphs and line breaks with an anchor: the classes' probabilities, and the likeness to each of NAMES."""
-    lines = paragraphs(docs).withColumn("words", words(F.col("text"))).withColumn("wrapped", F.lit(False))
-    rows = lines.unionByName(wrapped(docs).withColumn("wrapped", F.lit(True)))
+    """(doc_id, mark, line, text, wrapped, p, like) of the paragraphs with an anchor, and of the line breaks with an anchor that a template confirms: the classes' probabilities, and the likeness to each of NAMES."""
+    lines, breaks = paragraphs(docs), wrapped(docs.filter(has(F.col("text").cast("string"), model.signs))).filter(has(F.col("text"), model.signs))
     if model.anchors is not None:
-        rows = rows.filter(F.exists("words", lambda w: w.isin(model.anchors)))
-    judged = model.weights.transform(model.counts.transform(featured(rows).withColumn("told", in_templates()))).withColumn("p", vector_to_array("probability"))
-    return judged.select("doc_id", "mark", "line", "text", "wrapped", F.transform("p", lambda x: F.round(x, 9)).alias("p"), likenesses("told").alias("like"))
+        lines, breaks = (x.filter(has(F.col("text"), model.anchors)) for x in (lines, breaks))
+
+    def liked(rows: DataFrame) -> DataFrame:
+        return featured(rows).withColumn("told", in_templates()).withColumn("like", likenesses("told")).drop("told")
+
+    rows = liked(lines.withColumn("words", words(F.col("text")))).withColumn("wrapped", F.lit(False))
+    rows = rows.unionByName(liked(breaks).filter(F.array_max("like") >= CONFIRM).withColumn("wrapped", F.lit(True)))
+    judged = model.weights.transform(model.counts.transform(rows)).withColumn("p", vector_to_array("probability"))
+    return judged.select("doc_id", "mark", "line", "text", "wrapped", F.transform("p", lambda x: F.round(x, 9)).alias("p"), "like")
 
 
 def calibrated(rows: DataFrame, docs: DataFrame, model: Model) -> float:

@@ -94,3 +94,28 @@ def test_likenesses_of_what_stands_in_templates(spark):
     each = F.array(*(license_scan.likeness(f) for f in license_scan.NAMES))
     got = rows.withColumn("told", license_scan.in_templates()).select(each.alias("want"), license_scan.likenesses("told").alias("got")).collect()
     assert all(r.want == r.got for r in got) and max(max(r.got) for r in got) == 1 and got[1].got == [0.0] * len(license_scan.NAMES)
+
+
+def test_breaks_that_no_template_confirms_are_not_scored(spark):
+    """Plain lines with licence words: their breaks made more than half of what was scored."""
+    plain = "All of this file\nis under the terms of the sea.\nYou may use it\nas a public copy."
+    rows = [*((i, plain) for i in range(20)), (20, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and associated documentation files")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/license_breaks")
+    docs = spark.read.parquet(path)
+    model = license_scan.train(docs)
+    got = license_scan.scored(docs, model).collect()
+    assert [(r.doc_id, r.line) for r in got if r.wrapped] == [(20, 0)]
+    assert {r.doc_id for r in got if not r.wrapped} == set(range(21))
+
+
+def test_signs_stand_in_all_that_a_template_confirms(spark):
+    """Templates with as many words left out as CONFIRM allows, in any case, with any separators and letters next to them."""
+    signs, texts = license_scan.signs({"software": 3, "license": 9, "notice": 2}), []
+    for t in (t for ts in license_scan.templates().values() for t in ts):
+        w = t.split()
+        texts += [t, t.upper(), "\n, ".join(w), f"\u00e9{t}\u00e9", *(" ".join(w[:i] + w[i + k :]) for i in range(len(w)) for k in (1, 2, 3))]
+    texts += ["the sea", "", "mits licenses", "amit license", "gplx", "copies"]
+    rows = license_scan.featured(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("words", license_scan.words(F.col("text")))).withColumn("told", license_scan.in_templates())
+    got = rows.select("text", "grams", (F.array_max(license_scan.likenesses("told")) >= license_scan.CONFIRM).alias("like"), license_scan.has(F.col("text"), signs).alias("has")).collect()
+    assert all(r.has for r in got if r.like) and sum(r.like for r in got) > 500
+    assert all(r.has == bool(set(r.grams) & set(signs)) for r in got)
