@@ -49,6 +49,32 @@ def letters(text: bytes | None) -> list[str]:
     return found if any(c.isalpha() for w in found for c in w[:64]) or any(c.isalpha() for w in found for c in w) else []
 
 
+class Words:
+    """Distinct words, and in n how often each comes in each language: a row and a column, so that a word takes no table of its own."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.n = np.zeros((1024, 1), np.int64)
+
+    def add(self, words: list[str], n: np.ndarray, k: int) -> None:
+        """Adds n (one for each of the words, which are distinct) in language k."""
+        rows = np.array([self.place.setdefault(w, len(self.place)) for w in words], np.int64)
+        if len(self.place) > len(self.n) or k >= self.n.shape[1]:
+            self.n = grown(self.n, len(self.place), k + 1)
+        self.n[rows, k] += n
+
+
+def grown(table: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """table with zeros behind its rows and columns, at least so many of each; what isn't used yet takes no memory."""
+    rows = len(table) if rows <= len(table) else max(rows, 2 * len(table))
+    new = np.zeros((rows, max(columns, table.shape[1])), table.dtype)
+    new[: len(table), : table.shape[1]] = table
+    return new
+
+
 def marked(words: list[str]) -> list[bytes]:
     return [MARK_BYTES + w.encode("utf-8", "replace") for w in words]
 
@@ -61,18 +87,14 @@ def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
         v = Vocabulary.of(shared.value)
         prior = np.append(v.scores, v.unknown_score)[:, None]
         langs: dict[str, int] = {}
-        words: dict[str, dict[int, int]] = {}
+        words = Words()
         sums: dict[int, np.ndarray] = {}
 
         def flush() -> None:
-            own = list(words)
+            own = list(words.place)
             for at in range(0, len(own), CHUNK):
                 part = own[at : at + CHUNK]
-                weight = np.zeros((len(part), len(langs)))
-                for i, w in enumerate(part):
-                    for k, n in words[w].items():
-                        weight[i, k] = n
-                got = Lattice(v, marked(part)).expected(prior, weight)
+                got = Lattice(v, marked(part)).expected(prior, words.n[at : at + len(part), : len(langs)].astype(float))
                 for k in range(len(langs)):
                     sums[k] = sums.get(k, 0) + got[:, k]
             words.clear()
@@ -84,9 +106,8 @@ def learn(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
                     by.setdefault(langs.setdefault(lang, len(langs)), []).extend(letters(t))
                 for k, found in by.items():
                     at, distinct = numbered(found)
-                    for w, n in zip(distinct, np.bincount(at, minlength=len(distinct)).tolist(), strict=True):
-                        words.setdefault(w, {})[k] = words.get(w, {}).get(k, 0) + n
-                if len(words) > HELD:
+                    words.add(distinct, np.bincount(at, minlength=len(distinct)), k)
+                if len(words.place) > HELD:
                     flush()
         flush()
         for lang, k in langs.items():
@@ -122,8 +143,8 @@ def predict(docs: DataFrame, vocab: Vocabulary, langs: list[str], logp: np.ndarr
                 if len(place) > HELD:
                     place.clear()
                 new = [w for w in distinct if w not in place]
-                while len(place) + len(new) > len(known):
-                    known = np.concatenate([known, np.zeros_like(known)])
+                if len(place) + len(new) > len(known):
+                    known = grown(known, len(place) + len(new), len(langs))
                 for i in range(0, len(new), CHUNK):
                     part = new[i : i + CHUNK]
                     known[len(place) : len(place) + len(part)] = Lattice(v, marked(part)).forward(logp)

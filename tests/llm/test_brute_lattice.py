@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from picmeta.llm import language_id, lm_score, pieces
@@ -133,3 +134,21 @@ def test_end_tokens_and_empty_tables(spark):
     r = lm_score.lm_score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score < 0
     assert set(llm.oracle_sql()) <= set(llm.queries())
+
+
+def test_words_by_language_take_no_table_each():
+    """Counts by word and language, languages and words coming in any order; 100,000 words took 20 MB and more in tables of their own."""
+    import tracemalloc
+
+    own, want = language_id.Words(), Counter()
+    for k, words in ((0, ["a", "b"]), (3, ["b", "c"]), (1, []), (0, ["c", "b"]), (2, ["d"])):
+        own.add(words, np.arange(1, len(words) + 1), k)
+        want.update({(w, k): n for n, w in enumerate(words, 1)})
+    assert {(w, k): int(n) for w, row in own.place.items() for k, n in enumerate(own.n[row]) if n} == dict(want)
+    words, one = [f"word{i}" for i in range(100_000)], np.ones(100_000, np.int64)
+    tracemalloc.start()
+    own.clear()
+    own.add(words, one, 0)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(own.place) == 100_000 and own.n[:100_000].sum() == 100_000 and held < 16e6

@@ -53,3 +53,14 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, rows):
+    """Stages of whole texts get ROWS rows at most at once, the others what the session says, also when that is set before."""
+    docs, key = spark.createDataFrame(rows, SCHEMA), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    said, stages = spark.conf.get(key), dict(corpus_pipeline.STAGES)
+    seen = {}
+    for name in ("language_id", "line_dedup", "near_dedup", "source_mix", "encode", "line_dedup"):
+        stages[name](spark, docs, "")
+        seen[name] = spark.conf.get(key)
+    assert seen == {n: str(corpus_pipeline.ROWS) if n in ("language_id", "encode") else said for n in stages} and int(said) > corpus_pipeline.ROWS
