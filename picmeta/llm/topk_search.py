@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over an inverted index in shards, with block-max WAND pruning.
+"""Exact top-k search: BM25 over an inverted index in shards, pruned by maxima of lists and blocks.
 
 1. `index`: tasks cut their documents into shards of at most SHARD documents and
    POSTINGS postings (one longer text is a shard of its own) and invert each
@@ -11,18 +11,19 @@
 3. Shards are searched in waves, each about WAVE times as large as all before it.
    The k-th score that a query has so far is its floor in the next wave, so a
    wave returns about WAVE * k hits a query however many shards there are.
-4. `Shard.searches`, for each query and shard, against the query's threshold (the
+4. `Shard.searches`, for many queries at once, each against its threshold (the
    floor, or the k-th score that the task has found since):
-   a. the pivot parts a query's terms: what the terms behind it, those of at least
-      1 / COMMON of the shard's documents, give each document comes from one
-      matrix product for many queries; the lists before it are only opened where
-      that is not enough to tell;
-   b. if the lists' maxima can't lift any document to the threshold, the shard is
-      skipped. Blocks are skipped, and single documents, if what they have and
-      the block maxima of the lists before the pivot stay below the threshold;
-   c. the postings of the documents that are left are added up.
-   A test is made for all blocks and documents at once and cursors move by array:
-   that is how WAND's steps become array operations.
+   a. what terms of at least 1 / COMMON of the shard's documents give each
+      document comes from one matrix product;
+   b. a query's other lists are ordered from the longest to the shortest. As many
+      as can't lift any document to the threshold, by the lists' maxima and the
+      most that a document has from the common terms, are left closed; the others
+      are added up, so a shard is skipped if all stay closed;
+   c. a document is still open if what it has and the maxima of the closed lists,
+      then their maxima in its block, reach the threshold; only for open documents
+      are the closed lists added.
+   That is how WAND's steps become array operations: a test is made for all
+   queries, blocks and documents at once.
 5. The k best of each task are merged by query.
 
 Queries go out in blocks of about QUERIES queries and QUERY_TERMS terms, each
@@ -58,6 +59,7 @@ PER_FILE = 8  # shards in a file
 WAVE = 8
 COMMON = 16
 TOGETHER = 256  # queries in a matrix product
+READ = 1 << 18  # postings of the rarer terms that are read at once
 SLACK = 1 - 1e-9  # bounds and scores are sums in different orders
 NONE = np.iinfo(np.int64).min  # stands for a null id
 SHARDS = "terms array<binary>, df array<int>, at array<int>, tf array<int>, ids array<long>, lens array<int>"
@@ -211,31 +213,56 @@ class Shard:
             both = table @ self.whole  # what common terms give, by query and document
             t, w, q = t[~often], w[~often], q[~often]
             ends = np.searchsorted(q, np.arange(last - first + 1))
-            for i in range(last - first):
-                own = slice(ends[i], ends[i + 1])
-                place, score = self.search(t[own], w[own], both[i], floors[first + i], k)
-                if len(place):
-                    yield first + i, place, score
-
-    def search(self, t: np.ndarray, w: np.ndarray, given: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents for a query. t: its rarer terms in the shard; given: what the common ones give each document."""
-        least = max(0.0, floor * SLACK - 1e-9)
-        if given.max(initial=0.0) + (w * self.highest[t]).sum() < least:
-            return np.empty(0, np.int64), np.empty(0)
-        upper = given + (w @ self.high[t])[self.block]
-        open_ = (upper >= least) & (upper > 0)
+            read = np.concatenate([[0], np.cumsum(self.size[t])])[ends]
+            i = 0
+            while i < last - first:  # as many queries as have READ postings in the shard
+                j = max(i + 1, int(np.searchsorted(read, read[i] + READ, "right")) - 1)
+                own = slice(ends[i], ends[j])
+                for x, place, score in self.search(t[own], w[own], q[own] - i, both[i:j], floors[first + i : first + j], k):
+                    yield first + i + x, place, score
+                i = j
+
+    def add(self, score: np.ndarray, t: np.ndarray, w: np.ndarray, q: np.ndarray, open_: np.ndarray | None = None) -> None:
+        """Adds what terms t give query q's documents to score (queries by documents); open_: only to these."""
         size = self.size[t]
         post = np.repeat(self.begin[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        at = self.at[post]
-        left = np.flatnonzero(open_[at])
-        self.read += len(left)
-        score = np.bincount(at[left], self.imp[post[left]] * np.repeat(w, size)[left], self.n)
-        place = np.flatnonzero(open_)
-        score = np.round(score[place] + given[place], 9)  # equal texts score alike in all shards
-        good = (score >= least) & (score > 0)
-        place, score = place[good], score[good]
-        kept = best(score, self.ids[place], k)
-        return place[kept], score[kept]
+        key, w = np.repeat(q * self.n, size) + self.at[post], np.repeat(w, size)
+        if open_ is not None:
+            left = np.flatnonzero(open_.ravel()[key])
+            post, key, w = post[left], key[left], w[left]
+        self.read += len(post)
+        score += np.bincount(key, self.imp[post] * w, score.size).reshape(score.shape)
+
+    def search(self, t: np.ndarray, w: np.ndarray, q: np.ndarray, given: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number, places and scores of the k best documents of each of some queries. t, w, q: their rarer terms in the shard, by query; given: what the common ones give, by query and document, added to in place."""
+        least = np.maximum(0.0, floors * SLACK - 1e-9)
+        order = np.lexsort((-self.size[t], q))
+        t, w, q = t[order], w[order], q[order]
+        most = w * self.highest[t]
+        total = np.cumsum(most)
+        begin = np.searchsorted(q, np.arange(len(least)))
+        up_to = total - np.concatenate([[0.0], total])[begin][q]  # what a query's lists up to this one give at most
+        error = len(t) * np.finfo(float).eps * total[-1] if len(t) else 0.0
+        needed = given.max(axis=1, initial=0.0)[q] + up_to + error >= least[q]
+        self.add(given, t[needed], w[needed], q[needed])
+        rest = np.bincount(q[~needed], most[~needed], len(least))
+        open_ = (given >= (least - rest - error)[:, None]) & ((given > 0) | (rest > 0)[:, None])
+        left_out = np.bincount(q[~needed], minlength=len(least))
+        for x in np.flatnonzero((left_out > 0) & open_.any(axis=1)).tolist():
+            own = slice(begin[x], begin[x] + left_out[x])  # the longest lists come first
+            open_[x] &= given[x] + (w[own] @ self.high[t[own]])[self.block] + error >= least[x]
+        later = ~needed & open_.any(axis=1)[q]
+        if later.any():
+            self.add(given, t[later], w[later], q[later], open_)
+        at, place = np.nonzero(open_)
+        score = np.round(given[at, place], 9)  # equal texts score alike in all shards
+        good = (score >= least[at]) & (score > 0)
+        at, place, score = at[good], place[good], score[good]
+        ends = np.searchsorted(at, np.arange(len(least) + 1))
+        for x in np.flatnonzero(np.diff(ends)).tolist():
+            own = slice(ends[x], ends[x + 1])
+            kept = best(score[own], self.ids[place[own]], k)
+            yield x, place[own][kept], score[own][kept]
 
 
 def hits(shards: DataFrame, block: pa.Table, floors: dict[int, float], mean: float, k: int) -> DataFrame:
