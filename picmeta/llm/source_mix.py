@@ -53,7 +53,18 @@ def words(text: str = "text") -> Column:
 
 def sized(docs: DataFrame, uid: str = "__uid") -> DataFrame:
     """(uid, doc_id, source, size, mark, nth): mark is a hash of the text; nth counts the rows of one doc_id and mark from 0. docs has a column uid."""
-    rows = cut(docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.spark_partition_id().alias("part")))
+    own = identity()
+    rows = cut(docs.select(F.col(uid).alias("uid"), own["doc_id"].alias("doc_id"), own["source"].alias("source"), words().alias("size"), own["mark"].alias("mark"), F.spark_partition_id().alias("part")))
+    return counted(rows).select("uid", "doc_id", "source", "size", "mark", "nth")
+
+
+def identity() -> Column:
+    """What tells documents apart: source, doc_id and a hash of the text, none of them null as a whole."""
+    return F.struct(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark")).cast("struct<source: string, doc_id: long, mark: long>")  # as a table has it, else a join casts it and shuffles again
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """rows (uid, source, doc_id, mark, part, ...), a table, with nth."""
     key = ["source", "doc_id", "mark"]
     counts = rows.groupBy(*key, "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each task that has the key
@@ -62,7 +73,7 @@ def sized(docs: DataFrame, uid: str = "__uid") -> DataFrame:
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
     nth = F.when(F.col("r_part").isNull(), 0).otherwise(F.col("before") + F.row_number().over(Window.partitionBy(*key, "part").orderBy("uid")) - 1)
-    return rows.join(repeated, same, "left").select("uid", "doc_id", "source", "size", "mark", nth.cast("long").alias("nth"))
+    return rows.join(repeated, same, "left").withColumn("nth", nth.cast("long")).drop("before", *repeated.columns)
 
 
 def weighted(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -123,7 +134,7 @@ def rounded(rated: DataFrame, cap: float = CAP) -> DataFrame:
     others = [c for c in rated.columns if c not in ("source", "docs", "mark", "nth", "doc_id", "uid")]
     chunk = F.pmod(F.xxhash64("doc_id", "size", "mark", F.floor(F.col("nth") / CHUNK)), F.greatest(F.ceil(F.col("docs") / CHUNK), F.lit(1)))
     row = F.struct((-F.col("size")).alias("order"), "doc_id", "mark", "nth", "uid", *others)
-    others = ["doc_id", "uid", *others]
+    others = ["doc_id", "mark", "nth", "uid", *others]
     groups = rated.groupBy("source", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -133,18 +144,18 @@ def rounded(rated: DataFrame, cap: float = CAP) -> DataFrame:
         return F.struct(want.alias("want"), (acc["got"] + n * r["size"]).alias("got"), F.concat(acc["copies"], F.array(n)).alias("copies"))
 
     start = F.struct(F.lit(0.0).alias("want"), F.lit(0).cast("long").alias("got"), F.array().cast("array<int>").alias("copies"))
-    dealt = groups.select("rows", F.aggregate("rows", start, step)["copies"].alias("copies"))
+    dealt = groups.select("source", "rows", F.aggregate("rows", start, step)["copies"].alias("copies"))
     pair = F.explode(F.arrays_zip("rows", "copies")).alias("p")
-    return dealt.select(pair).select(*(F.col(f"p.rows.{c}").alias(c) for c in others), F.col("p.copies").cast("long").alias("copies"))
+    return dealt.select("source", pair).select("source", *(F.col(f"p.rows.{c}").alias(c) for c in others), F.col("p.copies").cast("long").alias("copies"))
 
 
 def mixture(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken), one row per row of docs."""
-    return copied(docs.withColumn("__uid", F.monotonically_increasing_id()), share, cap, weights).drop("uid")
+    return copied(docs.withColumn("__uid", F.monotonically_increasing_id()), share, cap, weights).drop("uid", "source", "mark", "nth")
 
 
 def copied(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """`mixture` with the uid of each row; docs has it as __uid."""
+    """`mixture` with the uid, source, mark and nth of each row; docs has the uid as __uid."""
     rows = cut(sized(docs))
     hist = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -156,10 +167,23 @@ def copied(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tup
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it. Rows are numbered once, in a table of their own."""
-    own = cut(docs.withColumn("__uid", F.monotonically_increasing_id()))
-    copies = copied(own, **options).filter("copies > 0").select(F.col("uid").alias("__uid0"), F.col("copies").alias("__copies"))
-    return own.join(copies, F.col("__uid") == F.col("__uid0")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of docs, each as often as the mixture takes it. Rows find their copies by what tells them apart: whole rows are shuffled once and not written, but for those of which there are more than CHUNK alike. docs is read twice, three times with such rows, and has to hold the same rows each time."""
+    found = copied(docs.withColumn("__uid", F.monotonically_increasing_id()), **options)
+    copies = cut(found.select(F.struct("source", "doc_id", "mark").alias("__key0"), "nth", "copies"))
+    crowded = hinted(cut(copies.filter(F.col("nth") == CHUNK).select(F.col("__key0").alias("__crowded"))))
+    keyed, alike = docs.withColumn("__key", identity()), F.col("__key") == F.col("__crowded")
+    some = not crowded.isEmpty()
+    plain = keyed.join(crowded, alike, "left_anti") if some else keyed
+    few = copies.join(crowded, F.col("__key0") == F.col("__crowded"), "left_anti") if some else copies
+    lists = few.groupBy("__key0").agg(F.sort_array(F.collect_list(F.struct("nth", "copies")))["copies"].alias("__lists")).filter(F.array_max("__lists") > 0)  # CHUNK at most
+    at = plain.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    mixed = at.join(lists, F.col("__key") == F.col("__key0")).withColumn("__copies", F.element_at("__lists", F.col("__nth"))).select(*docs.columns, "__copies")
+    if some:
+        own = cut(keyed.join(crowded, alike, "left_semi").withColumn("__uid", F.monotonically_increasing_id()))
+        nth = counted(own.select(F.col("__uid").alias("uid"), "__key.*", F.spark_partition_id().alias("part"))).select("uid", F.struct("source", "doc_id", "mark").alias("__key"), F.col("nth").alias("__nth"))
+        wanted = nth.join(copies, (F.col("__key") == F.col("__key0")) & (F.col("__nth") == F.col("nth"))).select(F.col("uid").alias("__uid0"), F.col("copies").alias("__copies"))
+        mixed = mixed.unionByName(own.join(wanted, F.col("__uid") == F.col("__uid0")).select(*docs.columns, "__copies"))
+    return mixed.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def goals(mixed: DataFrame) -> DataFrame:
