@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from picmeta.operators.shared import kept
+from picmeta.functions import grams
+from picmeta.operators.shared import kept, tidy
 
 ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE")
-#: The ways to look for a string, best first: runs of bytes from a sign that is neither letter nor digit on, of the long ones those whose hash SAMPLE divides, runs up to a sign, or its first bytes.
-ANCHOR = "[\\x01-/:-@\\[-`{-\\x7f]"
-GRAMS = {"long": (32, f"(?s)(?=({ANCHOR}.{{31}}))"), "anchored": (16, f"(?s)(?=({ANCHOR}.{{15}}))"), "sign8": (8, f"(?s)(?=({ANCHOR}.{{7}}))"), "to4": (4, f"(?s)(?=(.{{3}}{ANCHOR}))"), "to2": (2, f"(?s)(?=(.{ANCHOR}))"), "8": (8, "(?s)(?=(.{8}))"), "4": (4, "(?s)(?=(.{4}))"), "2": (2, "(?s)(?=(.{2}))"), "1": (1, "(?s)(.)")}
-SAMPLE = 8
 AT_ONCE = 1 << 18  # rows of two numbers that are broadcast
+#: Bits that the filter of picked grams has for each of them, and at least and at most: it fills up beyond, and more grams are shuffled than strings have picked.
+BITS, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 30
 
 
 def forms(needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
@@ -21,57 +25,89 @@ def forms(needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFra
     return needles.filter("needle <> ''").select("needle_id", F.explode(each).alias("f")).select("needle_id", "f.*")
 
 
-def grams(content: Column, way: str) -> Column:
-    """The hashes of the content's grams of a way, each once."""
-    every = F.transform(F.array_distinct(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(GRAMS[way][1]), F.lit(1))), lambda g: F.xxhash64(F.lit(way), g))
-    return F.filter(every, lambda h: h % SAMPLE == 0) if way == "long" else every
-
-
 def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= AT_ONCE else df
 
 
+def picks(own: DataFrame) -> DataFrame:
+    """(key, n, way, gram): the grams that each string of own (key, bytes) picks, and its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.binary_length(b.column(1))
+            for way, row, h in grams.picked(b.column(1)):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), n.take(at).cast(pa.int32()), pa.array(np.full(len(row), way, np.int32)), pa.array(h.view(np.int64))], ["key", "n", "way", "gram"])
+
+    return own.select("key", "bytes").mapInArrow(tidy(run), "key long, n int, way int, gram long")
+
+
+def filtered(own: DataFrame) -> tuple[list[int], bytes]:
+    """The ways of all grams that own's strings pick, and a Bloom filter of these grams."""
+    bits = min(max(1 << (BITS * grams.PICKS * own.count()).bit_length(), LEAST_BITS), MOST_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for way, _, h in grams.picked(b.column(0)):
+                bit = np.unique(np.concatenate([grams.bit_of(h, bits, k) for k in range(grams.hashes(way))]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bit), way, np.int32)), pa.array(bit)], ["way", "bit"])
+
+    part = LEAST_BITS  # the bits of one of Spark's bitmaps
+    of = own.select("bytes").mapInArrow(tidy(run), "way int, bit long").groupBy(F.floor(F.col("bit") / part).alias("part"))
+    ways, every = set(), np.zeros(bits // 8, np.uint8)
+    for r in of.agg(F.bitmap_construct_agg(F.col("bit") % part).alias("bits"), F.collect_set("way").alias("ways")).toLocalIterator():
+        ways |= set(r.ways)
+        every[r.part * part // 8 : (r.part + 1) * part // 8] = np.frombuffer(r.bits, np.uint8)
+    return sorted(ways), every.tobytes()
+
+
 def met(rows: DataFrame, own: DataFrame) -> DataFrame:
     """(row, key): contents and shorter strings that may stand in them, each once. rows: (row, content); own: (key, bytes).
 
-    A content that holds a string holds all its grams; the one that the fewest
-    contents have is joined. Where no long gram has the right hash, the next way
-    that the string has grams of does it."""
-    first = F.lit(None).cast("struct<way: string, grams: array<bigint>>")
-    for way, (size, _) in reversed(list(GRAMS.items())[1:]):
-        own_grams = grams(F.substring("bytes", F.lit(1), F.lit(size)), way) if way.isdigit() else F.slice(grams(F.col("bytes"), way), 1, 64)
-        first = F.when(F.size(own_grams) > 0, F.struct(F.lit(way).alias("way"), own_grams.alias("grams"))).otherwise(first)
-    short = kept(own.filter(F.size(grams(F.col("bytes"), "long")) == 0).select("key", first.alias("w")).select("key", "w.way", F.explode("w.grams").alias("gram")).distinct())
-    wanted = own.select("key", F.explode(grams(F.col("bytes"), "long")).alias("gram")).unionByName(short.select("key", "gram"))
-    held = rows.select("row", F.explode(grams(F.col("content"), "long")).alias("gram"))
-    asked = short.select("gram").distinct()
-    asked = small(asked, asked.count())
-    for way in sorted(r.way for r in short.select("way").distinct().collect()):
-        held = held.unionByName(rows.select("row", F.explode(grams(F.col("content"), way)).alias("gram")).join(asked, "gram", "left_semi"))
-    often = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "g.gram")
-    return held.join(rarest, "gram").filter("row <> key").select("row", "key").distinct()
+    A content that holds a string holds all its grams. Each string picks some, and
+    the one of these that the fewest contents have is joined, if all of them stand
+    in some longer content; grams that no string has picked stay, but for a few,
+    where the contents are read. Strings without a
+    long gram pick others (`grams.WAYS`)."""
+    ways, wanted = filtered(own)
+    known = rows.sparkSession.sparkContext.broadcast(wanted)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(known.value, np.uint8)
+        for b in batches:
+            row, h = grams.asked(b.column(1), ways, wanted)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pc.binary_length(b.column(1)).take(at).cast(pa.int32()), pa.array(h.view(np.int64))], ["row", "row_n", "gram"])
+
+    every = rows.select("row", "content").mapInArrow(tidy(run), "row long, row_n int, gram long")
+    held = every.filter("row IS NOT NULL AND row_n IS NOT NULL AND gram IS NOT NULL").repartition("gram")  # both uses below read all columns, so that it's made once
+    often = held.groupBy("gram").agg(F.count("*").alias("held_by"), F.max("row_n").alias("most"), F.max("row").alias("last"))
+    each = picks(own).join(often, "gram").withColumn("other", F.expr("most > n AND (held_by > 1 OR last <> key)"))
+    rarest = each.groupBy("key", "n").agg(F.min(F.struct("held_by", "gram")).alias("g"), F.bool_and("other").alias("other")).filter("other").select("key", "n", "g.gram")
+    return held.join(rarest, "gram").filter("row <> key AND n < row_n").select("row", "key").distinct()
 
-def found(files: DataFrame, needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """(path, needle_id, encoding): the forms that files (path, content) contain, each once.
+
+def inside(files: DataFrame, needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """(path, needle_id, encoding): the forms that are shorter than a file (path, content) that holds them, a row for each row of a file and of a text.
 
     What a rare gram brings together (`met`) is compared in full, once for equal
-    contents and equal strings; only for these pairs contents are shuffled. A
-    string that is a file's whole content is known by its digest. Neither side is
-    bounded. Rows that repeat a path are files of that path; null content holds
-    nothing."""
-    own = forms(needles, encodings).withColumns({"key": F.xxhash64("bytes"), "digest": F.sha2("bytes", 256)})
+    contents and equal strings; contents that meet a string are shuffled once,
+    strings once for each content that they meet. Neither side is bounded."""
+    own = forms(needles, encodings).withColumn("key", F.xxhash64("bytes"))
     rows = files.filter("content IS NOT NULL").select("path", "content", F.xxhash64("content").alias("row"))
-    pairs = met(rows, own)
-    sizes = rows.select("row", F.octet_length("content").alias("row_n")).distinct(), own.select("key", F.octet_length("bytes").alias("key_n")).distinct()
-    pairs = kept(pairs.join(sizes[0], "row").join(sizes[1], "key").filter("key_n < row_n").select("row", "key").distinct())
-    few = small(pairs, pairs.count())
-    one, two = rows.select("row", "content").join(few, "row").dropDuplicates(["row", "key"]), own.select("key", "bytes").join(few, "key").dropDuplicates(["row", "key"])
-    hits = one.hint("merge").join(two, ["row", "key"]).filter(F.contains("content", F.col("bytes"))).select("row", "key")
-    inside = rows.select("path", "row").join(hits, "row").join(own.select("key", "needle_id", "encoding"), "key")
-    same = rows.select("path", F.sha2("content", 256).alias("digest")).join(own.select("digest", "needle_id", "encoding"), "digest")
-    return inside.select("path", "needle_id", "encoding").unionByName(same.select("path", "needle_id", "encoding")).distinct()
+    pairs = kept(met(rows, own))
+    n = pairs.count()
+    one = rows.select("row", "content").join(small(pairs.select("row").distinct(), n), "row", "left_semi").dropDuplicates(["row"])
+    two = own.select("key", "bytes").join(small(pairs.select("key").distinct(), n), "key", "left_semi").dropDuplicates(["key"]).join(small(pairs, n), "key")
+    hits = one.hint("merge").join(two, "row").filter(F.contains("content", F.col("bytes"))).select("row", "key")
+    return rows.select("path", "row").join(hits, "row").join(own.select("key", "needle_id", "encoding"), "key").select("path", "needle_id", "encoding")
+
+
+def found(files: DataFrame, needles: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """(path, needle_id, encoding): the forms that files (path, content) contain, each once: those `inside` a file, and those that are a file's whole content, which are known by their digest. Rows that repeat a path are files of that path; null content holds nothing."""
+    digest = lambda x: F.sha2(x, 256).alias("digest")
+    same = files.select("path", digest("content")).join(forms(needles, encodings).select(digest("bytes"), "needle_id", "encoding"), "digest")
+    return inside(files, needles, encodings).unionByName(same.select("path", "needle_id", "encoding")).distinct()
 
 
 def opened_once(files: DataFrame, least_hex: int = 24, least_base64: int = 64) -> DataFrame:
@@ -95,11 +131,9 @@ def opened(files: DataFrame, least_hex: int = 24, least_base64: int = 64) -> Dat
 
 
 def contained(needles: DataFrame) -> DataFrame:
-    """(inner, outer): texts of a registry (needle_id, needle) that stand inside other, different texts of it."""
+    """(inner, outer): texts of a registry (needle_id, needle) that stand inside other, different texts of it, for each pair of such rows. A text that another one holds and that differs from it is shorter, so equal texts, whose pairs grow with the square of their number, aren't joined."""
     files = needles.select(F.col("needle_id").alias("path"), F.encode("needle", "UTF-8").alias("content"))
-    met = found(files, needles, ("UTF-8",)).select(F.col("needle_id").alias("inner"), F.col("path").alias("outer"))
-    one, two = (needles.select(F.col("needle_id").alias(x), F.xxhash64("needle").alias(f"{x}_hash"), F.length("needle").alias(f"{x}_n")) for x in ("inner", "outer"))
-    return met.join(one, "inner").join(two, "outer").filter("inner_hash <> outer_hash OR inner_n <> outer_n").select("inner", "outer")
+    return inside(files, needles, ("UTF-8",)).select(F.col("needle_id").alias("inner"), F.col("path").alias("outer"))
 
 
 def responsible(present: DataFrame, after: DataFrame) -> DataFrame:

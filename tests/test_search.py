@@ -3,8 +3,11 @@
 import base64
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from picmeta.functions import grams
 from picmeta.operators import audit
 
 CODECS = {"UTF-8": "utf-8", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be"}
@@ -61,3 +64,40 @@ def test_contained_with_a_common_beginning(spark):
     assert {tuple(r) for r in audit.contained(df).collect()} == {(1000 + i, i) for i in range(20)} | {(2000, 2001)}
     texts = df.select(F.encode("needle", "UTF-8").alias("b"), F.xxhash64(F.encode("needle", "UTF-8")).alias("h"))
     assert audit.met(texts.select(F.col("h").alias("row"), F.col("b").alias("content")), texts.select(F.col("h").alias("key"), F.col("b").alias("bytes"))).count() < 2_000
+
+
+def test_contained_by_rows(spark):
+    """A row for each pair of rows, also if they share an id; equal texts are no pairs, however many."""
+    rows = [("a", "one two"), ("a", "zebra"), ("b", "say one two three"), ("b", "say one two three"), ("c", "say")] + [("e", "a text that is there many times")] * 50
+    got = sorted(tuple(r) for r in audit.contained(spark.createDataFrame(rows, "needle_id string, needle string")).collect())
+    assert got == [("a", "b"), ("a", "b"), ("c", "b"), ("c", "b")]
+
+
+def test_near_copies_do_not_meet(spark):
+    """Long texts that differ in one word meet by few pairs: the grams of a long text are long."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(600)]
+    rows = [(i, " ".join([*words[:at], f"other{i}", *words[at + 1 :]]) + "x" * (i % 9)) for i, at in enumerate(range(20, 580, 2))]
+    texts = spark.createDataFrame(rows, "i int, t string").select(F.encode("t", "UTF-8").alias("b"), F.xxhash64(F.encode("t", "UTF-8")).alias("h"))
+    assert audit.met(texts.select(F.col("h").alias("row"), F.col("b").alias("content")), texts.select(F.col("h").alias("key"), F.col("b").alias("bytes"))).count() < 4_000
+
+
+def test_grams_of_parts():
+    """What a part of a content picks is among the content's grams, whatever the windows; only what was picked is asked."""
+    rng, window = random.Random(7), grams.WINDOW
+    try:
+        for n in (4, 60, 900, 9000):
+            content = " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(n)).encode()
+            parts = [content[i : i + 1 + rng.choice([1, 3, 9, 30, 200, 3000, 40000])] for i in (rng.randrange(len(content)) for _ in range(20))]
+            grams.WINDOW = rng.choice([700, 40_000])
+            picks = [(w, int(r), int(x)) for w, row, h in grams.picked(pa.array([b"", *parts], pa.binary())) for r, x in zip(row, h, strict=True)]
+            grams.WINDOW = rng.choice([700, 40_000])
+            wanted = np.zeros(1 << 15, np.uint8)
+            for w, _, x in picks:
+                for k in range(grams.hashes(w)):
+                    bit = int(grams.bit_of(np.array([x], np.uint64), len(wanted) * 8, k)[0])
+                    wanted[bit >> 3] |= 1 << (bit & 7)
+            row, h = grams.asked(pa.array([b"no", content, b""], pa.binary()), sorted({w for w, _, _ in picks}), wanted)
+            assert {r for _, r, _ in picks} == set(range(1, 21)) and {x for _, _, x in picks} <= set(h[row == 1].tolist())
+    finally:
+        grams.WINDOW = window
